@@ -3,8 +3,8 @@
 A scan cuts the documents into blocks of about ``block_chars`` characters (one or
 more whole documents each). Per block it keeps
 
-* a document row: ids, flags and the text as a sequence of word codes, where code r
-  is the block's r-th most frequent word, and
+* a document row: ids, flags and the text as a sequence of word codes, where the
+  most frequent words have the least codes and the others go by their letters, and
 * up to ``parts`` word bundles: the block's distinct words whose hash falls into the
   part, in code order.
 
@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The words of a block that are coded by frequency.
+HEAD = 4096
 BLOCK_SCHEMA = "block long, part int, data binary"
 #: Unicode White_Space, which is what the tokenizer's pre-tokenizer splits on.
 _UNICODE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -55,13 +57,29 @@ def unpack(data: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """An unsigned array with its bytes grouped by significance, which compresses better."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def pack_codes(codes: np.ndarray) -> tuple:
+    """Word codes near their entropy: a byte for size and leading bits, the other bits packed by size."""
+    codes = codes.astype(np.int64)
+    size = np.frexp(codes.astype(np.float64))[1] - 1  # position of the leading bit
+    big = codes >= 128
+    head = np.where(big, (size - 7) * 8 + (codes >> np.maximum(size - 3, 0) & 7) + 128, codes).astype(np.uint16)
+    tails = {}
+    for k in np.unique(size[big]).tolist():
+        rest = codes[big & (size == k)] & ((1 << (k - 3)) - 1)
+        tails[k] = np.packbits((rest[:, None] >> np.arange(k - 3) & 1).astype(np.uint8)).tobytes()
+    return head.astype(np.uint8 if not len(head) or head.max() < 256 else np.uint16), tails
 
 
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpack_codes(packed: tuple) -> np.ndarray:
+    head, tails = packed
+    codes = head.astype(np.int64)
+    big = codes >= 128
+    size = np.where(big, (codes - 128) // 8 + 7, 0)
+    for k, data in tails.items():
+        at = np.flatnonzero(size == k)
+        bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=len(at) * (k - 3)).reshape(len(at), k - 3)
+        codes[at] = (8 + (codes[at] - 128) % 8 << (k - 3)) + bits @ (1 << np.arange(k - 3))
+    return codes
 
 
 @dataclass
@@ -75,7 +93,7 @@ class Block:
     part_of_rank: np.ndarray
 
     def slots(self) -> np.ndarray:
-        """slots()[rank]: where the word stands when the block's bundles are laid end to end by part."""
+        """slots()[code]: where the word stands when the block's bundles are laid end to end by part."""
         order = np.argsort(self.part_of_rank, kind="stable")
         where = np.empty(len(order), dtype=np.int64)
         where[order] = np.arange(len(order))
@@ -84,7 +102,7 @@ class Block:
 
 def read_block(data: bytes) -> Block:
     ids, flags, lens, codes, part = unpack(data)
-    return Block(ids, flags, lens, unplanes(codes), part)
+    return Block(ids, flags, lens, unpack_codes(codes), part)
 
 
 def _emit(block: int, ids, flags, lens, codes, vocab, parts: int, binary: bool) -> pa.RecordBatch:
@@ -93,6 +111,8 @@ def _emit(block: int, ids, flags, lens, codes, vocab, parts: int, binary: bool)
     words = list(vocab)
     freq = np.bincount(codes, minlength=len(words))
     order = np.argsort(-freq, kind="stable")
+    # Rare words go by their letters: neighbours in a bundle then share prefixes.
+    order[HEAD:] = sorted(order[HEAD:].tolist(), key=words.__getitem__)
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     codes = rank[codes]
@@ -100,7 +120,7 @@ def _emit(block: int, ids, flags, lens, codes, vocab, parts: int, binary: bool)
     words = [words[i] for i in order]
     raw = words if binary else [w.encode() for w in words]
     part_of = np.fromiter((zlib.crc32(w) % parts for w in raw), dtype=np.uint32, count=len(raw))
-    rows = [(block, -1, pack((ids, flags, lens, planes(codes), part_of)))]
+    rows = [(block, -1, pack((ids, flags, lens, pack_codes(codes), part_of)))]
     by_part = np.argsort(part_of, kind="stable")
     cuts = np.flatnonzero(np.diff(part_of[by_part])) + 1
     for members in np.split(by_part, cuts) if len(by_part) else ():
@@ -109,7 +129,7 @@ def _emit(block: int, ids, flags, lens, codes, vocab, parts: int, binary: bool)
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(p, pa.int32()), pa.array(d, pa.binary())], names=["block", "part", "data"])
 
 
-def build_blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[str], list], parts: int, flag_col: str | None = None, block_chars: int = 16_000_000) -> DataFrame:
+def build_blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[str], list], parts: int, flag_col: str | None = None, block_chars: int = 32_000_000) -> DataFrame:
     """Blocks of ``df`` as (block, part, data) rows; part -1 is the document row. Null text: no words."""
     binary = split is split_ascii_lower
 
