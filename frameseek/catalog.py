@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from frameseek.plans import assembly, channels, evaluation, fusion, relational, text, timeline
+from frameseek.plans.registry import ORACLES, QUERIES, Tables
+
+PLANS = (channels, text, fusion, timeline, evaluation, relational, assembly)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense and text rankings of the same queries, fused by reciprocal rank and capped per group."""
+    return channels.flagship(Tables(spark, sf_dir))
