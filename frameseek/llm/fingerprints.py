@@ -44,7 +44,7 @@ def sketch(text: str, k: int = 5, bits: int = FRACTION_BITS) -> np.ndarray:
         return hashes
     kept = hashes[hashes < np.uint64(1 << (64 - bits))]
     kept = np.append(kept, hashes.min()) if not len(kept) else kept
-    return np.unique(kept >> np.uint64(16 - bits))
+    return np.unique(kept >> np.uint64(16 - bits) & np.uint64((1 << 48) - 1))
 
 
 def to_text(values: np.ndarray) -> str:
