@@ -47,7 +47,7 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list, value: Co
     match = F.lit(True)
     for c in keys:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return rows.join(sums, match).select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
+    return rows.join(sums.hint("merge"), match).select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -136,11 +136,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = slots.withColumn("pass", F.floor(F.col("rank") / F.col("blocks"))).withColumn("block", F.pmod("rank", "blocks"))
     slots = slots.withColumn("until", F.least((F.col("block") + 1) * BLOCK, F.col("source_size"), F.col("want") - F.col("pass") * F.col("source_size")))
     slots = slots.groupBy("source_no", "block").agg(F.max(F.when(F.col("pass") == 0, F.col("until"))).alias("until_1"), F.max(F.when(F.col("pass") == 1, F.col("until"))).alias("until_2"))
-    took = pieces.join(slots, ["source_no", "block"])
+    took = pieces.join(slots.hint("merge"), ["source_no", "block"])
     part = lambda c: F.greatest(F.least(F.col("hi"), F.coalesce(F.col(c), F.lit(0))) - F.col("lo"), F.lit(0))
     # Rows equal in id and text differ in start.
     took = took.groupBy(F.col("source_no").alias("_no"), F.col("h").alias("_h"), F.col("start").alias("_start")).agg(F.sum(part("until_1")).alias("t1"), F.sum(part("until_2")).alias("t2"))
-    found = placed.join(took, (F.col("source_no") == F.col("_no")) & (F.col("h") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
+    found = placed.join(took.hint("merge"), (F.col("source_no") == F.col("_no")) & (F.col("h") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     t1, t2 = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("t1", "t2"))
     return found.select("doc_id", "size", "source_size", "target", (t1 + t2).alias("taken"), t1.alias("taken_1"), t2.alias("taken_2"), "h")
 
