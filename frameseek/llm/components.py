@@ -15,7 +15,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     grow with the logarithm of a component's width. Each round is one durable table; hub
     nodes meet a unique row on the other side of each join, which AQE splits.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).where("u <> v").distinct()
+    down = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    # A node's lower neighbours hang on the least of them: as connected, with one link a node.
+    lowest = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "at")
+    hung = down.join(lowest, down.u == lowest.at).select("v", "m").where("v <> m")
+    down = lowest.select("at", "m").union(hung).distinct()
+    both = down.toDF("u", "v").union(down.select("m", "at"))
     both = staged(both, "cc-links")
     labels = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "cc-labels")
     while True:
