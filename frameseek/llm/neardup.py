@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameseek.llm.common import prepare, shielded, staged
@@ -252,8 +252,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table = np.zeros(1 << COUNT_BITS, dtype=np.int64)  # 8 MiB, whatever the corpus
     table[sums["bucket"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
     keys = staged(rest_words.mapInArrow(_rare_keys(spark.sparkContext.broadcast(table)), "token long, id long, comp long, size long"), "omh-rare")
-    mixed = keys.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    keys = keys.join(mixed, "token", "left_semi")
+    crowd = Window.partitionBy("token")
+    keys = keys.withColumn("lo", F.min("comp").over(crowd)).withColumn("hi", F.max("comp").over(crowd)).where("lo <> hi").drop("lo", "hi")
     x, y = keys.alias("x"), keys.alias("y")
     close = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9)
     more = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
