@@ -17,7 +17,8 @@ and one of each; the order used puts corpus-rare words first, so what a crowd of
 texts shares comes last and is not a key. No bucket, partner or candidate is capped.
 
 Defined results: a text that is null or has no word is a class of its own. A null id
-gets a null class and takes no part. Rows that repeat an id and text share the class.
+gets a null class and takes no part. Rows that repeat an id and text share the class;
+texts that share an id are one node.
 """
 
 from __future__ import annotations
@@ -233,7 +234,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     first = sketched.groupBy("key").agg(F.min("id").alias("node"))
     first = staged(first, "omh-texts")
-    nodes = sketched.join(first, (sketched.id == first.node) & (sketched.key == first.key), "left_semi").dropDuplicates(["id"])
+    nodes = sketched.join(first, (sketched.id == first.node) & (sketched.key == first.key), "left_semi").dropDuplicates(["id", "key"])
     nodes = staged(nodes.select("id", "sigs", "words"), "omh-nodes")
 
     bands = nodes.select("id", F.posexplode("sigs").alias("band", "sig")).select("id", F.xxhash64("band", "sig").alias("sig"))
