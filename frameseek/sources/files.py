@@ -25,7 +25,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 def query_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(name, kind, text) of files ``query-<batch>-<n>-<kind>.txt``; other names are skipped."""
-    rows = spark.read.option("wholetext", "true").text(folder).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
+    rows = spark.read.text(folder, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
     kind = F.regexp_extract("name", r"^query-.+-(kis|qa|trake)\.txt$", 1)
     return rows.select("name", kind.alias("kind"), F.col("value").alias("text")).where("kind <> ''")
 
