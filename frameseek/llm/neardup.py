@@ -14,7 +14,10 @@ A bucket that falls into more than one component after that goes to the exact re
 its members are joined on their rarest words. Similar texts share at least 80 % of
 their words, so with any common order of words they share one among the first 20 %
 and one of each; the order used puts corpus-rare words first, so what a crowd of
-texts shares comes last and is not a key. No bucket, partner or candidate is capped.
+texts shares comes last and is not a key. A pair is needed once, at the first word in
+that order that both have: a later word does not pair two texts if its rank leaves too
+few words to share, or if they share one of the EARLIER words before it. No bucket,
+partner or candidate is capped.
 
 Defined results: a text that is null or has no word is a class of its own. A null id
 gets a null class and takes no part. Rows that repeat an id and text share the class;
@@ -44,6 +47,10 @@ _XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Buckets of the table that orders words by their count.
 COUNT_BITS = 20
+#: Words before a key, in the order of rareness, by which pairs that met already are told.
+EARLIER = 16
+#: Keys in one batch at most.
+KEY_ROWS = 20_000
 
 
 def occurrences(values: np.ndarray) -> np.ndarray:
@@ -192,23 +199,28 @@ def _linked(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _rare_keys(counts):
-    """mapInArrow function: each text's rarest words, as many as any similar text must share one of."""
+    """mapInArrow function: each text's rarest words, as many as any similar text must share one of.
+
+    A row a word: its rank in the order of rareness and the EARLIER words before it.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            ids, comps, sizes, out = [], [], [], []
             for doc, comp, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 w = _words(data)
                 token = labelled(w.astype(np.uint64))
                 n = len(w) - int(np.ceil(SIMILARITY * len(w) - 1e-9)) + 1
                 order = np.lexsort((token, table[w & np.uint32((1 << COUNT_BITS) - 1)]))[:n]
-                ids += [doc] * n
-                comps += [comp] * n
-                sizes += [len(w)] * n
-                out.append(token[order].view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(ids, pa.int64()), pa.array(comps, pa.int64()), pa.array(sizes, pa.int64())], names=["token", "id", "comp", "size"])
+                rare = token[order].view(np.int64)
+                for lo in range(0, n, KEY_ROWS):
+                    at = np.arange(lo, min(n, lo + KEY_ROWS))
+                    have = np.minimum(at, EARLIER)
+                    ends = np.cumsum(np.concatenate(([0], have))).astype(np.int32)
+                    earlier = rare[np.arange(ends[-1]) - np.repeat(ends[:-1], have) + np.repeat(at - have, have)]
+                    fixed = [pa.array(np.full(len(at), x, dtype=np.int64)) for x in (doc, comp, len(w))]
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(earlier))
+                    yield pa.RecordBatch.from_arrays([pa.array(rare[at]), *fixed, pa.array(at), lists], names=["token", "id", "comp", "size", "rank", "earlier"])
 
     return keys
 
@@ -252,11 +264,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sums = rest_words.select("words").mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << COUNT_BITS, dtype=np.int64)  # 8 MiB, whatever the corpus
     table[sums["bucket"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
-    keys = staged(rest_words.mapInArrow(_rare_keys(spark.sparkContext.broadcast(table)), "token long, id long, comp long, size long"), "omh-rare")
+    keys = staged(rest_words.mapInArrow(_rare_keys(spark.sparkContext.broadcast(table)), "token long, id long, comp long, size long, rank long, earlier array<long>"), "omh-rare")
     crowd = Window.partitionBy("token")
     keys = keys.withColumn("lo", F.min("comp").over(crowd)).withColumn("hi", F.max("comp").over(crowd)).where("lo <> hi").drop("lo", "hi")
     x, y = keys.alias("x"), keys.alias("y")
-    close = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9)
+    left = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank"))  # words of each from this one on
+    close = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (left >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9)
+    close &= ~F.arrays_overlap("x.earlier", "y.earlier")
     more = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = _linked(more, nodes, "omh-more")
     if more.limit(1).count():
