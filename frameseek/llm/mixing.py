@@ -159,7 +159,7 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = Window.partitionBy("_k").orderBy("_k")
     taken = taken.groupBy("_h").agg(F.array_sort(F.collect_list("_take"), lambda a, b: b.cast("int") - a.cast("int")).alias("_takes"))
     texts = docs.withColumn("_k", key).withColumn("_n", F.row_number().over(own)).withColumn("_of", F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = texts.join(taken, texts["_k"] == taken["_h"]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_takes") - 1))).where(F.pmod(F.col("_i"), F.col("_of")) == F.col("_n") - 1)
+    rows = texts.join(taken.hint("merge"), F.col("_k") == F.col("_h")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_takes") - 1))).where(F.pmod(F.col("_i"), F.col("_of")) == F.col("_n") - 1)
     rows = rows.withColumn("_take", F.get("_takes", F.col("_i")))
     size = F.regexp_count(F.col(text_col), F.lit(WORD))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("_take").cast("int")), "")
