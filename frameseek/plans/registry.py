@@ -20,6 +20,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """A scan of fewer parts than the session has cores is dealt out by id, so text work uses them all; a wide scan stays as it is."""
+        docs, cores = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet"), self.spark.sparkContext.defaultParallelism
+        return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
     @property
     def frames(self) -> DataFrame:
         """row_id, video_id, us (microseconds), label, score."""
