@@ -123,7 +123,7 @@ def strided(t: Tables) -> DataFrame:
     return ordered(t).where("(n - 1) % 5 = 0").select("video_id", "row_id")
 
 
-@query("J6_S29_interval_join", "WITH s AS (SELECT conv_id, turn * 10.0 AS a, turn * 10.0 + 8 AS z, text FROM conversations), p AS (SELECT conv_id, turn * 7.0 AS pts FROM conversations) SELECT p.conv_id, p.pts, md5(string_agg(s.text, ' ' ORDER BY s.a)) AS said FROM p JOIN s ON s.conv_id = p.conv_id AND s.a - 1 <= p.pts AND p.pts <= s.z + 1 GROUP BY ALL")
+@query("J6_S29_interval_join", "WITH s AS (SELECT conv_id, turn * 10.0 AS a, turn * 10.0 + 8 AS z, text FROM conversations), p AS (SELECT conv_id, CAST(turn * 7 AS DOUBLE) AS pts FROM conversations) SELECT p.conv_id, p.pts, md5(string_agg(s.text, ' ' ORDER BY s.a)) AS said FROM p JOIN s ON s.conv_id = p.conv_id AND s.a - 1 <= p.pts AND p.pts <= s.z + 1 GROUP BY ALL")
 def interval_join(t: Tables) -> DataFrame:
     """Points in segments widened by 1 s, same conversation; texts in segment order."""
     at = lambda k: (F.col("turn") * k).cast("double")
