@@ -81,22 +81,24 @@ def _step(n: int) -> int:
 
 
 def schedule(sources: DataFrame, total: int) -> DataFrame:
-    """(source_no, slot, rank): the sources' slots in order. ``sources``: source_no, slots."""
-    step = _step(total)
-    cells = max(1024, min(1 << 20, total))
-    # Each source's stretch of [0, total) is found by an equi-join on cells of the line.
+    """(source_no, slot, rank): the sources' slots in order. ``sources``: source_no, slots.
+
+    A source owns the points [lo, hi) of the line; as the points are a permutation, its
+    slots are those points taken back through the inverse step, so no join looks them up.
+    """
+    back = pow(_step(total), -1, total) if total > 1 else 0
     line = Window.partitionBy(F.lit(1)).orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     stretch = sources.where("slots > 0").withColumn("lo", F.coalesce(F.sum("slots").over(line), F.lit(0)))
     stretch = stretch.withColumn("hi", F.col("lo") + F.col("slots"))
-    width = -(-total // cells)
-    wide = stretch.select("source_no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
-    slots = stretch.sparkSession.range(total).withColumnRenamed("id", "slot")
+    # A source's points go out in runs of STRETCH, dealt over tasks: a hot source is many runs.
+    runs = stretch.select("source_no", "hi", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(STRETCH).cast("long"))).alias("from"))
+    runs = runs.repartition(max(8, min(100_000, -(-total // (8 * STRETCH)))), "from")
+    points = runs.select("source_no", F.explode(F.sequence("from", F.least(F.col("from") + STRETCH, "hi") - 1)).alias("point"))
     if total < 1 << 31:
-        point = (F.col("slot") * F.lit(step)) % F.lit(total)
+        slot = (F.col("point") * F.lit(back)) % F.lit(total)
     else:  # the product needs more than 63 bits
-        point = ((F.col("slot").cast("decimal(19,0)") * F.lit(step).cast("decimal(19,0)")) % F.lit(total).cast("decimal(19,0)")).cast("long")
-    slots = slots.withColumn("point", point).withColumn("cell", F.floor(F.col("point") / width))
-    dealt = slots.join(wide, "cell").where("point >= lo and point < hi").select("source_no", "slot")
+        slot = ((F.col("point").cast("decimal(19,0)") * F.lit(back).cast("decimal(19,0)")) % F.lit(total).cast("decimal(19,0)")).cast("long")
+    dealt = points.select("source_no", slot.cast("long").alias("slot"))
     dealt = dealt.withColumn("bucket", F.floor(F.col("slot") / STRETCH))
     return running(dealt, ["source_no"], "bucket", ["slot"], F.lit(1), "rank").select("source_no", "slot", "rank")
 
