@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameseek.functions import text as tx
@@ -282,30 +282,43 @@ def object_score_v2(t: Tables) -> DataFrame:
     return best.join(F.broadcast(i), "label").groupBy("video_id").agg(F.round(F.sum(w), 4).alias("total"), F.round(F.max(w), 4).alias("best"), F.round(F.sum(F.when(F.col("idf") >= 1.6, w).otherwise(0.0)), 4).alias("rare"))
 
 
+#: A token in more documents than this is not rare.
+RARE = 200
+
+
+def rare_shapes(c: Column) -> Column:
+    """Words with a digit, a leading capital, a hyphen or six letters, without the signs around them."""
+    words = F.array_distinct(F.transform(F.split(c, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & (w.rlike("[0-9]") | (w.rlike(r"^\p{Lu}") & (F.length(w) >= 3)) | w.contains("-") | (F.length(w) >= 6)))
+
+
 @query("F8_rare_token_all", r"WITH tok AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents), df AS (SELECT token, count(*) AS df FROM tok GROUP BY token), q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM benchmark), rare AS (SELECT qid, list(token) AS tokens FROM q JOIN df USING (token) WHERE df <= 3 AND length(token) >= 6 GROUP BY qid) SELECT qid, doc_id FROM rare, documents WHERE len(list_filter(tokens, lambda x: NOT contains(lower(text), x))) = 0")
 def rare_all(t: Tables) -> DataFrame:
-    """Documents that hold all rare tokens of a query as substrings; found through one of them, then verified.
+    """Documents that hold all rare tokens of a query as folded substrings; found through one of them, then verified.
 
-    A document that holds a token as part of another word has a token that contains it, so
-    the candidates come from distinct corpus words that contain the query's first token.
+    Rare tokens have F10's shape and are words of 1 to RARE documents. A document that holds a token
+    as part of another word has a word that contains it, so the candidates come from distinct corpus
+    words that contain the query's longest token.
     """
-    tok = t.documents.select("doc_id", F.explode(F.array_distinct(tx.unigrams(F.col("text")))).alias("token"))
+    d = t.documents.where(F.trim("text") != "").select("doc_id", tx.fold_full(F.col("text")).alias("low"))
+    tok = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token"))
     df = tok.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(tx.unigrams(F.col("text")))).alias("token"))
-    rare = asked.join(df, "token").where((F.col("df") <= 3) & (F.length("token") >= 6)).groupBy("qid").agg(F.collect_list("token").alias("tokens"))
-    # Substrings: every 6-letter piece of a corpus word is a key, so containment is an equi-join.
-    pieces = df.select("token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - 5, F.lit(1))), lambda i: F.substring("token", i, F.lit(6))))).alias("piece"))
-    first = rare.select("qid", "tokens", F.element_at("tokens", 1).alias("first")).withColumn("piece", F.substring("first", 1, 6))
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(F.transform(rare_shapes(F.col("text")), tx.fold_full))).alias("token"))
+    rare = asked.join(df, "token").where(F.col("df") <= RARE).groupBy("qid").agg(F.collect_list("token").alias("tokens"))
+    # Substrings: every piece of 1 to 6 letters of a corpus word is a key, so containment is an equi-join.
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring("token", i, n))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(6))), of_length))
+    pieces = df.select("token", F.explode(F.array_distinct(pieces)).alias("piece"))
+    longest = F.array_max(F.transform("tokens", lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    first = rare.select("qid", "tokens", longest.alias("first")).withColumn("piece", F.substring("first", 1, 6))
     words = first.join(pieces, "piece").where(F.col("token").contains(F.col("first"))).select("qid", "tokens", "token")
-    hits = words.join(tok, "token").select("qid", "tokens", "doc_id").dropDuplicates(["qid", "doc_id"]).join(t.documents.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    hits = words.join(tok, "token").select("qid", "tokens", "doc_id").dropDuplicates(["qid", "doc_id"]).join(d, "doc_id")
     return hits.where(F.forall("tokens", lambda x: F.col("low").contains(x))).select("qid", "doc_id")
 
 
 @query("F10_rare_token_shape", r"SELECT item_id AS qid, len(list_filter(list_distinct(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))), lambda w: length(w) >= 2 AND (regexp_matches(w, '[0-9]') OR (regexp_matches(w, '^\p{Lu}') AND length(w) >= 3) OR contains(w, '-') OR length(w) >= 6))) AS n_rare FROM benchmark")
 def rare_shape(t: Tables) -> DataFrame:
-    words = F.array_distinct(F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    rare = F.filter(words, lambda w: (F.length(w) >= 2) & (w.rlike("[0-9]") | (w.rlike(r"^\p{Lu}") & (F.length(w) >= 3)) | w.contains("-") | (F.length(w) >= 6)))
-    return t.benchmark.select(F.col("item_id").alias("qid"), F.size(rare).cast("long").alias("n_rare"))
+    return t.benchmark.select(F.col("item_id").alias("qid"), F.size(rare_shapes(F.col("text"))).cast("long").alias("n_rare"))
 
 
 @query("F9_rare_token_any", r"WITH q AS (SELECT item_id AS qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 9))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents) SELECT qid, doc_id, CAST(100 + 10 * count(*) AS DOUBLE) AS score FROM q JOIN d USING (token) GROUP BY ALL")

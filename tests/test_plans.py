@@ -18,3 +18,14 @@ def test_containment_of_whole_passages_in_all_documents(spark, tmp_path):
     items = [(1, "small red fox ran"), (2, "pho bo is sold"), (3, "the small red dog"), (4, "alpha"), (5, "mall red c"), (6, "nowhere at all")]
     # Whole: items 1, 4 and 5; folded also 2; 3 and 6 nowhere.
     assert run(spark, tmp_path, "E19_answer_containment", documents=(docs, DOCS), benchmark=(items, ITEMS)) == [(6, 3, 4)]
+
+
+def test_rare_tokens_up_to_200_documents_and_of_every_shape(spark, tmp_path):
+    docs = [(i, f"common words {'zanzibar' if i < 150 else 'elsewhere'} {'x7 Ürünler' if i in (3, 4, 170) else 'plain'}", "a") for i in range(300)]
+    docs += [(900, "prefixx7suffix zanzibars", "a"), (901, "", "a"), (902, None, "a")]
+    items = [(1, "find zanzibar"), (2, "the X7, please"), (3, "common words"), (4, "Urunler zanzibar")]
+    got = run(spark, tmp_path, "F8_rare_token_all", documents=(docs, DOCS), benchmark=(items, ITEMS))
+    fold = {i: (t or "").lower().replace("ü", "u") for i, t, _ in docs}
+    # 'common' is in 300 documents, 'please' in none.
+    want = {1: ["zanzibar"], 2: ["x7"], 4: ["urunler", "zanzibar"]}
+    assert sorted(got) == sorted((q, i) for q, need in want.items() for i, t in fold.items() if all(x in t for x in need))
