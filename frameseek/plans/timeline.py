@@ -34,8 +34,10 @@ def gap_filling(t: Tables) -> DataFrame:
 @query("W5_J1_neighbours", f"WITH {FRAMES}, {ORD} SELECT a.row_id, b.row_id AS neighbour FROM o a JOIN o b ON a.video_id = b.video_id AND b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.row_id % 100 = 0")
 def neighbours(t: Tables) -> DataFrame:
     o = ordered(t)
-    a, b = o.where("row_id % 100 = 0").alias("a"), o.alias("b")
-    return a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & F.col("b.n").between(F.col("a.n") - 2, F.col("a.n") + 2)).select("a.row_id", F.col("b.row_id").alias("neighbour"))
+    # One row meets five keys, so no pair of a long video's rows is made that is not a result.
+    a = o.select("row_id", "video_id", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("n")).alias("a")
+    b = o.alias("b")
+    return a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & (F.col("a.n") == F.col("b.n"))).select("a.row_id", F.col("b.row_id").alias("neighbour"))
 
 
 NEAR = "s AS (SELECT video_id, n, row_number() OVER (ORDER BY score DESC, row_id) AS seed FROM o QUALIFY seed <= 50), x AS (SELECT o.row_id, s.seed, o.n <> s.n AS is_near, o.us FROM s JOIN o ON o.video_id = s.video_id AND o.n BETWEEN s.n - 2 AND s.n + 2)"

@@ -29,3 +29,11 @@ def test_rare_tokens_up_to_200_documents_and_of_every_shape(spark, tmp_path):
     # 'common' is in 300 documents, 'please' in none.
     want = {1: ["zanzibar"], 2: ["x7"], 4: ["urunler", "zanzibar"]}
     assert sorted(got) == sorted((q, i) for q, need in want.items() for i, t in fold.items() if all(x in t for x in need))
+
+
+def test_neighbours_of_every_row(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    events = [(i, i % 2, datetime(2024, 1, 1) + timedelta(seconds=i), "view", 1.0) for i in range(12)]
+    got = run(spark, tmp_path, "W5_J1_neighbours", events=(events, "event_id long, user_id long, ts timestamp, event_type string, value double"))
+    assert sorted(got) == [(a, b) for a in range(12) for b in range(12) if a % 2 == b % 2 and abs(a - b) <= 4]
