@@ -237,8 +237,8 @@ META = "SELECT page_id AS id, url || '. ' || url || '. ' || url || '. ' || left(
 
 @query("T10_metadata_channel", f"WITH {_bm25_sql('', META, ASKED)} {_rank_docs('b', 5)}")
 def metadata_channel(t: Tables) -> DataFrame:
-    """One document a page: the title field three times, then the description."""
-    meta = t.pages.select(F.col("page_id").alias("doc_id"), F.concat_ws(". ", "url", "url", "url", F.substring("html", 1, 200)).alias("text"))
+    """One document a page: the title field three times, then the whole html."""
+    meta = t.pages.select(F.col("page_id").alias("doc_id"), F.concat_ws(". ", "url", "url", "url", "html").alias("text"))
     return _text_top(bm25.scores(meta, _asked_texts(t)), 5)
 
 

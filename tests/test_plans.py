@@ -37,3 +37,26 @@ def test_neighbours_of_every_row(spark, tmp_path):
     events = [(i, i % 2, datetime(2024, 1, 1) + timedelta(seconds=i), "view", 1.0) for i in range(12)]
     got = run(spark, tmp_path, "W5_J1_neighbours", events=(events, "event_id long, user_id long, ts timestamp, event_type string, value double"))
     assert sorted(got) == [(a, b) for a in range(12) for b in range(12) if a % 2 == b % 2 and abs(a - b) <= 4]
+
+
+def test_metadata_channel_reads_whole_pages(spark, tmp_path):
+    pages = [(1, "http://a.b/c", "<p>" + "filler " * 100 + "needle</p>"), (2, "http://a.b/d", "<p>" + "filler " * 90 + "</p>")]
+    got = run(spark, tmp_path, "T10_metadata_channel", pages=(pages, "page_id long, url string, html string"), benchmark=([(7, "needle")], ITEMS))
+    assert [(q, p, r) for q, p, _, r in got] == [(7, 1, 1)]
+
+
+def test_events_hold_the_whole_text(spark, tmp_path):
+    text = "\n".join(f"line {i} of the text" for i in range(20))
+    got = run(spark, tmp_path, "T16_event_split", benchmark=([(7, text)], ITEMS))
+    flat = text.replace("\n", " ")
+    assert sorted(got) == [(7, 0, flat[:40].strip()), (7, 1, flat[40:].strip())]
+
+
+def test_answer_parts_of_whole_turns(spark):
+    from frameseek.plans import text
+
+    class One:
+        conversations = spark.createDataFrame([(1, 0, "x" * 40 + ", late part,end")], "conv_id long, turn int, text string")
+
+    parts = text.answer_parts(One)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in parts and text.answer_parts(One).first().ok
