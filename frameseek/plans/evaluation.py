@@ -156,8 +156,10 @@ def containment(t: Tables) -> DataFrame:
 
 @query("E20_answer_match", "SELECT turn, count(*) AS n, count(*) FILTER (WHERE lower(trim(text)) = lower(trim(upper(text)))) AS exact, count(*) FILTER (WHERE strip_accents(lower(text)) = strip_accents(lower(upper(text)))) AS folded, count(*) FILTER (WHERE contains(text, left(text, 5))) AS inside FROM conversations WHERE NOT contains(text, 'ß') GROUP BY turn")
 def answer_match(t: Tables) -> DataFrame:
-    c, x = t.conversations.where("not contains(text, 'ß')"), F.col("text")
-    return c.groupBy("turn").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower(F.trim(x)) == F.lower(F.trim(F.upper(x)))).alias("exact"), F.count_if(tx.fold_marks(x) == tx.fold_marks(F.upper(x))).alias("folded"), F.count_if(F.contains(x, F.substring(x, 1, 5))).alias("inside"))
+    """All rows. The sharp s is ss when folded; exactly, it differs from its upper case SS."""
+    c, x = t.conversations, F.col("text")
+    fold = lambda y: tx.fold_marks(F.replace(y, F.lit("ß"), F.lit("ss")))
+    return c.groupBy("turn").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower(F.trim(x)) == F.lower(F.trim(F.upper(x)))).alias("exact"), F.count_if(fold(x) == fold(F.upper(x))).alias("folded"), F.count_if(F.contains(x, F.substring(x, 1, 5))).alias("inside"))
 
 
 @query("E21_four_way_ablation", f"WITH {RANKED} SELECT qid, min(rank) FILTER (WHERE gold) AS any_answer, min(rank) FILTER (WHERE gold AND video_id % 2 = 0) AS shared_answer, min(rank) FILTER (WHERE gold AND row_id % 2 = 0) AS row_answer, min(rank) FILTER (WHERE gold AND row_id % 2 = 0 AND score > 20) AS keyword_answer FROM r GROUP BY qid")

@@ -60,3 +60,9 @@ def test_answer_parts_of_whole_turns(spark):
 
     parts = text.answer_parts(One)._jdf.queryExecution().optimizedPlan().toString()
     assert "substring" not in parts and text.answer_parts(One).first().ok
+
+
+def test_answer_match_keeps_the_sharp_s(spark, tmp_path):
+    turns = [(1, 0, "user", "Straße"), (2, 0, "user", "plain é"), (3, 0, "user", None)]
+    got = run(spark, tmp_path, "E20_answer_match", conversations=(turns, "conv_id long, turn int, role string, text string"))
+    assert got == [(0, 3, 1, 2, 2)]
