@@ -1,10 +1,11 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every distinct 5-word shingle hash below a fixed fraction (1/8) of the
-hash range, and the least hash, so that no text with a word has an empty sketch. Two
-sketches merge by union; the share of one sketch's hashes found in the other
-estimates containment without bias however unequal the documents are, and their
-resemblance estimates likeness.
+A sketch keeps every distinct 5-word shingle hash below a fixed fraction of the hash
+range, and the least hash, so that no text with a word has an empty sketch. The
+fraction is the whole range: short texts have few shingles, and likeness and
+containment of their sketches are exact. Two sketches merge by union; the share of one
+sketch's hashes found in the other is containment, and their resemblance likeness; with
+a smaller fraction they are estimates.
 
 A fingerprint is the sketch as text: the kept hashes in ascending order, 48 bits
 each (the fraction's leading zero bits dropped), base64. Equal texts have equal
@@ -30,7 +31,7 @@ from frameseek.llm.common import prepare
 from frameseek.llm.hashing import shingle_hashes, word_hashes
 
 #: One hash in 2**FRACTION_BITS is kept.
-FRACTION_BITS = 3
+FRACTION_BITS = 0
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double,"
     " contained_edited double, contained_next double"
@@ -42,7 +43,7 @@ def sketch(text: str, k: int = 5, bits: int = FRACTION_BITS) -> np.ndarray:
     hashes = shingle_hashes(word_hashes(text.encode()), k)
     if not len(hashes):
         return hashes
-    kept = hashes[hashes < np.uint64(1 << (64 - bits))]
+    kept = hashes[hashes <= np.uint64((1 << (64 - bits)) - 1)]
     kept = np.append(kept, hashes.min()) if not len(kept) else kept
     return np.unique(kept >> np.uint64(16 - bits) & np.uint64((1 << 48) - 1))
 
