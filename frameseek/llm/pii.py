@@ -3,7 +3,8 @@
 Base spans come from four fixed patterns (e-mail, IP address, card number, phone
 number). They are the seeds of a pattern-instance graph over all documents: an
 instance is a seed's or a candidate's value (a token with at least four digits or an
-``@``), a pattern its words of context (the two before, or one before and one after).
+``@``), a pattern its words of context (the word before or after, the two before, the
+second before with any between, or one before and one after).
 Spark scores both sides in turn: a pattern is worth the mean confidence of its
 distinct instances and needs ``support`` trusted ones; an instance takes the
 combined confidence of its high-confidence patterns. Candidates whose confidence
@@ -98,8 +99,12 @@ def _context(text: str, start: int, end: int) -> list[str]:
     left = [w.lower() for w in _WORD.findall(text[max(0, start - 64) : start])][-2:]
     right = [w.lower() for w in _WORD.findall(text[end : end + 48])][:1]
     found = []
+    if left:
+        found.append(f"{left[-1]} _")
+    if right:
+        found.append(f"_ {right[0]}")
     if len(left) == 2:
-        found.append(f"{left[0]} {left[1]} _")
+        found += [f"{left[0]} {left[1]} _", f"{left[0]} * _"]
     if left and right:
         found.append(f"{left[-1]} _ {right[0]}")
     return found

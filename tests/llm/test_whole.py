@@ -13,3 +13,14 @@ def test_likeness_of_short_texts_is_their_shingles():
         x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
         near, inside = fingerprints.compare(fingerprints.sketch(" ".join(a)), fingerprints.sketch(" ".join(b)))
         assert abs(near - len(x & y) / len(x | y)) < 1e-12 and abs(inside - len(x & y) / len(x)) < 1e-12
+
+
+def test_pii_one_cue_word_or_a_gap_is_a_pattern(spark):
+    words = [f"w{'abcdefghijklmnopqrstuvwxyz'[i // 26]}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}" for i in range(200)]
+    rows = [(i, f"{words[i]} phone +49 30 1234{i:04d} {words[i + 60]}") for i in range(40)]
+    rows += [(100 + i, f"reach {words[i]} mail{i}@example.com {words[i + 60]}") for i in range(40)]
+    # Other neighbours than any seed's; the last has no cue.
+    rows += [(300, "qqq phone 0301234 rrr"), (301, "reach qqq me@localhost rrr"), (302, "sss number 20240101 ttt")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300].spans == "phone:10:17" and got[301].spans == "email:10:22"
+    assert got[302].n_added == 0 and sum(r.n_added for r in got.values()) == 2
