@@ -141,13 +141,17 @@ def containment(t: Tables) -> DataFrame:
     candidates come from the rarest of them; passages without an inner word meet every document.
     """
     a = t.benchmark.select(F.col("item_id").alias("no"), F.lower("text").alias("ans"), tx.fold_marks(F.col("text")).alias("bare"))
-    d = t.documents.select(F.col("doc_id"), F.lower("text").alias("low"), tx.fold_marks(F.col("text")).alias("plain"))
-    inner = F.array_distinct(F.slice(tx.unigrams(F.col("bare")), 2, F.greatest(F.size(tx.unigrams(F.col("bare"))) - 2, F.lit(0))))
+    d = t.documents.select(F.lower("text").alias("low"), tx.fold_marks(F.col("text")).alias("plain"))
+    words = tx.unigrams(F.col("bare"))
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
     keyed = a.select("no", F.explode(inner).alias("token"))
-    tok = d.select("doc_id", F.explode(F.array_distinct(tx.unigrams(F.col("plain")))).alias("token"))
-    df = tok.join(keyed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    key = keyed.join(df, "token").groupBy("no").agg(F.min(F.struct("df", "token"))["token"].alias("token"))
-    near = tok.join(key, "token").select("no", "doc_id").join(d, "doc_id").join(a, "no")
+    # What is broadcast are words of the passages, a table that does not grow with the documents.
+    tok = d.select(F.explode(F.array_distinct(tx.unigrams(F.col("plain")))).alias("token"))
+    df = tok.join(F.broadcast(keyed.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    key = keyed.join(df, "token").groupBy("no").agg(F.min(F.struct("df", "token"))["token"].alias("token")).join(a, "no")
+    keys = key.agg(F.collect_set("token").alias("keys"))
+    near = d.crossJoin(F.broadcast(keys)).select("low", "plain", F.array_intersect(tx.unigrams(F.col("plain")), "keys").alias("held")).where(F.size("held") > 0)
+    near = near.select("low", "plain", F.explode("held").alias("token")).join(F.broadcast(key), "token").drop("token")
     short = a.where(F.size(inner) == 0).crossJoin(d).select(near.columns)
     # A passage as written is found folded too: the fold goes letter by letter.
     hit = near.unionByName(short).where(F.col("plain").contains(F.col("bare"))).groupBy("no").agg(F.max(F.col("low").contains(F.col("ans"))).alias("raw"))
