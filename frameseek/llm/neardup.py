@@ -32,10 +32,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameseek.llm.common import prepare, shielded, staged
+from frameseek.llm.common import Scratch, parts_for, prepare, shielded, total_chars
 from frameseek.llm.components import connected_components
 from frameseek.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -51,6 +51,10 @@ COUNT_BITS = 20
 EARLIER = 16
 #: Keys in one batch at most.
 KEY_ROWS = 20_000
+#: Texts of a very common key word in one block of its cells.
+CROWD = 1000
+#: Spark's own limit on a table's buckets; beyond it buckets grow, and their rows stream through the joins.
+MOST_BUCKETS = 100_000
 
 
 def occurrences(values: np.ndarray) -> np.ndarray:
@@ -191,11 +195,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. A popular b meets one row, so AQE can split it."""
-    left = nodes.select(F.col("id").alias("a"), F.col("words").alias("wa"))
-    right = nodes.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    return staged(pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), name)
+def _linked(pairs: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose texts are similar.
+
+    Words come from the bucketed table where they lie; what is shuffled is the words of pairs only.
+    A popular b meets one row, and both sides of that join are shuffled, so AQE can split it.
+    """
+    left = nodes.join(pairs.hint("shuffle_hash"), nodes.id == pairs.a).select("a", "b", F.col("words").alias("wa"))
+    asked = pairs.select(F.col("b").alias("n")).distinct()
+    right = nodes.join(asked.hint("shuffle_hash"), nodes.id == asked.n).select("n", F.col("words").alias("wb"))
+    right = right.repartition("n")
+    both = left.repartition("b").join(right.hint("merge"), left.b == right.n)
+    return scratch.save(both.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), name)
 
 
 def _rare_keys(counts):
@@ -238,53 +249,89 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], names=["bucket", "n"])
 
 
+def _crowds(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of texts that share a key word and may be similar, b the lesser id.
+
+    A word's texts are dealt into blocks of about CROWD; a cell holds two blocks, so no
+    task holds all texts of a very common word. Pairs of one block meet in its own cell only.
+    """
+    crowd = keys.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    crowd = crowd.select(F.col("token").alias("t"), F.ceil(F.col("n") / CROWD).alias("blocks"))
+    dealt = keys.join(crowd, keys.token == crowd.t).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("token", "id", "comp", "size", "rank", "earlier", "block", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"))
+    dealt = scratch.save(dealt, "omh-cells")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    cell = (F.col("x.token") == F.col("y.token")) & (F.col("x.c1") == F.col("y.c1")) & (F.col("x.c2") == F.col("y.c2"))
+    cell &= (F.col("x.c1") == F.col("x.c2")) | (F.col("x.block") != F.col("y.block"))
+    left = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank"))  # words of each from this one on
+    close = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (left >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9)
+    close &= ~F.arrays_overlap("x.earlier", "y.earlier")
+    return x.join(y, cell & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct (doc_id, text): doc_id, text_md5, class_id."""
+    """One row for each distinct (doc_id, text): doc_id, text_md5, class_id. Two columns of the result are durable, the rest is dropped."""
     spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark, "omh")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
-    sketched = staged(rows.where("id is not null and text is not null").mapInArrow(_sketch, "id long, key binary, sigs array<long>, words binary"), "omh-sketches")
+    made = rows.where("id is not null and text is not null").mapInArrow(_sketch, "id long, key binary, sigs array<long>, words binary")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, parts_for(total_chars(docs, text_col), 64_000_000, 1)))
+    # The one shuffle of all texts' words: later joins on the id find them in place.
+    sketched = scratch.save_bucketed(made.repartition(buckets, "id").dropDuplicates(["id", "key"]), "sketches", "id", buckets)
 
-    first = sketched.groupBy("key").agg(F.min("id").alias("node"))
-    first = staged(first, "omh-texts")
-    nodes = sketched.join(first, (sketched.id == first.node) & (sketched.key == first.key), "left_semi").dropDuplicates(["id", "key"])
-    nodes = staged(nodes.select("id", "sigs", "words"), "omh-nodes")
+    first = scratch.save(sketched.groupBy("key").agg(F.min("id").alias("node")), "texts")
+    own = first.groupBy(F.col("node").alias("own")).agg(F.collect_set("key").alias("keys"))
+    own = scratch.save_bucketed(own, "nodes", "own", buckets)
+    nodes = sketched.join(own.hint("shuffle_hash"), sketched.id == own.own).where(F.array_contains("keys", F.col("key"))).select("id", "sigs", "words")
 
     bands = nodes.select("id", F.posexplode("sigs").alias("band", "sig")).select("id", F.xxhash64("band", "sig").alias("sig"))
     heads = bands.groupBy("sig").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged(bands.join(heads.select("sig", "head"), "sig"), "omh-buckets")
+    shared = scratch.save(bands.join(heads.select("sig", "head"), "sig"), "shared")
+    scratch.release()
     star = shared.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = _linked(star, nodes, "omh-links")
-    comps = connected_components(links)
+    links = _linked(scratch.save(star, "star"), nodes, scratch, "links")
+    scratch.drop("star")
+    comps = connected_components(links, scratch=scratch)
 
     # Buckets that are in several components still: their members go to the exact rest.
     named = shared.join(comps, shared.id == comps.node, "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
     open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    rest = staged(named.join(open_, "sig", "left_semi").select("id", "comp").distinct(), "omh-open")
-    rest_words = rest.join(nodes.select("id", "words"), "id").select("id", "comp", "words")
+    rest = scratch.save(named.join(open_, "sig", "left_semi").select("id", "comp").distinct(), "open")
+    scratch.drop("shared")
+    scratch.release()
+    rest = rest.select(F.col("id").alias("r"), "comp")
+    rest_words = nodes.join(rest.hint("shuffle_hash"), nodes.id == rest.r).select("id", "comp", "words")
     sums = rest_words.select("words").mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << COUNT_BITS, dtype=np.int64)  # 8 MiB, whatever the corpus
     table[sums["bucket"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
-    keys = staged(rest_words.mapInArrow(_rare_keys(spark.sparkContext.broadcast(table)), "token long, id long, comp long, size long, rank long, earlier array<long>"), "omh-rare")
-    crowd = Window.partitionBy("token")
-    keys = keys.withColumn("lo", F.min("comp").over(crowd)).withColumn("hi", F.max("comp").over(crowd)).where("lo <> hi").drop("lo", "hi")
-    x, y = keys.alias("x"), keys.alias("y")
-    left = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank"))  # words of each from this one on
-    close = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (left >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9)
-    close &= ~F.arrays_overlap("x.earlier", "y.earlier")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = _linked(more, nodes, "omh-more")
+    keys = rest_words.mapInArrow(_rare_keys(spark.sparkContext.broadcast(table)), "token long, id long, comp long, size long, rank long, earlier array<long>")
+    more = scratch.save(_crowds(scratch.save(keys, "rare"), scratch), "pairs")
+    scratch.drop("open", "rare", "omh-cells")
+    scratch.release()
+    more = _linked(more, nodes, scratch, "more")
+    scratch.drop("pairs")
     if more.limit(1).count():
-        comps = connected_components(links.union(more))
+        comps = connected_components(links.union(more), scratch=scratch)
 
     of_text = first.join(comps, first.node == comps.node, "left").select(F.col("key").alias("k"), F.coalesce(comps.comp, first.node).alias("class_id"))
     every = rows.select("id", "key").distinct()
-    return every.join(of_text, every.key == of_text.k, "left").select(F.col("id").alias("doc_id"), F.col("key").alias("text_md5"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+    found = every.join(of_text, every.key == of_text.k, "left")
+    found = scratch.save(found.select(F.col("id").alias("doc_id"), F.col("key").alias("text_md5"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id")), "classes")
+    scratch.drop("sketches", "texts", "nodes", "links", "more", "cc-links", "cc-labels")
+    scratch.release()
+    return found
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class: that with the class's id. Rows without an id stay."""
+    """One document of each class: that with the class's id. Rows without an id stay.
+
+    Of several texts under the class's id the one with the least MD5 stays; of rows equal in id and text one.
+    """
     docs, (id_col, text_col), names = shielded(docs, id_col, text_col)
-    found = classes(docs, id_col, text_col).where("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_key"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.unhex(F.md5(F.col(text_col).cast("binary"))).eqNullSafe(F.col("_key"))
-    kept = docs.join(found, same, "left_semi")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())).toDF(*names)
+    found = classes(docs, id_col, text_col).where("doc_id = class_id").groupBy("doc_id").agg(F.min(F.coalesce("text_md5", F.lit(b""))).alias("_key")).withColumnRenamed("doc_id", "_id")
+    rows = docs.where(F.col(id_col).isNotNull()).withColumn("_at", F.col(id_col).cast("long"))
+    # The texts are shuffled once, by id: the choice of the text and of one row follow in place.
+    kept = rows.join(found.hint("shuffle_hash"), F.col("_at") == F.col("_id"))
+    kept = kept.where(F.coalesce(F.unhex(F.md5(F.col(text_col).cast("binary"))), F.lit(b"")) == F.col("_key")).dropDuplicates(["_at"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull())).toDF(*names)
