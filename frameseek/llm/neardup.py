@@ -53,6 +53,8 @@ EARLIER = 16
 KEY_ROWS = 20_000
 #: Texts of a very common key word in one block of its cells.
 CROWD = 1000
+#: Texts of the exact rest in one task.
+REST_ROWS = 2000
 #: Spark's own limit on a table's buckets; beyond it buckets grow, and their rows stream through the joins.
 MOST_BUCKETS = 100_000
 
@@ -301,7 +303,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch.drop("shared")
     scratch.release()
     rest = rest.select(F.col("id").alias("r"), "comp")
+    # Few texts remain here as a rule: a task has about REST_ROWS of them, not one bucket's share.
     rest_words = nodes.join(rest.hint("shuffle_hash"), nodes.id == rest.r).select("id", "comp", "words")
+    rest_words = rest_words.coalesce(max(1, -(-rest.count() // REST_ROWS)))
     sums = rest_words.select("words").mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << COUNT_BITS, dtype=np.int64)  # 8 MiB, whatever the corpus
     table[sums["bucket"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
