@@ -1,34 +1,42 @@
 """Personal data: base patterns plus bootstrapped contextual extraction.
 
 Base spans come from four fixed patterns (e-mail, IP address, card number, phone
-number). They are the seeds of a pattern-instance graph over all documents: an
-instance is a seed's or a candidate's value (a token with at least four digits or an
-``@``), a pattern its words of context (the word before or after, the two before, the
-second before with any between, or one before and one after).
+number). They are the seeds of a pattern-instance graph over all documents. An instance
+is the value of a seed or of a candidate: a token with at least four digits or an ``@``,
+or up to four tokens that begin with ``+`` and hold the digits of a phone number. Values
+are told apart by form, so an IP address and a number of the same digits are two. A
+pattern is lexical (the word before or after, the two before, the second before with any
+between, one before and one after), the shape of the value (its digits by count, its
+letters as one, its signs), or the word before together with the shape. A dotted quad
+with a part above 255 is no candidate, and a number of 14 to 19 digits that fails Luhn
+has no shape: what the base patterns mean to leave out, a shape alone never brings back.
+
 Spark scores both sides in turn: a pattern is worth the mean confidence of its
 distinct instances and needs ``support`` trusted ones; an instance takes the
 combined confidence of its high-confidence patterns. Candidates whose confidence
-reaches ``accept`` become spans of the pattern's kind. Base spans always stay.
+reaches ``accept``, and those whose value is a seed's, become spans of the kind. Base
+spans always stay.
 
 Rows of the graph are distinct (pattern, instance) pairs and their scores are sums, so
 a very common context or value is aggregated before it is shuffled.
 
 Defined results: a null text is the empty text, without spans. Repeated rows get the
-same spans each. Offsets are code points, the end exclusive. A span found by context
-never overlaps a base span.
+same spans each. Offsets are code points, the end exclusive. A span that the graph adds
+overlaps no other span; of two that would overlap the first stays, then the longer.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameseek.llm.common import prepare, shielded, staged
+from frameseek.llm.common import Scratch, prepare, shielded
 
 #: The kinds in order.
 KINDS = ("email", "ip", "card", "phone")
@@ -39,7 +47,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\s0-9@]*+[0-9@]\S*+")
+# From a token's first digit or @ to its end; the token's start is sought backwards, so a long run is read once.
+_TOKEN = re.compile(r"[0-9@]\S*+")
+_PHONE_PART = re.compile(r"[+(]?[0-9][0-9().-]*")
+_QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_LONG_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_DIGITS, _LETTERS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
 _EDGE = " .,;:!?()[]{}<>\"'|*#$%&=~`"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,6 +72,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octets(quad: str) -> bool:
+    """Whether every part is at most 255; parts may be of any length."""
+    parts = [p.lstrip("0") for p in quad.split(".")]
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the e-mail pattern: for each domain, the run of local characters before its @."""
     last, at = 0, text.find("@")
@@ -78,7 +97,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     spans = [(s, e, 0) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if octets(m.group()):
                 spans.append((m.start(), m.end(), 1))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -95,10 +114,32 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
+def shape(value: str) -> str:
+    """Digits by their count, runs of letters as ``a``, signs as they are: ``+1 (555) 123`` is ``+d1 (d3) d3``."""
+    return _DIGITS.sub(lambda m: f"\0{len(m.group())}", _LETTERS.sub("a", value[:80])).replace("\0", "d")
+
+
+def instance(value: str) -> str:
+    """The value's node: its form, and its characters without what the form lets vary."""
+    digits = "".join(_DIGIT.findall(value))
+    if "@" in value:
+        return "mail:" + value.lower()
+    if value.startswith("+"):
+        return "plus:" + digits
+    if _QUAD.fullmatch(value):
+        return "quad:" + value
+    return "number:" + digits if _LONG_NUMBER.fullmatch(value) else "other:" + value.lower()
+
+
+def _patterns(text: str, start: int, end: int) -> list[str]:
     left = [w.lower() for w in _WORD.findall(text[max(0, start - 64) : start])][-2:]
     right = [w.lower() for w in _WORD.findall(text[end : end + 48])][:1]
-    found = []
+    value, found = text[start:end], []
+    number = _LONG_NUMBER.fullmatch(value)
+    digits = "".join(_DIGIT.findall(value)) if number else ""
+    if not (14 <= len(digits) <= 19) or luhn(digits):
+        form = shape(value)
+        found += [f"shape {form}"] + ([f"{left[-1]} | {form}"] if left else [])
     if left:
         found.append(f"{left[-1]} _")
     if right:
@@ -110,8 +151,41 @@ def _context(text: str, start: int, end: int) -> list[str]:
     return found
 
 
+def _identifiers(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with four digits or an inner @, and phone-like runs of up to four tokens from a plus sign."""
+    for m in _TOKEN.finditer(text):
+        s, e = m.span()
+        while s and not text[s - 1].isspace():
+            s -= 1
+        plus = text.find("+", s, m.start())
+        if plus >= 0 and not text[plus + 1 : m.start()].strip("("):
+            at, digits = plus, 0
+            for _ in range(4):
+                part = _PHONE_PART.match(text, at)
+                if not part:
+                    break
+                stop = part.end()
+                while stop > at and not text[stop - 1].isdigit():
+                    stop -= 1
+                digits += len(_DIGIT.findall(part.group()))
+                if 10 <= digits <= 15:
+                    yield plus, stop
+                if digits > 15 or text[part.end() : part.end() + 1] != " ":
+                    break
+                at = part.end() + 1
+        while s < e and text[s] in _EDGE:
+            s += 1
+        while e > s and text[e - 1] in _EDGE:
+            e -= 1
+        core = text[s:e]
+        if len(_DIGIT.findall(core)) < 4 and not (0 < core.find("@") < len(core) - 1):
+            continue
+        if not _QUAD.fullmatch(core) or octets(core):
+            yield s, e
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds (the base spans) and further identifier-like tokens with their contexts."""
+    """Seeds (the base spans) and further identifier-like tokens with their patterns."""
     out = [(s, e, k) for s, e, k in spans]
     merged: list[list[int]] = []
     for s, e, _ in spans:
@@ -119,28 +193,14 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
-    nxt = 0
+    starts = [m[0] for m in merged]
     if "@" in text or _DIGIT.search(text):
-        for m in _TOKEN.finditer(text):
-            s, e = m.span()
-            while s < e and text[s] in _EDGE:
-                s += 1
-            while e > s and text[e - 1] in _EDGE:
-                e -= 1
-            core = text[s:e]
-            if len(_DIGIT.findall(core)) < 4 and not (0 < core.find("@") < len(core) - 1):
-                continue
-            while nxt < len(merged) and merged[nxt][1] <= s:
-                nxt += 1
-            if nxt < len(merged) and merged[nxt][0] < e:
-                continue
-            out.append((s, e, -1))
-    rows = []
-    for s, e, k in out:
-        patterns = _context(text, s, e)
-        if patterns:
-            rows.append({"start": s, "end": e, "kind": k, "inst": re.sub(r"[\s().-]", "", text[s:e]).lower(), "patterns": patterns})
-    return rows
+        for s, e in _identifiers(text):
+            nxt = bisect_right(starts, s)
+            inside = nxt and merged[nxt - 1][1] > s
+            if not inside and not (nxt < len(merged) and merged[nxt][0] < e):
+                out.append((s, e, -1))
+    return [{"start": s, "end": e, "kind": k, "inst": instance(text[s:e]), "patterns": _patterns(text, s, e)} for s, e, k in out]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +218,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = 3, support: int = 3, trust: float = 0.8, accept: float = 0.9) -> DataFrame:
-    """(inst, kind, confidence) of the instances that high-confidence patterns discover."""
-    graph = staged(
-        occurrences.select(F.explode("patterns").alias("pattern"), "inst", "kind").groupBy("pattern", "inst").agg(F.max("kind").alias("kind")),
-        "pii-graph",
-    )
-    seeds = graph.where("kind >= 0").groupBy("inst").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("confidence"))
-    known, found = seeds, None
+def bootstrap(occurrences: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 3, trust: float = 0.8, accept: float = 0.9) -> DataFrame:
+    """(inst, kind, confidence) of the seeds and of the instances that high-confidence patterns discover."""
+    seeds = occurrences.where("kind >= 0").groupBy("inst").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("confidence"))
+    seeds = scratch.save(seeds, "seeds")
+    edges = occurrences.select(F.explode("patterns").alias("pattern"), "inst").distinct()
+    marked = seeds.select(F.col("inst").alias("i"), "kind")
+    graph = scratch.save(edges.join(marked, edges.inst == marked.i, "left").select("pattern", "inst", F.coalesce("kind", F.lit(-1)).alias("kind")), "graph")
+    known = seeds
     for _ in range(rounds):
         sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         votes = graph.select("pattern", "inst").join(known, "inst").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"), F.count(F.lit(1)).alias("trusted"))
@@ -180,34 +240,39 @@ def bootstrap(occurrences: DataFrame, rounds: int = 3, support: int = 3, trust:
             .agg(F.max(F.struct("confidence", "kind")).alias("best"))
             .select("inst", F.col("best.kind").alias("kind"), F.col("best.confidence").alias("confidence"))
             .where(F.col("confidence") >= accept)
-            .join(seeds.select("inst"), "inst", "left_anti")
         )
-        found = staged(scored, "pii-found")
+        found = scratch.save(scored, "found")
         known = seeds.unionByName(found)
-    return found
+    scratch.drop("graph")
+    return known
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text_hash, base counts, base_sha256, base and all spans, and how many the contexts added."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(_scan, SCHEMA)
-    rows = staged(rows, "pii-rows")
+    scratch = Scratch(docs.sparkSession, "pii")
+    rows = scratch.save(rows, "rows")
     occurrences = rows.select("doc_id", "text_hash", F.inline("candidates"))
-    found = bootstrap(occurrences)
+    found = bootstrap(occurrences, scratch)
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(k))])
     added = (
         occurrences.where("kind < 0")
         .select("doc_id", "text_hash", "start", "end", "inst")
         .join(found.select("inst", "kind"), "inst")
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
+        .agg(F.collect_set(F.struct("start", (-F.col("end")).alias("until"), "kind")).alias("extra"))
     )
+    # By start, then the longest: what overlaps the span kept last goes.
+    span = "array<struct<start:int,kind:int,end:int>>"
+    keep = lambda kept, x: F.when((F.size(kept) > 0) & (F.element_at(kept, -1)["end"] > x["start"]), kept).otherwise(F.concat(kept, F.array(F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["until"]).alias("end")))))
+    added = added.select("doc_id", "text_hash", F.aggregate(F.array_sort("extra"), F.array().cast(span), keep).alias("extra"))
     left = rows.drop("candidates").alias("r")
     hit = added.alias("a")
     same = F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_hash") == F.col("a.text_hash"))
     kind_no = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     parse = lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), kind_no[F.split(s, ":")[0]].alias("kind"), F.split(s, ":")[2].cast("int").alias("end"))
-    base = F.when(F.col("r.base") == "", F.array().cast("array<struct<start:int,kind:int,end:int>>")).otherwise(F.transform(F.split("r.base", ","), parse))
+    base = F.when(F.col("r.base") == "", F.array().cast(span)).otherwise(F.transform(F.split("r.base", ","), parse))
     every = F.array_sort(F.concat(base, F.col("a.extra")))
     spans = F.array_join(F.transform(every, lambda x: F.concat_ws(":", order[x["kind"]], x["start"], x["end"])), ",")
     return left.join(hit, same, "left").select("r.*", F.when(F.col("a.extra").isNull(), F.col("r.base")).otherwise(spans).alias("spans"), F.coalesce(F.size("a.extra"), F.lit(0)).cast("long").alias("n_added"))
