@@ -8,7 +8,9 @@ common divisor, so the N points are a permutation: mapped through the sources'
 cumulative slot counts, every stretch of the schedule mixes the sources by weight and
 each source gets exactly its slots. Ranked within its source, slot r takes block r (after
 the last block the first again, for at most two rounds), and the last slot takes only
-the words that are missing to the target.
+the words that are missing to the target. The schedule is the order of the mix: a
+document stands at the first slot that takes words of it, and `materialise` lays the
+texts out in that order.
 
 Ranks and running sums over a source go through fixed-size buckets (local order, then
 a running sum of bucket totals), so a hot source is no single task.
@@ -104,7 +106,10 @@ def schedule(sources: DataFrame, total: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, and taken in the first and second round."""
+    """One row a document: doc_id, size, source_size, target, taken, and of each round the words taken and the first slot.
+
+    ``slots`` is the schedule's length; ``first_slot``, ``slot_1`` and ``slot_2`` are null where nothing is taken.
+    """
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -121,14 +126,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = staged(plan, "mix-plan")
     rows, total = d.count(), int(plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
 
-    digits = max(1, min(8, math.ceil(math.log(max(rows, 1) / 2000 + 1, 16))))
+    digits = max(1, math.ceil(math.log(max(rows, 1) / 2000 + 1, 16)))
     placed = d.withColumn("bucket", F.substring("h", 1, digits))
     placed = running(placed, ["source"], "bucket", ["h", "doc_id"], F.col("size"), "start")
     placed = placed.join(plan.select(F.col("source").alias("_s"), "source_no", "source_size", "target"), placed.source.eqNullSafe(F.col("_s")))
     placed = staged(placed.select("source_no", "h", "doc_id", "start", "size", "source_size", "target"), "mix-placed")
     if not total:
-        zero = F.lit(0).cast("long")
-        return placed.select("doc_id", "size", "source_size", "target", zero.alias("taken"), zero.alias("taken_1"), zero.alias("taken_2"), "h")
+        zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+        return placed.select("doc_id", "size", "source_size", "target", *[zero.alias(c) for c in ("taken", "taken_1", "taken_2")], *[none.alias(c) for c in ("first_slot", "slot_1", "slot_2")], zero.alias("slots"), "h")
 
     # Equal-token blocks: the pieces of documents that each holds.
     pieces = placed.where("size > 0").select("source_no", "h", "doc_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))).alias("block"))
@@ -137,34 +142,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = schedule(plan.select("source_no", "slots"), total).join(plan.select("source_no", "blocks", "want", "source_size"), "source_no")
     slots = slots.withColumn("pass", F.floor(F.col("rank") / F.col("blocks"))).withColumn("block", F.pmod("rank", "blocks"))
     slots = slots.withColumn("until", F.least((F.col("block") + 1) * BLOCK, F.col("source_size"), F.col("want") - F.col("pass") * F.col("source_size")))
-    slots = slots.groupBy("source_no", "block").agg(F.max(F.when(F.col("pass") == 0, F.col("until"))).alias("until_1"), F.max(F.when(F.col("pass") == 1, F.col("until"))).alias("until_2"))
+    in_pass = lambda n, c: F.when(F.col("pass") == n, F.col(c))
+    slots = slots.groupBy("source_no", "block").agg(*[x for n in (0, 1) for x in (F.max(in_pass(n, "until")).alias(f"until_{n + 1}"), F.min(in_pass(n, "slot")).alias(f"at_{n + 1}"))])
     took = pieces.join(slots.hint("merge"), ["source_no", "block"])
-    part = lambda c: F.greatest(F.least(F.col("hi"), F.coalesce(F.col(c), F.lit(0))) - F.col("lo"), F.lit(0))
+    part = lambda n: F.greatest(F.least(F.col("hi"), F.coalesce(F.col(f"until_{n}"), F.lit(0))) - F.col("lo"), F.lit(0))
     # Rows equal in id and text differ in start.
-    took = took.groupBy(F.col("source_no").alias("_no"), F.col("h").alias("_h"), F.col("start").alias("_start")).agg(F.sum(part("until_1")).alias("t1"), F.sum(part("until_2")).alias("t2"))
+    took = took.groupBy(F.col("source_no").alias("_no"), F.col("h").alias("_h"), F.col("start").alias("_start"))
+    took = took.agg(*[x for n in (1, 2) for x in (F.sum(part(n)).alias(f"t{n}"), F.min(F.when(part(n) > 0, F.col(f"at_{n}"))).alias(f"slot_{n}"))])
     found = placed.join(took.hint("merge"), (F.col("source_no") == F.col("_no")) & (F.col("h") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     t1, t2 = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("t1", "t2"))
-    return found.select("doc_id", "size", "source_size", "target", (t1 + t2).alias("taken"), t1.alias("taken_1"), t2.alias("taken_2"), "h")
+    return found.select("doc_id", "size", "source_size", "target", (t1 + t2).alias("taken"), t1.alias("taken_1"), t2.alias("taken_2"), F.least("slot_1", "slot_2").alias("first_slot"), "slot_1", "slot_2", F.lit(total).cast("long").alias("slots"), "h")
 
 
 def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: a row for each document and round in which words of it are taken.
+    """The mix itself in the schedule's order: a row for each document and round in which words of it are taken.
 
     A document cut by its source's target keeps its first words; a document taken twice
-    comes twice; one of which nothing is taken goes.
+    comes twice, at the slots of its rounds; one of which nothing is taken goes. Output
+    partition p holds the p-th stretch of the schedule, sorted by slot, so every stretch of
+    the corpus mixes the sources by weight.
     """
     n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     docs, (id_col, text_col, source_col), names = shielded(docs, id_col, text_col, source_col)
-    taken = mix(docs, id_col, text_col, source_col).select(F.col("h").alias("_h"), F.explode(F.array("taken_1", "taken_2")).alias("_take")).where("_take > 0")
+    rounds = F.array(*[F.struct(F.col(f"taken_{n}").alias("take"), F.col(f"slot_{n}").alias("slot")) for n in (1, 2)])
+    taken = mix(docs, id_col, text_col, source_col).select(F.col("h").alias("_h"), "slots", F.explode(rounds).alias("_take")).where("_take.take > 0")
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     # Rows equal in id and text: number both sides, so that each row meets its own takes.
     own = Window.partitionBy("_k").orderBy("_k")
-    taken = taken.groupBy("_h").agg(F.array_sort(F.collect_list("_take"), lambda a, b: b.cast("int") - a.cast("int")).alias("_takes"))
+    taken = taken.groupBy("_h").agg(F.sort_array(F.collect_list("_take"), asc=False).alias("_takes"), F.max("slots").alias("_slots"))
     texts = docs.withColumn("_k", key).withColumn("_n", F.row_number().over(own)).withColumn("_of", F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rows = texts.join(taken.hint("merge"), F.col("_k") == F.col("_h")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_takes") - 1))).where(F.pmod(F.col("_i"), F.col("_of")) == F.col("_n") - 1)
-    rows = rows.withColumn("_take", F.get("_takes", F.col("_i")))
+    rows = rows.withColumn("_take", F.get("_takes", F.col("_i"))["take"]).withColumn("_slot", F.get("_takes", F.col("_i"))["slot"])
     size = F.regexp_count(F.col(text_col), F.lit(WORD))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("_take").cast("int")), "")
     text = F.when(F.col("_take") >= size, F.col(text_col)).otherwise(first)
     out = {text_col: text, f"c{n_at}": F.length(text).cast("long")}
-    return rows.select(*[(out[c].alias(c) if c in out else F.col(c)) for c in docs.columns]).toDF(*names)
+    rows = rows.select(*[(out[c].alias(c) if c in out else F.col(c)) for c in docs.columns], "_slot", "_k", "_slots")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The stretch of a slot is known without sampling: slots are even over the schedule.
+    rows = rows.repartitionById(parts, F.floor(F.col("_slot") * parts / F.col("_slots")).cast("int")).sortWithinPartitions("_slot", "_k")
+    return rows.select(*docs.columns).toDF(*names)

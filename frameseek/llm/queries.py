@@ -53,7 +53,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +96,35 @@ WITH d AS (
   FROM w
 ), t AS (
   SELECT source, source_size, least(cap, max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight) AS target FROM l
+), z AS (
+  SELECT *, CAST(ceil(least(want, source_size) / 64.0) + ceil(greatest(want - source_size, 0) / 64.0) AS BIGINT) AS slots, CAST(ceil(source_size / 64.0) AS BIGINT) AS blocks
+  FROM (SELECT *, CAST(round(target) AS BIGINT) AS want FROM t)
+), o AS (
+  SELECT *, CAST(sum(slots) OVER (ORDER BY source IS NULL, source) AS BIGINT) AS hi FROM z
+), n AS (
+  SELECT n, greatest(1, CAST(round(n * 2 / (1 + sqrt(5.0::DOUBLE))) AS BIGINT)) AS near FROM (SELECT CAST(coalesce(sum(slots), 0) AS BIGINT) AS n FROM z)
+), g AS (
+  SELECT n, g FROM (SELECT n, d, unnest([near + d, near - d]) AS g, near FROM n, range(1000) r(d)) WHERE g > 0 AND gcd(g, n) = 1 ORDER BY d, g < near LIMIT 1
+), i AS (
+  SELECT slot, (slot * g) % n AS point FROM (SELECT unnest(range(n)) AS slot, g, n FROM g)
+), k AS (
+  SELECT o.source, o.want, o.source_size, o.blocks, i.slot, row_number() OVER (PARTITION BY o.source ORDER BY i.slot) - 1 AS rank
+  FROM i JOIN o ON i.point >= o.hi - o.slots AND i.point < o.hi
+), u AS (
+  SELECT source, slot, rank % blocks AS block, least((rank % blocks + 1) * 64, source_size, want - (rank // blocks) * source_size) AS until FROM k
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS want,
+  SELECT d.doc_id, d.h, d.size, d.source, t.source_size, t.target,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT h, source, a, greatest(a, block * 64) AS lo, least(a + size, (block + 1) * 64) AS hi, block
+  FROM (SELECT *, unnest(range(a // 64, (a + size - 1) // 64 + 1)) AS block FROM p WHERE size > 0)
+), x AS (
+  SELECT c.h, c.source, c.a, sum(greatest(least(c.hi, u.until) - c.lo, 0)) AS taken, min(u.slot) FILTER (WHERE least(c.hi, u.until) > c.lo) AS first_slot
+  FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source AND c.block = u.block GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target,
-       greatest(0, least(a + size, want) - a) + greatest(0, least(a + size, want - source_size) - a) AS taken
-FROM p
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(x.taken, 0) AS BIGINT) AS taken, x.first_slot
+FROM p LEFT JOIN x ON p.h = x.h AND p.a = x.a AND p.source IS NOT DISTINCT FROM x.source AND p.size > 0
 """
 
 OP10_SQL = """
