@@ -1,19 +1,22 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every distinct 5-word shingle hash below a fixed fraction of the hash
-range, and the least hash, so that no text with a word has an empty sketch. The
-fraction is the whole range: short texts have few shingles, and likeness and
-containment of their sketches are exact. Two sketches merge by union; the share of one
-sketch's hashes found in the other is containment, and their resemblance likeness; with
-a smaller fraction they are estimates.
-
-A fingerprint is the sketch as text: the kept hashes in ascending order, 48 bits
-each (the fraction's leading zero bits dropped), base64. Equal texts have equal
-fingerprints; a text without words has the empty fingerprint "".
+range. The fraction is the whole range: short texts have few shingles, and likeness and
+containment of their sketches are exact; with a smaller fraction they are estimates. A
+text with words but no hash below the threshold keeps its least hash, which lies above
+the threshold and is thereby told apart: `merge` drops it as soon as the union has a
+hash below, and keeps the least of such hashes otherwise, so the merge of two sketches
+is the sketch of all their shingles. The share of one sketch's hashes found in the
+other is containment, and their resemblance likeness.
+
+A fingerprint is the sketch as text: the leading 48 bits of the kept hashes in ascending
+order, base64. Equal texts have equal fingerprints; a text without words has the empty
+fingerprint "".
 
 Defined results: a null text is the empty text. Two empty sketches have likeness and
 containment 1, an empty and a non-empty one 0. Documents are ordered by id (nulls
-first; rows with one id by text), and the one after the last is the first.
+first; rows with one id by the MD5 of their texts), and the one after the last is the
+first.
 """
 
 from __future__ import annotations
@@ -23,29 +26,33 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameseek.llm.common import prepare
+from frameseek.llm.common import parts_for, prepare, total_chars
 from frameseek.llm.hashing import shingle_hashes, word_hashes
 
 #: One hash in 2**FRACTION_BITS is kept.
 FRACTION_BITS = 0
+#: Characters of text in one range of the document order.
+RANGE_CHARS = 64_000_000
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double,"
     " contained_edited double, contained_next double"
 )
 
 
+def _kept(values: np.ndarray, bits: int) -> np.ndarray:
+    """Of ascending distinct 48-bit values those below the threshold; the least if there is none."""
+    below = values[values < np.uint64(1 << (48 - bits))]
+    return below if len(below) else values[:1]
+
+
 def sketch(text: str, k: int = 5, bits: int = FRACTION_BITS) -> np.ndarray:
     """Ascending 48-bit values of the kept shingle hashes."""
-    hashes = shingle_hashes(word_hashes(text.encode()), k)
-    if not len(hashes):
-        return hashes
-    kept = hashes[hashes <= np.uint64((1 << (64 - bits)) - 1)]
-    kept = np.append(kept, hashes.min()) if not len(kept) else kept
-    return np.unique(kept >> np.uint64(16 - bits) & np.uint64((1 << 48) - 1))
+    return _kept(np.unique(shingle_hashes(word_hashes(text.encode()), k) >> np.uint64(16)), bits)
 
 
 def to_text(values: np.ndarray) -> str:
@@ -60,9 +67,9 @@ def from_text(fingerprint: str) -> np.ndarray:
     return wide.reshape(-1).view(">u8").astype(np.uint64)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, bits: int = FRACTION_BITS) -> np.ndarray:
     """Sketch of two texts' shingles together."""
-    return np.union1d(a, b)
+    return _kept(np.union1d(a, b), bits)
 
 
 def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
@@ -99,29 +106,30 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form (the last quarter replaced by the next text's start).
 
-    The next document is found without a global sort in one task: ids are cut at
-    quantiles into buckets, each bucket gets its successor's first row as a guest, and
-    one shuffle by bucket brings the rows together. Only one id per bucket is gathered.
+    The next document is found without a global sort in one task: the keys alone (id and
+    MD5 of the text, so a hot id is many keys) are cut into ranges, each range gets its
+    successor's first row as a guest, and one shuffle by range brings the rows together.
+    One key for RANGE_CHARS of text is gathered.
     """
     prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, first = d.agg(F.count(F.lit(1)), F.count("doc_id")).first()
-    buckets = max(64, min(4096, n // 2000))
-    cuts = []
-    if first:
-        wanted = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(d.agg(F.percentile_approx("doc_id", wanted, 100 * buckets)).first()[0]))
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket)
-    placed = d.withColumn("bucket", bucket)
-    # One row a bucket (4,096 at most): its first id, and where that row goes as a guest.
-    heads = placed.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.lit(0).alias("all"))
-    whole = Window.partitionBy("all").orderBy("bucket")
-    heads = heads.select("head", F.coalesce(F.lag("bucket").over(whole), F.max("bucket").over(Window.partitionBy("all"))).alias("to"))
-    guests = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "inner")
-    least = Window.partitionBy("to").orderBy("text")
-    guests = guests.withColumn("r", F.row_number().over(least)).where("r = 1").select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
-    rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)
-    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    # The id as hexadecimal digits in its numeric order, then the text's digest.
+    number = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    d = d.withColumn("key", F.concat(F.coalesce(number, F.lit("")), F.lit(":"), F.md5(F.col("text").cast("binary"))))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_for(total_chars(docs, text_col), RANGE_CHARS))
+    keys = d.select("key").repartitionByRange(ranges, "key").select("key", F.spark_partition_id().alias("p"))
+    heads = sorted(r["key"] for r in keys.groupBy("p").agg(F.min("key").alias("key")).collect())
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(heads, dtype="S49"))
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, key.to_numpy(dtype="S49"), side="right") - 1)
+
+    placed = d.withColumn("bucket", place("key"))
+    of_head = docs.sparkSession.createDataFrame([(k, (i - 1) % len(heads)) for i, k in enumerate(heads)], "head string, to int")
+    # The rows of one key are equal; heads are as many as ranges, 60 bytes each.
+    guests = placed.drop("bucket").join(F.broadcast(of_head), F.col("key") == F.col("head"))
+    guests = guests.groupBy(F.col("to").alias("bucket"), "key").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rows = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    dealt = rows.repartition(max(len(heads), 1), "bucket").sortWithinPartitions("bucket", "guest", "key")
     return dealt.select("doc_id", "text", "guest").mapInArrow(_pairs, SCHEMA)
