@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,16 +152,62 @@ def test_lm_base_and_normalisation(spark):
     rows = [(i, " ".join(rng.choices(WORDS, k=20)).title(), i % 3 > 0) for i in range(90)]
     d = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
     got = {r.doc_id: r for r in lm.score(d, "train").collect()}
-    from collections import Counter
-
     c = Counter(w for _, t, tr in rows if tr for w in t.lower().split())
     ends = sum(tr for *_, tr in rows)
     n, v = sum(c.values()) + ends, len(c) + 1
     for i, t, _ in rows:
         p = [np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t.lower().split()] + [np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))]
         assert abs(got[i].base_score - sum(p)) < 1e-9 and got[i].train_tokens == n and got[i].score < 0
-    table = lm.nce(np.array([0, 5, 9]), np.array([3.0, 2.0, 1.0]), steps=20).reshape(-1, lm.CLASSES)
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1.0, atol=1e-4)
+
+
+def test_lm_scores_equal_the_formula_and_sum_to_one(spark, monkeypatch):
+    made = {}
+    train, choose = lm.nce, lm.vocabulary
+    monkeypatch.setattr(lm, "nce", lambda *a, **k: made.setdefault("model", train(*a, **k)))
+    monkeypatch.setattr(lm, "vocabulary", lambda *a: made.setdefault("vocab", choose(*a)))
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choices(WORDS * 3 + [f"rare{j}" for j in range(40)], k=rng.choice([0, 1, 9]))), i % 4 > 0) for i in range(120)] + [(500, None, False)]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), "train").collect()}
+    m, v = made["model"], made["vocab"]
+
+    def plain(unit, one, two):  # all of a step's members, one by one
+        p = m.one[one].astype(float) + m.two[two]
+        s = np.array([p @ m.clusters[c] + m.cluster_bias[c] for c in range(len(m.clusters))])
+        c = unit // m.size
+        lo, hi = c * m.size, min(len(m.units), (c + 1) * m.size)
+        t = np.array([p @ m.units[i] + m.unit_bias[i] for i in range(lo, hi)])
+        return s[c] - np.log(np.exp(s).sum()) + t[unit - lo] - np.log(np.exp(t).sum())
+
+    count = Counter(w for _, t, tr in rows if tr for w in (t or "").split())
+    for i, t, _ in rows:
+        words = [w.encode() for w in (t or "").split()]
+        units = [*v.units(words).tolist(), v.end]
+        want = 0.0
+        for k, u in enumerate(units):
+            want += plain(u, units[k - 1] if k else v.start, units[k - 2] if k > 1 else v.start)
+            if len(v.own) <= u < v.end:
+                want += np.log((count[words[k].decode()] + 0.5) / (v.mass[u] + 0.5 * (v.types[u] + 1)))
+        assert abs(got[i] - want / np.log(10)) < 1e-3 * max(1, len(units)), i
+    every = np.arange(len(v.mass))
+    for one, two in ((v.start, v.start), (0, v.start), (3, 1)):
+        assert abs((10.0 ** m.log10(np.full(len(every), two), np.full(len(every), one), every)).sum() - 1) < 1e-4
+    shares = {u: 0.0 for u in range(len(v.own), v.end)}
+    for w, n in count.items():
+        u = int(v.units([w.encode()])[0])
+        if u in shares:
+            shares[u] += (n + 0.5) / (v.mass[u] + 0.5 * (v.types[u] + 1))
+    for u, share in shares.items():  # what is left is the room for unseen words
+        assert abs(share + 0.5 / (v.mass[u] + 0.5 * (v.types[u] + 1)) - 1) < 1e-9
+
+
+def test_lm_learns_context():
+    rng = np.random.default_rng(3)
+    w = np.zeros(30_000, dtype=np.int32)
+    for i in range(2, len(w)):  # what follows depends on the unit before
+        w[i] = (w[i - 1] * 7 + 3) % 50 if rng.random() < 0.8 else rng.integers(50)
+    t = np.column_stack((w[:-2], w[1:-1], w[2:]))
+    m = lm.nce(t[:25_000], np.bincount(w, minlength=50).astype(float))
+    assert m.log10(t[25_000:, 0], t[25_000:, 1], t[25_000:, 2]).mean() > -1.0  # log10(1/50) is -1.7
 
 
 def test_banded_distance_equals_brute_force():
@@ -232,6 +279,23 @@ def test_mixing_targets_and_limits(spark):
     assert made.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] == sum(r.taken for r in got)
 
 
+def test_mixing_order_comes_from_the_schedule(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(60, 70))), "abc"[i % 3]) for i in range(900)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    target = {r.doc_id % 3: r.target for r in got}
+    order = sorted((s, r.doc_id % 3, t) for r in got for s, t in ((r.slot_1, r.taken_1), (r.slot_2, r.taken_2)) if t)
+    for lo in range(0, len(order) - 150, 75):  # every stretch holds the sources by weight
+        some, words = order[lo : lo + 150], sum(t for *_, t in order[lo : lo + 150])
+        for source, want in target.items():
+            assert abs(sum(t for _, s, t in some if s == source) / words - want / sum(target.values())) < 0.05
+    made = [r.doc_id for r in mixing.materialise(docs(spark, rows)).collect()]
+    assert made[:50] == [i for *_, i in sorted((s, r.h, r.doc_id) for r in got for s, t in ((r.slot_1, r.taken_1), (r.slot_2, r.taken_2)) if t)][:50]
+    first = {r.doc_id: r.first_slot for r in got}
+    monkeypatch.setattr(mixing, "_step", lambda n: 1)
+    assert first != {r.doc_id: r.first_slot for r in mixing.mix(docs(spark, rows)).collect()}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nx", "same é"), (2, None, "same é"), (3, "u", None), (4, "u", ""), (5, "u", "<p>5</p>"), (5, "u", "<p>5</p>"), (None, "u", "same é")]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
