@@ -95,6 +95,18 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def sample_cut(rows: DataFrame, group: str, hashed: str, wanted: int) -> Column:
+    """Rows whose hash lies below their group's cut: about 1.25 * ``wanted`` of each group, all of a small one.
+
+    One count a group reaches the driver; no rows are ranked or shuffled.
+    """
+    cut = F.lit(False)
+    for value, n in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect():
+        most = 2**63 - 1 if n <= 1.25 * wanted else int(-(2**63) + 1.25 * wanted / n * 2**64)
+        cut = cut | ((F.col(group) == F.lit(value)) & (F.col(hashed) <= F.lit(most)))
+    return cut
+
+
 def total_chars(df: DataFrame, text_col: str) -> int:
     """Code points in the column, one column-pruned scan."""
     return int(df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0])

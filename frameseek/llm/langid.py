@@ -7,26 +7,30 @@ all training documents. Weights are learned by follow-the-regularised-leader
 sample that the weights did not see calibrates the probabilities.
 
 Documented bound: the weights are fitted on at most ``per_language`` documents of each
-language (those with the least id hashes); whole texts are used.
+language; whole texts are used. The sample is cut by hash of id and text: a language's
+count gives the hash below which about a quarter more than the bound are expected, and
+of those the least hashes stay. So no language's rows are ranked in one task, and rows
+equal in id and text are one. Languages are few: the model holds DIM weights of each.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. Without
 any training document every text is ``und``. Equal scores go to the language that
-comes first by code point. Repeated rows are predicted each.
+comes first by code point. Repeated rows are predicted each. Input columns named
+lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from frameseek.llm.common import prepare
+from frameseek.llm.common import prepare, sample_cut
 
 #: Hash buckets of the 1-, 2- and 3-grams.
 SIZES = (1 << 12, 1 << 14, 1 << 15)
@@ -155,23 +159,24 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     df[seen["feature"].to_numpy()] = seen["df"].to_numpy()
     idf = np.log((1.0 + df[DIM]) / (1.0 + df[:DIM])) + 1.0
 
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    picked = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("id")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    cut = sample_cut(rows, "lang", "h", per_language)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, lang in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for h, text, lang in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if has_letter(text):
                     at, tf = counts(text)
-                    out.append((doc, lang, at.astype(np.int32).tobytes(), tf.astype(np.int32).tobytes()))
+                    out.append((h, lang, at.astype(np.int32).tobytes(), tf.astype(np.int32).tobytes()))
             if out:
                 d, la, a, t = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(la, pa.string()), pa.array(a, pa.binary()), pa.array(t, pa.binary())], names=["id", "lang", "at", "tf"])
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(la, pa.string()), pa.array(a, pa.binary()), pa.array(t, pa.binary())], names=["h", "lang", "at", "tf"])
 
-    chosen = rows.select(F.col(id_col).alias("id"), text_col, F.col(lang_col).alias("lang")).join(F.broadcast(picked.distinct()), "id", "left_semi")
-    sample = sorted(chosen.mapInArrow(features, "id long, lang string, at binary, tf binary").collect(), key=lambda r: (r.lang, r.id if r.id is not None else -1, r.at))
+    # About 1.25 * per_language rows of a language reach the driver.
+    chosen = rows.where(cut).select("h", "text", "lang").mapInArrow(features, "h long, lang string, at binary, tf binary")
+    found = sorted(chosen.dropDuplicates(["h", "lang"]).collect(), key=lambda r: (r.lang, r.h))
+    sample = [r for _, some in groupby(found, key=lambda r: r.lang) for r in islice(some, per_language)]
     languages = sorted({r.lang for r in sample})
     x = [vector(np.frombuffer(r.at, dtype=np.int32), np.frombuffer(r.tf, dtype=np.int32), idf) for r in sample]
     y = np.array([languages.index(r.lang) for r in sample], dtype=np.int64)
