@@ -54,7 +54,7 @@ KEY_ROWS = 20_000
 #: Texts of a very common key word in one block of its cells.
 CROWD = 1000
 #: Texts of the exact rest in one task.
-REST_ROWS = 2000
+REST_ROWS = 1000
 #: Spark's own limit on a table's buckets; beyond it buckets grow, and their rows stream through the joins.
 MOST_BUCKETS = 100_000
 
@@ -214,7 +214,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) ->
 def _rare_keys(counts):
     """mapInArrow function: each text's rarest words, as many as any similar text must share one of.
 
-    A row a word: its rank in the order of rareness and the EARLIER words before it.
+    A row a word that another text may have: its rank in the order of rareness and the EARLIER words before it.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +224,13 @@ def _rare_keys(counts):
                 w = _words(data)
                 token = labelled(w.astype(np.uint64))
                 n = len(w) - int(np.ceil(SIMILARITY * len(w) - 1e-9)) + 1
-                order = np.lexsort((token, table[w & np.uint32((1 << COUNT_BITS) - 1)]))[:n]
+                count = table[w & np.uint32((1 << COUNT_BITS) - 1)]
+                order = np.lexsort((token, count))[:n]
                 rare = token[order].view(np.int64)
-                for lo in range(0, n, KEY_ROWS):
-                    at = np.arange(lo, min(n, lo + KEY_ROWS))
+                # A word that stands once in all these texts is in no other: it keeps its rank and is no key.
+                shared = np.flatnonzero(count[order] > 1)
+                for lo in range(0, len(shared), KEY_ROWS):
+                    at = shared[lo : lo + KEY_ROWS]
                     have = np.minimum(at, EARLIER)
                     ends = np.cumsum(np.concatenate(([0], have))).astype(np.int32)
                     earlier = rare[np.arange(ends[-1]) - np.repeat(ends[:-1], have) + np.repeat(at - have, have)]
