@@ -29,12 +29,11 @@ def suppress_copies(rows: Sequence[tuple[int, Sequence[float]]], least: float =
     return [i for i, _ in kept]
 
 
-def step_penalty(gap: float, near: float, far: float, beta: float) -> float:
-    """Cost of a step outside [near, far], growing with the distance in log time."""
-    if near <= gap <= far:
-        return 0.0
-    edge = near if gap < near else far
-    return beta * abs(math.log(max(gap, 1e-6) / edge))
+def step_penalty(gap: float, near: float = 1.0, close: float = 1.0, far: float = 60.0, beta: float = 0.0005) -> float:
+    """Cost of a step: ``close`` below ``near``, nothing up to ``far``, then ``beta`` for each second beyond it."""
+    if gap < near:
+        return close
+    return beta * max(gap - far, 0.0)
 
 
 def beam(events: Sequence[Sequence[tuple[int, float, float]]], width: int = 64, spacing: float = 3.0, want: int = 5, penalty: Callable[[float], float] | None = None) -> list[tuple[list[int], float]]:
@@ -60,17 +59,21 @@ def beam(events: Sequence[Sequence[tuple[int, float, float]]], width: int = 64,
     return [([c[0] for c in path], s) for path, s in out]
 
 
-def align_restart(events: Sequence[Sequence[tuple[int, float, float]]]) -> list[int]:
-    """Monotone alignment; a candidate without an earlier predecessor starts its chain anew."""
-    best: list[tuple[float, float, list[int]]] = []
+def align_restart(events: Sequence[Sequence[tuple[int, float, float]]]) -> list[int | None]:
+    """Monotone alignment: an id or None for each event; a candidate without an earlier predecessor starts its chain anew.
+
+    Events without candidates are passed over and keep their place.
+    """
+    best: list[tuple[float, float, list[int | None]]] = []
     for level, options in enumerate(events):
         layer = []
         for i, t, s in options:
-            before = [b for b in best if b[1] < t] if level else []
-            pre = max(before, key=lambda b: (b[0], -b[1]), default=(0.0, t, []))
-            layer.append((pre[0] + s, t, [*pre[2], i]))
+            before = [b for b in best if b[1] < t]
+            score, _, path = max(before, key=lambda b: (b[0], -b[1]), default=(0.0, t, []))
+            layer.append((score + s, t, [*path, *[None] * (level - len(path)), i]))
         best = layer or best
-    return max(best, key=lambda b: (b[0], -b[1]), default=(0.0, 0.0, []))[2]
+    chain = max(best, key=lambda b: (b[0], -b[1]), default=(0.0, 0.0, []))[2]
+    return [*chain, *[None] * (len(events) - len(chain))]
 
 
 def align_drop(events: Sequence[Sequence[tuple[int, float, float]]], near: float = 0.0, far: float = math.inf, cost: float = 0.0, span: float = math.inf) -> list[int]:

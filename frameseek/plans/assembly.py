@@ -27,7 +27,7 @@ def answer_variants(t: Tables) -> DataFrame:
 @query("K13_chain_assembly")
 def chain_assembly(t: Tables) -> DataFrame:
     """One strictly rising chain a video by restart alignment, videos by their summed best scores."""
-    run = F.udf(lambda c: sequences.strictly_rising([int(x) for x in sequences.align_restart([[(r["row_id"], r["pts"], r["score"]) for r in c if r["i"] == i] for i in range(3)])]), "array<long>")
+    run = F.udf(lambda c: sequences.strictly_rising([int(x) for x in sequences.align_restart([[(r["row_id"], r["pts"], r["score"]) for r in c if r["i"] == i] for i in range(3)]) if x is not None]), "array<long>")
     best = F.aggregate("c", F.lit(0.0), lambda s, x: s + x["score"])
     top = pools(t, 5).withColumn("s", F.round(best, 4)).orderBy(F.desc("s"), "video_id").limit(100)
     return top.select("video_id", run("c").alias("frames"), F.col("s").alias("score"))

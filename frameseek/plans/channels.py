@@ -10,7 +10,7 @@ from frameseek.operators import bm25, dense, ranking
 from frameseek.plans.registry import FRAMES, Tables, query
 
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-QV = "q AS (SELECT vec_id AS qid, embedding, label FROM embeddings WHERE vec_id % 50 = 0)"
+QV = "q AS (SELECT vec_id AS qid, embedding, label FROM embeddings WHERE vec_id % 20 = 0)"
 
 
 def _vectors(t: Tables) -> DataFrame:
@@ -18,8 +18,8 @@ def _vectors(t: Tables) -> DataFrame:
 
 
 def _asked(t: Tables) -> DataFrame:
-    """A query set of the table: ids divisible by 50."""
-    return _vectors(t).where("row_id % 50 = 0").withColumnRenamed("row_id", "qid")
+    """A query set of the table: ids divisible by 20."""
+    return _vectors(t).where("row_id % 20 = 0").withColumnRenamed("row_id", "qid")
 
 
 def _top_sql(score: str, where: str = "true", k: int = 10) -> str:
@@ -78,10 +78,10 @@ def chunk_max(t: Tables) -> DataFrame:
 def _clauses(t: Tables) -> DataFrame:
     """Two clauses a question: the query vector and the next one."""
     v = _vectors(t)
-    return v.where("row_id % 50 in (0, 1)").select((F.col("row_id") - F.col("row_id") % 50).alias("q"), F.col("row_id").alias("qid"), "v")
+    return v.where("row_id % 20 in (0, 1)").select((F.col("row_id") - F.col("row_id") % 20).alias("q"), F.col("row_id").alias("qid"), "v")
 
 
-CLAUSES = f"c AS (SELECT vec_id - vec_id % 50 AS q, vec_id, embedding FROM embeddings WHERE vec_id % 50 IN (0, 1)), s AS (SELECT b.q AS qid, a.vec_id AS row_id, round({DOT}, 6) AS s FROM embeddings a, c b)"
+CLAUSES = f"c AS (SELECT vec_id - vec_id % 20 AS q, vec_id, embedding FROM embeddings WHERE vec_id % 20 IN (0, 1)), s AS (SELECT b.q AS qid, a.vec_id AS row_id, round({DOT}, 6) AS s FROM embeddings a, c b)"
 
 
 def _clause_scores(t: Tables) -> DataFrame:
@@ -232,7 +232,7 @@ def text_channel(t: Tables) -> DataFrame:
     return ranking.cap(top.select("qid", F.col("doc_id").alias("row_id"), "video_id", "score", "rank"), 2)
 
 
-META = "SELECT page_id AS id, url || '. ' || url || '. ' || url || '. ' || left(html, 200) AS text FROM pages"
+META = "SELECT page_id AS id, url || '. ' || url || '. ' || url || '. ' || html AS text FROM pages"
 
 
 @query("T10_metadata_channel", f"WITH {_bm25_sql('', META, ASKED)} {_rank_docs('b', 5)}")
@@ -242,10 +242,14 @@ def metadata_channel(t: Tables) -> DataFrame:
     return _text_top(bm25.scores(meta, _asked_texts(t)), 5)
 
 
-@query("T12_char_ngram_bm25")
+GRAMS = "flatten(list_transform(regexp_extract_all(replace(strip_accents(lower(trim(text))), 'đ', 'd'), '[\\p{L}\\p{N}_]+'), lambda w: list_transform(range(1, greatest(length(w) + 2 - 3 + 1, 1) + 1), lambda i: substr('_' || w || '_', CAST(i AS INTEGER), 3))))"
+GRAM_SQL = f"WITH dt AS (SELECT p_partkey AS id, {GRAMS.replace('text', 'p_name')} AS tokens FROM part WHERE trim(p_name) <> ''), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM dt), p AS (SELECT id, token, dl, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS token FROM dt) GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM p GROUP BY token), a AS (SELECT p_partkey AS qid, unnest(list_distinct({GRAMS.replace('text', 'p_name')})) AS token FROM part WHERE p_partkey % 20 = 0), b AS (SELECT qid, id AS doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM a JOIN p USING (token) JOIN f USING (token), st GROUP BY ALL)"
+
+
+@query("T12_char_ngram_bm25", f"{GRAM_SQL} {_rank_docs('b', 5)}")
 def char_ngrams(t: Tables) -> DataFrame:
     grams = lambda c: tx.char_ngrams(c)
-    return _text_top(bm25.scores(t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")), t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text")), grams), 5)
+    return _text_top(bm25.scores(t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")), t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text")), grams), 5)
 
 
 # --- Labels -------------------------------------------------------------------------
@@ -292,7 +296,10 @@ def rare_shapes(c: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & (w.rlike("[0-9]") | (w.rlike(r"^\p{Lu}") & (F.length(w) >= 3)) | w.contains("-") | (F.length(w) >= 6)))
 
 
-@query("F8_rare_token_all", r"WITH tok AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents), df AS (SELECT token, count(*) AS df FROM tok GROUP BY token), q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM benchmark), rare AS (SELECT qid, list(token) AS tokens FROM q JOIN df USING (token) WHERE df <= 3 AND length(token) >= 6 GROUP BY qid) SELECT qid, doc_id FROM rare, documents WHERE len(list_filter(tokens, lambda x: NOT contains(lower(text), x))) = 0")
+SHAPES = r"list_filter(list_distinct(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))), lambda w: length(w) >= 2 AND (regexp_matches(w, '[0-9]') OR (regexp_matches(w, '^\p{Lu}') AND length(w) >= 3) OR contains(w, '-') OR length(w) >= 6))"
+
+
+@query("F8_rare_token_all", rf"WITH d AS (SELECT doc_id, {FOLD.replace('AS text', 'AS low')} FROM documents WHERE trim(text) <> ''), df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '[\p{{L}}\p{{N}}]+'))) AS token FROM d) GROUP BY token), q AS (SELECT item_id AS qid, unnest(list_distinct(list_transform({SHAPES}, lambda w: replace(strip_accents(lower(trim(w))), 'đ', 'd')))) AS token FROM benchmark), rare AS (SELECT qid, list(token) AS tokens FROM q JOIN df USING (token) WHERE df <= {RARE} GROUP BY qid) SELECT qid, doc_id FROM rare, d WHERE len(list_filter(tokens, lambda x: NOT contains(low, x))) = 0")
 def rare_all(t: Tables) -> DataFrame:
     """Documents that hold all rare tokens of a query as folded substrings; found through one of them, then verified.
 
@@ -328,6 +335,18 @@ def rare_any(t: Tables) -> DataFrame:
     return d.join(q, "token").groupBy("qid", "doc_id").agg((100.0 + 10 * F.count(F.lit(1))).alias("score"))
 
 
+FLAGSHIP = (
+    f"WITH {DUAL}, q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), "
+    f"s AS (SELECT b.qid, a.vec_id AS row_id, CAST(a.label AS VARCHAR) AS video_id, round({DOT}, 6) AS score FROM embeddings a, q b), "
+    "l AS (SELECT qid, row_id, video_id, 0 AS list, 1.0::DOUBLE AS w, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM s QUALIFY rank <= 100 "
+    f"UNION ALL SELECT r.qid, r.doc_id, d.source, 1, 0.5::DOUBLE, r.rank FROM ({_rank_docs('dual', 100)}) r JOIN documents d USING (doc_id)), "
+    "fz AS (SELECT qid, row_id, round(sum(w / (60 + rank)), 9) AS score, min((list, rank, video_id)) AS first, min_by(video_id, (list, rank, video_id)) AS video_id, string_agg(list || '@' || rank, ',' ORDER BY list, rank) AS sources FROM l GROUP BY qid, row_id), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, row_id) AS pos FROM fz), "
+    "c AS (SELECT *, row_number() OVER (PARTITION BY qid, video_id ORDER BY pos) AS n FROM o) "
+    "SELECT qid, row_id, video_id, score, sources, CAST(row_number() OVER (PARTITION BY qid ORDER BY pos) AS INTEGER) AS rank FROM c WHERE n <= 20 QUALIFY rank <= 100"
+)
+
+
 def flagship(t: Tables) -> DataFrame:
     """Vectors' and texts' rankings for the same question ids, fused at weights 1.0 and 0.5, capped per group."""
     v = _vectors(t)
@@ -337,4 +356,4 @@ def flagship(t: Tables) -> DataFrame:
     return ranking.cap(ranking.rrf([x.select("qid", "row_id", "video_id", "score", "rank") for x in (a, b)], [1.0, 0.5]), 20, 100)
 
 
-query("flagship_fused_search")(flagship)
+query("flagship_fused_search", FLAGSHIP)(flagship)

@@ -133,7 +133,7 @@ def dedup_diagnostics(t: Tables) -> DataFrame:
     return j.groupBy("qid").agg(F.count_if(F.col("pos").isNull()).alias("removed"), F.count_if(F.col("pos") != F.col("rank")).alias("shifted"), F.countDistinct("video_id").alias("videos"))
 
 
-@query("E19_answer_containment", "WITH a AS (SELECT item_id, lower(left(text, 12)) AS ans FROM benchmark) SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM documents d WHERE d.source = 'src' || (item_id % 20) AND contains(lower(d.text), ans))) AS raw FROM a")
+@query("E19_answer_containment", "WITH a AS (SELECT lower(text) AS ans, strip_accents(lower(text)) AS bare FROM benchmark), d AS (SELECT lower(text) AS low, strip_accents(lower(text)) AS plain FROM documents) SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM d WHERE contains(low, ans))) AS raw, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM d WHERE contains(plain, bare))) AS folded FROM a")
 def containment(t: Tables) -> DataFrame:
     """Passages that some document holds whole, as written in lower case and folded.
 
@@ -158,7 +158,7 @@ def containment(t: Tables) -> DataFrame:
     return a.join(hit, "no", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if("raw").alias("raw"), F.count("raw").alias("folded"))
 
 
-@query("E20_answer_match", "SELECT turn, count(*) AS n, count(*) FILTER (WHERE lower(trim(text)) = lower(trim(upper(text)))) AS exact, count(*) FILTER (WHERE strip_accents(lower(text)) = strip_accents(lower(upper(text)))) AS folded, count(*) FILTER (WHERE contains(text, left(text, 5))) AS inside FROM conversations WHERE NOT contains(text, 'ß') GROUP BY turn")
+@query("E20_answer_match", "SELECT turn, count(*) AS n, count(*) FILTER (WHERE NOT contains(text, 'ß') AND lower(trim(text)) = lower(trim(upper(text)))) AS exact, count(*) FILTER (WHERE strip_accents(lower(replace(text, 'ß', 'ss'))) = strip_accents(lower(upper(replace(text, 'ß', 'ss'))))) AS folded, count(*) FILTER (WHERE contains(text, left(text, 5))) AS inside FROM conversations GROUP BY turn")
 def answer_match(t: Tables) -> DataFrame:
     """All rows. The sharp s is ss when folded; exactly, it differs from its upper case SS."""
     c, x = t.conversations, F.col("text")

@@ -161,5 +161,5 @@ def percentiles(t: Tables) -> DataFrame:
 shared("A24_top_values", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10", "part")
 shared("A25_dedup_rate", "SELECT coalesce(source, 'total') AS source, round(avg(CAST(CASE WHEN c > 1 THEN 1 ELSE 0 END AS DOUBLE)), 6) AS rate FROM (SELECT source, count(*) OVER (PARTITION BY md5(text)) AS c FROM documents) x GROUP BY ROLLUP (source)", "documents")
 shared("A26_distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer", "customer")
-shared("SO1_SO4_guarded_union", "WITH u AS (SELECT doc_id, 'l' AS f FROM labels UNION ALL SELECT page_id, 'p' FROM pages), d AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) SELECT doc_id, n > 1 AS twice FROM d WHERE doc_id NOT IN (SELECT item_id FROM benchmark)", "labels pages benchmark")
+shared("SO1_SO4_guarded_union", "WITH u AS (SELECT doc_id, 'l' AS f FROM labels UNION ALL SELECT page_id, 'p' FROM pages), d AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) SELECT doc_id, n > 1 AS twice FROM d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = d.doc_id)", "labels pages benchmark")
 shared("SO5_ordered_distinct", "SELECT event_type, min(event_id) AS pos FROM events GROUP BY event_type", "events")

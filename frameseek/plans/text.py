@@ -165,7 +165,7 @@ def number_readings(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("n")).where("n < 10000").select("n", read("n").alias("reading"))
 
 
-@query("T34_answer_parts", "SELECT c.conv_id, c.turn, len(list_filter(list_transform(string_split(left(c.text, 40), ','), lambda p: trim(p)), lambda p: NOT contains(c.text, p))) = 0 AS ok FROM conversations c")
+@query("T34_answer_parts", "SELECT c.conv_id, c.turn, len(list_filter(list_transform(string_split(c.text, ','), lambda p: trim(p)), lambda p: NOT contains(c.text, p))) = 0 AS ok FROM conversations c")
 def answer_parts(t: Tables) -> DataFrame:
     parts = F.transform(F.split("text", ","), lambda p: F.trim(p))
     return t.conversations.select("conv_id", "turn", F.forall(parts, lambda p: F.col("text").contains(p)).alias("ok"))

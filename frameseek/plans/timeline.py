@@ -31,7 +31,7 @@ def gap_filling(t: Tables) -> DataFrame:
     return g.select("video_id", F.explode(F.sequence(F.col("p") + 43200, F.col("s") - 1, F.lit(43200).cast("long"))).alias("fill"))
 
 
-@query("W5_J1_neighbours", f"WITH {FRAMES}, {ORD} SELECT a.row_id, b.row_id AS neighbour FROM o a JOIN o b ON a.video_id = b.video_id AND b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.row_id % 100 = 0")
+@query("W5_J1_neighbours", f"WITH {FRAMES}, {ORD} SELECT a.row_id, b.row_id AS neighbour FROM o a JOIN o b ON a.video_id = b.video_id AND b.n BETWEEN a.n - 2 AND a.n + 2")
 def neighbours(t: Tables) -> DataFrame:
     o = ordered(t)
     # One row meets five keys, so no pair of a long video's rows is made that is not a result.
@@ -179,17 +179,17 @@ def beam_chains(t: Tables) -> DataFrame:
     return pools(t).select("video_id", F.posexplode(run("c")).alias("pos", "x")).select("video_id", "pos", "x.chain", "x.score")
 
 
-@query("K3_step_penalty", f"WITH {FRAMES}, g AS (SELECT row_id, (us - lag(us) OVER (PARTITION BY video_id ORDER BY us, row_id)) / 1e6 AS gap FROM e) SELECT row_id, round(CASE WHEN gap BETWEEN 3600 AND 86400 THEN 0 WHEN gap < 3600 THEN 0.5 * abs(ln(greatest(gap, 1e-6) / 3600)) ELSE 0.5 * abs(ln(gap / 86400)) END, 5) AS penalty FROM g WHERE gap IS NOT NULL")
+@query("K3_step_penalty", f"WITH {FRAMES}, g AS (SELECT row_id, (us - lag(us) OVER (PARTITION BY video_id ORDER BY us, row_id)) / 1e6 AS gap FROM e) SELECT row_id, round(CASE WHEN gap < 3600 THEN 1 WHEN gap > 86400 THEN 0.0005 * (gap - 86400) ELSE 0 END, 5) AS penalty FROM g WHERE gap IS NOT NULL")
 def penalty(t: Tables) -> DataFrame:
+    """A constant for steps under an hour, nothing up to a day, then in proportion to the time beyond it."""
     g = t.frames.select("row_id", ((F.col("us") - F.lag("us").over(line())) / 1e6).alias("gap")).where("gap is not null")
-    gap = F.col("gap")
-    cost = F.when(gap.between(3600, 86400), 0.0).when(gap < 3600, 0.5 * F.abs(F.log(F.greatest(gap, F.lit(1e-6)) / 3600))).otherwise(0.5 * F.abs(F.log(gap / 86400)))
+    cost = F.when(F.col("gap") < 3600, 1.0).when(F.col("gap") > 86400, 0.0005 * (F.col("gap") - 86400)).otherwise(0.0)
     return g.select("row_id", F.round(cost, 5).alias("penalty"))
 
 
 @query("K6_align_restart")
 def align_restart(t: Tables) -> DataFrame:
-    run = F.udf(lambda c: [int(i) for i in sequences.align_restart(_levels(c))], "array<long>")
+    run = F.udf(lambda c: [None if i is None else int(i) for i in sequences.align_restart(_levels(c))], "array<long>")
     return pools(t).select("video_id", run("c").alias("chain"))
 
 

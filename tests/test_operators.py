@@ -95,7 +95,7 @@ def test_beam_diversity():
 
 def test_alignments_differ_without_predecessor():
     events = [[(1, 10.0, 0.1)], [(2, 5.0, 5.0)]]
-    assert sq.align_restart(events) == [2] and sq.align_drop(events) == []
+    assert sq.align_restart(events) == [None, 2] and sq.align_drop(events) == []
 
 
 def test_best_alignment_equals_brute_force():
