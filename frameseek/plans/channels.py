@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +86,6 @@ def _clauses(t: Tables) -> DataFrame:
 CLAUSES = f"c AS (SELECT vec_id - vec_id % 20 AS q, vec_id, embedding FROM embeddings WHERE vec_id % 20 IN (0, 1)), s AS (SELECT b.q AS qid, a.vec_id AS row_id, round({DOT}, 6) AS s FROM embeddings a, c b)"
 
 
-def _clause_scores(t: Tables) -> DataFrame:
-    v, c = _vectors(t), _clauses(t)
-    n = t.embeddings.count()
-    return dense.top_k(v, c, n).join(c.select("qid", "q"), "qid").select(F.col("q").alias("qid"), "row_id", "score")
-
-
 @query("A1_max_over_clauses", f"WITH {CLAUSES}, m AS (SELECT qid, row_id, max(s) AS score FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM m) SELECT qid, row_id, score, rank FROM r WHERE rank <= 10")
 def max_over_clauses(t: Tables) -> DataFrame:
     best = dense.top_k(_vectors(t), _clauses(t), 20).join(_clauses(t).select("qid", "q"), "qid")
@@ -98,13 +94,25 @@ def max_over_clauses(t: Tables) -> DataFrame:
 
 @query("V11_max_plus_sum", f"WITH {CLAUSES}, m AS (SELECT qid, row_id, round(max(s) + 0.1 * sum(s), 6) AS score FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM m) SELECT qid, row_id, score, rank FROM r WHERE rank <= 10")
 def max_plus_sum(t: Tables) -> DataFrame:
-    s = _clause_scores(t).groupBy("qid", "row_id").agg(F.round(F.max("score") + 0.1 * F.sum("score"), 6).alias("score"))
-    return ranking.top(s, 10)
+    """The clauses of a question share a block of queries, so a task has all scores of its rows and keeps its k best."""
+
+    def fold(r, q, s):
+        s = dense.rounded(s)
+        asked, of = np.unique(q["q"].to_numpy(), return_inverse=True)
+        hi, total = np.full((len(s), len(asked)), -np.inf), np.zeros((len(s), len(asked)))
+        for c, g in enumerate(of):
+            hi[:, g] = np.maximum(hi[:, g], s[:, c])
+            total[:, g] += s[:, c]
+        return dense.best(r, pa.table({"qid": asked}), dense.rounded(hi + 0.1 * total), 10)
+
+    return ranking.top(dense.tiles(_vectors(t).select("row_id", "v"), _clauses(t), fold, "qid long, row_id long, score double", deal="q"), 10)
 
 
 @query("V12_clause_matrix", f"WITH {CLAUSES} SELECT qid, count(*) AS n, round(avg(s), 4) AS mean FROM s GROUP BY qid")
 def clause_matrix(t: Tables) -> DataFrame:
-    return _clause_scores(t).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean"))
+    fold = lambda r, q, s: [q["q"], np.full(s.shape[1], len(s)), dense.rounded(s).sum(axis=0)]
+    sums = dense.tiles(_vectors(t).select("row_id", "v"), _clauses(t), fold, "qid long, n long, s double")
+    return sums.groupBy("qid").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 4).alias("mean"))
 
 
 HUB = f"h AS (SELECT a.vec_id AS row_id, round({DOT}, 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 6) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.label <> b.label), hub AS (SELECT row_id, avg(s) AS r_k FROM h WHERE n <= 10 GROUP BY row_id)"
@@ -123,18 +131,24 @@ def hubness(t: Tables) -> DataFrame:
 
 @query("V9_csls", f"WITH {QV}, {HUB}, s AS (SELECT b.qid, a.vec_id AS row_id, round(2 * round({DOT}, 6) - 0.5 * h2.r_k, 4) AS score FROM embeddings a JOIN hub h2 ON h2.row_id = a.vec_id, q b), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM s) SELECT qid, row_id, score, rank FROM r WHERE rank <= 10")
 def csls(t: Tables) -> DataFrame:
-    n = t.embeddings.count()
-    s = dense.top_k(_vectors(t), _asked(t), n).join(_hubness(t), "row_id")
-    return ranking.top(s.select("qid", "row_id", F.round(2 * F.col("score") - 0.5 * F.col("r_k"), 4).alias("score")), 10)
+    fold = lambda r, q, s: dense.best(r, q, dense.rounded(2 * dense.rounded(s) - 0.5 * r["r_k"].to_numpy()[:, None], 4), 10)
+    rows = _vectors(t).select("row_id", "v").join(_hubness(t), "row_id")
+    return ranking.top(dense.tiles(rows, _asked(t).select("qid", "v"), fold, "qid long, row_id long, score double"), 10)
 
 
 @query("V8_A15_qb_norm", f"WITH {QV}, s AS (SELECT b.qid, a.vec_id AS row_id, round({DOT}, 6) AS s FROM embeddings a, q b), l AS (SELECT row_id, sum(exp(s / 0.1)) AS total FROM s GROUP BY row_id), n AS (SELECT qid, row_id, round(s / 0.1 - ln(greatest(total - exp(s / 0.1), 1e-30)), 4) AS score FROM s JOIN l USING (row_id)), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM n) SELECT qid, row_id, score, rank FROM r WHERE rank <= 10")
 def qb_norm(t: Tables) -> DataFrame:
-    s = dense.top_k(_vectors(t), _asked(t), t.embeddings.count()).select("qid", "row_id", "score")
-    e = F.exp(F.col("score") / 0.1)
-    total = s.groupBy("row_id").agg(F.sum(e).alias("total"))
-    n = s.join(total, "row_id").select("qid", "row_id", F.round(F.col("score") / 0.1 - F.log(F.greatest(F.col("total") - e, F.lit(1e-30))), 4).alias("score"))
-    return ranking.top(n, 10)
+    """Two passes over the blocks: each row's sum over the queries, then the k best of each query."""
+    v, asked = _vectors(t).select("row_id", "v"), _asked(t).select("qid", "v")
+    total = dense.tiles(v, asked, lambda r, q, s: [r["row_id"], np.exp(dense.rounded(s) / 0.1).sum(axis=1)], "row_id long, total double")
+    total = total.groupBy("row_id").agg(F.sum("total").alias("total"))
+
+    def fold(r, q, s):
+        s = dense.rounded(s)
+        others = np.maximum(r["total"].to_numpy()[:, None] - np.exp(s / 0.1), 1e-30)
+        return dense.best(r, q, dense.rounded(s / 0.1 - np.log(others), 4), 10)
+
+    return ranking.top(dense.tiles(v.join(total, "row_id"), asked, fold, "qid long, row_id long, score double"), 10)
 
 
 @query("V10_alpha_expansion", f"WITH {QV}, s AS (SELECT b.qid, a.vec_id AS row_id, a.embedding, round({DOT}, 6) AS s, row_number() OVER (PARTITION BY b.qid ORDER BY round({DOT}, 6) DESC, a.vec_id) AS n FROM embeddings a, q b), x AS (SELECT qid, unnest(range(1, 65)) AS pos, s, embedding FROM s WHERE n <= 5), g AS (SELECT x.qid, pos, sum(pow(greatest(s, 0), 3) * x.embedding[pos]) + any_value(q.embedding[pos]) AS v FROM x JOIN q USING (qid) GROUP BY ALL) SELECT qid, round(sqrt(sum(v * v)), 4) AS norm, round(sum(v), 4) AS total FROM g GROUP BY qid")
@@ -160,10 +174,16 @@ def segment_pooling(t: Tables) -> DataFrame:
 
 @query("J10_V7_D20_same_group_cosine", f"SELECT a.vec_id AS row_id, a.label AS video_id, round(max({DOT}), 6) AS max_cos, count(*) FILTER (WHERE {DOT} >= 0.5) AS near FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL")
 def same_group_cosine(t: Tables) -> DataFrame:
-    a, b = _vectors(t).alias("a"), _vectors(t).alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.row_id") != F.col("b.row_id")))
-    s = dense.dot("a.v", "b.v")
-    return pairs.groupBy(F.col("a.row_id").alias("row_id"), F.col("a.label").alias("video_id")).agg(F.round(F.max(s), 6).alias("max_cos"), F.count_if(s >= 0.5).alias("near"))
+    """Blocks within a label, however many rows it has; a row is not its own neighbour."""
+
+    def fold(r, q, s):
+        own = r["row_id"].to_numpy()[:, None] == q["qid"].to_numpy()[None, :]
+        s[own] = -np.inf
+        return [r["row_id"], r["label"], dense.rounded(s.max(axis=1)), (s >= 0.5).sum(axis=1)]
+
+    v = _vectors(t)
+    parts = dense.tiles(v, v.withColumnRenamed("row_id", "qid"), fold, "row_id long, video_id int, max_cos double, near long", within="label")
+    return parts.groupBy("row_id", "video_id").agg(F.max("max_cos").alias("max_cos"), F.sum("near").alias("near")).where(F.col("max_cos") > float("-inf"))
 
 
 @query("V13_alignment_check", f"SELECT count(*) AS pairs, count(*) FILTER (WHERE round({DOT}, 6) >= 0.5) AS similar FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 1")
