@@ -1,8 +1,8 @@
 """Okapi BM25 over token arrays: postings, document frequencies and scores as DataFrames.
 
-Only postings of query tokens are built: the token explosion is semi-joined with the
-queries' vocabulary before it is aggregated, so the shuffle carries (token, doc) counts
-of asked tokens only. Document lengths come from array sizes without a shuffle.
+A text is tokenised once. Its tokens are matched with the asked ones before they are counted, so
+what is shuffled is a row a document for each asked token in it and one row for all its others;
+lengths, postings and frequencies come from that table, which is written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameseek.functions import text as tx
+from frameseek.operators.staging import staged
+
+#: Asked vocabularies up to this size are broadcast (some MB); larger ones meet the tokens in a shuffle.
+VOCABULARY_LIMIT = 100_000
 
 K1, B = 1.5, 0.75
 
@@ -25,13 +29,17 @@ def scores(docs: DataFrame, queries: DataFrame, tokenise=tx.tokens, k1: float =
 
     Blank documents are not indexed; repeated query tokens count once.
     """
-    indexed = docs.where(F.trim("text") != "").select("doc_id", tokenise(F.col("text")).alias("tokens"))
-    indexed = indexed.select("doc_id", "tokens", F.size("tokens").alias("dl"))
-    stats = indexed.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 0, F.avg("dl")).otherwise(1.0).alias("avgdl"))
     asked = queries.select("qid", F.explode(F.array_distinct(tokenise(F.col("text")))).alias("token"))
-    post = indexed.select("doc_id", "dl", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    post = post.groupBy("token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    words = asked.select("token").distinct().withColumn("asked", F.lit(True))
+    if words.limit(VOCABULARY_LIMIT + 1).count() <= VOCABULARY_LIMIT:
+        words = F.broadcast(words)
+    tokens = docs.where(F.trim("text") != "").select("doc_id", F.explode_outer(tokenise(F.col("text"))).alias("token"))
+    marked = tokens.join(words, "token", "left").select("doc_id", F.when(F.col("asked"), F.col("token")).alias("token"), F.col("token").isNotNull().cast("long").alias("one"))
+    counts = staged(marked.groupBy("doc_id", "token").agg(F.sum("one").alias("tf")))
+    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 0, F.avg("dl")).otherwise(1.0).alias("avgdl"))
+    post = counts.where("token is not null").join(lengths, "doc_id").select("token", "doc_id", "dl", "tf")
+    df = counts.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # One row of statistics: its size is proven.
     scored = post.join(df, "token").crossJoin(F.broadcast(stats)).select("token", "doc_id", weight.alias("w"))

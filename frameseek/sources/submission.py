@@ -9,12 +9,11 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameseek.operators.staging import folder
 
-def _folder(spark: SparkSession) -> str:
-    import tempfile
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="frameseek-")
-    return f"{named.rstrip('/')}/submission-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession) -> str:
+    return f"{folder(spark).rstrip('/')}/submission-{uuid.uuid4().hex}"
 
 
 def violations(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import itertools
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from frameseek.operators import bm25, dense
 from frameseek.operators import sequences as sq
 
 
@@ -170,3 +173,55 @@ def test_entry_and_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 150
+
+
+@pytest.mark.parametrize("key", [None, "label"])
+def test_dense_top_k_in_many_blocks_is_brute_force(spark, monkeypatch, key):
+    monkeypatch.setattr(dense, "ROW_BLOCK", 7)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist(), i % 3) for i in range(60)]
+    whole = frame(spark, rows + [(90, None, 0), (91, [None, 1.0, 1.0], 0)], "row_id long, v array<float>, label int")
+    asked = whole.where("row_id % 4 = 0").withColumnRenamed("row_id", "qid")
+    got = {(r.qid, r["rank"]): (r.row_id, r.score) for r in dense.top_k(whole, asked, 5, exclude_same=key).collect()}
+    want = {}
+    for q, x, own in rows[::4]:
+        s = sorted((-float(np.dot(x, v)), i) for i, v, label in rows if not key or label != own)
+        want |= {(q, n + 1): (i, -score) for n, (score, i) in enumerate(s[:5])}
+    assert got == want
+
+
+def test_dense_blocks_within_a_group_and_without_rows(spark, monkeypatch):
+    monkeypatch.setattr(dense, "ROW_BLOCK", 2)
+    v = frame(spark, [(i, [float(i)], "a" if i < 5 else "b" if i < 7 else None) for i in range(8)], "row_id long, v array<float>, g string")
+    sums = lambda r, q, s: [r["row_id"], s.sum(axis=1)]
+    met = dense.tiles(v, v.withColumnRenamed("row_id", "qid"), sums, "row_id long, s double", within="g")
+    assert {r.row_id: r.s for r in met.groupBy("row_id").agg(F.sum("s").alias("s")).collect()} == {i: i * (10.0 if i < 5 else 11.0) for i in range(7)}
+    assert dense.tiles(v.limit(0), v.withColumnRenamed("row_id", "qid"), sums, "row_id long, s double").count() == 0
+
+
+def test_rounding_takes_halves_away_from_zero():
+    assert dense.rounded(np.array([0.125, -0.125, 2.5, -np.inf]), 2).tolist() == [0.13, -0.13, 2.5, -np.inf]
+
+
+def test_bm25_over_sizes_of_the_asked_vocabulary(spark, monkeypatch):
+    docs = frame(spark, [(1, "a b b"), (2, "b c"), (3, "  "), (4, "?!"), (5, None), (6, "c c c d")], "doc_id long, text string")
+    asked = frame(spark, [(1, "b c"), (2, "z"), (3, ""), (4, "b b")], "qid long, text string")
+    broadcast = {(r.qid, r.doc_id): r.score for r in bm25.scores(docs, asked).collect()}
+    monkeypatch.setattr(bm25, "VOCABULARY_LIMIT", 0)
+    shuffled = {(r.qid, r.doc_id): r.score for r in bm25.scores(docs, asked).collect()}
+    texts = {1: ["a", "b", "b", "a_b", "b_b"], 2: ["b", "c", "b_c"], 4: [], 6: ["c", "c", "c", "d", "c_c", "c_c", "c_d"]}
+    mean = sum(map(len, texts.values())) / len(texts)
+
+    def score(words):
+        out = {}
+        for t in words:
+            df = sum(t in x for x in texts.values())
+            for i, x in texts.items():
+                tf = x.count(t)
+                if tf:
+                    out[i] = out.get(i, 0) + np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(x) / mean))
+        return out
+
+    want = {(q, i): s for q, words in {1: ["b", "c", "b_c"], 4: ["b", "b_b"]}.items() for i, s in score(words).items()}
+    assert broadcast == pytest.approx(want) and shuffled == pytest.approx(want)
