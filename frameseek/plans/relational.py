@@ -17,7 +17,33 @@ def discovery(t: Tables) -> DataFrame:
 
 
 shared("S3_critical_missing", "SELECT d.doc_id, l.quality IS NULL AS no_label, d.lang IS NULL AS no_lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR d.lang IS NULL", "documents labels")
-shared("S4_master_build", "WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), b AS (SELECT page_id, 'src' || CAST(page_id % 20 AS STRING) AS source, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS n FROM pages) SELECT row_number() OVER (ORDER BY a.source, a.doc_id) - 1 AS row_id, a.source AS video_id, a.doc_id, b.page_id FROM a LEFT JOIN b ON a.source = b.source AND a.n = b.n", "documents pages")
+
+
+def _places(rows: DataFrame, key: str) -> DataFrame:
+    """``n``, a row's place in its video by key, and ``at``, its place among all, from 1.
+
+    Rows are ranked within cells of 65,536 keys, so no video is ranked in one task; only the cells' counts, a row
+    for each cell and video, are summed in order.
+    """
+    rows = rows.withColumn("cell", F.floor(F.col(key) / 65536))
+    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    video, cell = F.asc_nulls_last("video_id"), F.asc_nulls_last("cell")
+    starts = rows.groupBy("video_id", "cell").agg(F.count(F.lit(1)).alias("c"))
+    starts = starts.select("video_id", "cell", before(Window.partitionBy("video_id").orderBy(cell)).alias("own"), before(Window.partitionBy(F.lit(1)).orderBy(video, cell)).alias("every"))
+    k = F.row_number().over(Window.partitionBy("video_id", "cell").orderBy(key))
+    r, s = rows.withColumn("k", k).alias("r"), starts.alias("s")
+    j = r.join(s, F.col("r.video_id").eqNullSafe(F.col("s.video_id")) & F.col("r.cell").eqNullSafe(F.col("s.cell")))
+    return j.select("r.video_id", f"r.{key}", (F.col("own") + F.col("k")).alias("n"), (F.col("every") + F.col("k")).alias("at"))
+
+
+@query("S4_master_build", "WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), b AS (SELECT page_id, 'src' || CAST(page_id % 20 AS STRING) AS source, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS n FROM pages) SELECT row_number() OVER (ORDER BY a.source, a.doc_id) - 1 AS row_id, a.source AS video_id, a.doc_id, b.page_id FROM a LEFT JOIN b ON a.source = b.source AND a.n = b.n")
+def master_build(t: Tables) -> DataFrame:
+    """Documents and pages of a source zipped by position; row ids run over sources and documents in order."""
+    a = _places(t.documents.select(F.col("source").alias("video_id"), "doc_id"), "doc_id")
+    b = _places(t.pages.select(F.concat(F.lit("src"), F.col("page_id") % 20).alias("video_id"), "page_id"), "page_id")
+    return a.join(b.drop("at"), ["video_id", "n"], "left").select((F.col("at") - 1).alias("row_id"), "video_id", "doc_id", "page_id")
+
+
 shared("S5_quality_codes", "SELECT code, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'no_label' WHEN d.n_chars < 200 THEN 'short' WHEN d.n_chars > 20000 THEN 'long' ELSE 'ok' END AS code FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY code", "documents labels")
 
 
@@ -48,7 +74,8 @@ def patching(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("quality") == 1, "new"), "source").alias("path"))
 
 
-shared("S18_integrity_diff", "SELECT count(*) AS differ FROM (SELECT o_orderkey, o_custkey FROM orders EXCEPT ALL SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN -1 ELSE o_custkey END FROM orders) x", "orders")
+# A patched copy: one customer in a hundred changed, a few rows lost; the priority is a column that may differ.
+shared("S18_integrity_diff", "WITH a AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN -1 ELSE o_custkey END AS o_custkey, 'patched' AS o_orderpriority FROM orders WHERE o_orderkey % 1000 <> 7) SELECT (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after, (SELECT count(*) FROM (SELECT o_orderkey FROM a EXCEPT ALL SELECT o_orderkey FROM b) x) AS keys_lost, (SELECT count(*) FROM (SELECT o_orderkey, o_custkey FROM a EXCEPT ALL SELECT o_orderkey, o_custkey FROM b) x) AS differ_before, (SELECT count(*) FROM (SELECT o_orderkey, o_custkey FROM b EXCEPT ALL SELECT o_orderkey, o_custkey FROM a) x) AS differ_after", "orders")
 
 
 @query("S19_overlay_merge", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END AS x FROM embeddings")
@@ -89,6 +116,8 @@ def full_outer_text(t: Tables) -> DataFrame:
 
 
 shared("S30_S33_S34_shard_checks", "SELECT o_custkey % 4 AS part, count(*) AS n, count(DISTINCT o_custkey) AS keys, count(CASE WHEN o_totalprice IS NULL THEN 1 END) AS missing, count(CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7) THEN 1 END) AS overlap FROM orders GROUP BY o_custkey % 4", "orders lineitem")
+# Parts are turns by four; a conversation in several parts overlaps, and its last part's last turn is kept.
+shared("S33_shard_merge", "WITH p AS (SELECT turn % 4 AS part, conv_id, turn, text, length(text) AS size FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part DESC, turn DESC) AS back FROM p), s AS (SELECT conv_id, count(DISTINCT part) AS parts FROM p GROUP BY conv_id) SELECT o.part, count(*) AS n, count(CASE WHEN trim(coalesce(o.text, '')) = '' THEN 1 END) AS blank, count(DISTINCT CASE WHEN s.parts > 1 THEN o.conv_id END) AS overlap, abs(median(o.size) / (SELECT median(size) FROM p) - 1) > 0.4 AS drifts, count(CASE WHEN o.back = 1 THEN 1 END) AS kept FROM o JOIN s ON s.conv_id = o.conv_id GROUP BY o.part", "conversations")
 shared("S31_asset_fallback", "SELECT d.doc_id, coalesce(p.url, 'thumb/' || d.source, 'none') AS image FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id", "documents pages")
 
 
@@ -133,7 +162,13 @@ shared("F25_source_classes", "SELECT CASE WHEN l.doc_id IS NULL THEN 'none' WHEN
 
 shared("J2_J14_left_and_using", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE o.o_totalprice > 200000", "orders customer nation")
 shared("J4_semi_join", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority LIKE '1%')", "customer orders")
-shared("J13_reverse_lookup", "SELECT user_id, event_type, min(event_id) AS first, count(*) AS n FROM events GROUP BY user_id, event_type", "events")
+
+
+@query("J13_reverse_lookup", "SELECT user_id, event_type, list(event_id ORDER BY event_id) AS events FROM events GROUP BY user_id, event_type")
+def reverse_lookup(t: Tables) -> DataFrame:
+    return t.events.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("event_id")).alias("events"))
+
+
 shared("J15_hierarchy_closure", "WITH RECURSIVE up AS (SELECT s_suppkey AS leaf, s_suppkey AS node FROM supplier UNION ALL SELECT leaf, CAST(floor(node / 2) AS BIGINT) FROM up WHERE node > 1) SELECT leaf, count(*) AS depth FROM up GROUP BY leaf", "supplier")
 
 

@@ -149,9 +149,26 @@ def proper_names(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.regexp_count("text", F.lit(r"\p{Lu}[\p{L}]+ \p{Lu}[\p{L}]+")).cast("long").alias("n"))
 
 
-@query("T30_T31_answer_cleanup", r"SELECT doc_id, left(regexp_replace(string_split(trim(text), chr(10))[1], '^(The|And|Of)\s+', ''), 100) AS answer FROM documents")
+#: Fixed values of the cleanup: openings that go, at most three of them, and what is trimmed at both ends.
+OPENING, ENDS = "^((The|And|Of) ){1,3}", " .,:;\"'"
+COUNT = r"^([0-9]+)(?:[^\p{L}\p{N}_]|$)"
+CLEANED = rf"""WITH a AS (SELECT doc_id, trim(regexp_replace(split_part(regexp_replace(coalesce(text, ''), '^[ \t\n\f\r]+', ''), chr(10), 1), '[ \t\f\r]+', ' ', 'g')) AS x FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace(x, '{OPENING}', ''), ' .,:;"''') AS x FROM a), c AS (SELECT doc_id, x, regexp_extract(x, '{COUNT}', 1) AS n FROM b),
+d AS (SELECT doc_id, CASE WHEN n <> '' AND length(x) > length(n) + 12 THEN n ELSE x END AS x FROM c)
+SELECT doc_id, CASE WHEN length(x) > 100 THEN trim(coalesce(nullif(regexp_extract(left(x, 100), '^([^\n]*) ', 1), ''), left(x, 100))) ELSE x END AS answer FROM d"""
+
+
+@query("T30_T31_answer_cleanup", CLEANED)
 def answer_cleanup(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.substring(F.regexp_replace(F.element_at(F.split(F.trim("text"), "\n"), 1), r"^(The|And|Of)\s+", ""), 1, 100).alias("answer"))
+    """First line, spaces folded, up to three openings and the outer marks dropped; a leading count before a long
+    rest stands alone; over 100 characters the cut is at a word. A null text gives an empty answer."""
+    line = F.element_at(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n\f\r]+", ""), "\n"), 1)
+    x = F.trim(F.regexp_replace(F.trim(F.regexp_replace(line, r"[ \t\f\r]+", " ")), OPENING, ""), F.lit(ENDS))
+    c = t.documents.select("doc_id", x.alias("x")).withColumn("n", F.regexp_extract("x", COUNT, 1))
+    c = c.select("doc_id", F.when((F.col("n") != "") & (F.length("x") > F.length("n") + 12), F.col("n")).otherwise(F.col("x")).alias("x"))
+    head = F.substring("x", 1, 100)
+    cut = F.trim(F.coalesce(F.nullif(F.regexp_extract(head, r"^([^\n]*) ", 1), F.lit("")), head))
+    return c.select("doc_id", F.when(F.length("x") > 100, cut).otherwise(F.col("x")).alias("answer"))
 
 
 @query("T32_last_number", r"SELECT doc_id, regexp_extract_all(text, '[0-9]+')[-1] AS number FROM documents WHERE regexp_matches(text, '[0-9]')")
@@ -171,11 +188,17 @@ def answer_parts(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.forall(parts, lambda p: F.col("text").contains(p)).alias("ok"))
 
 
-@query("T35_range_parsing", "SELECT s_suppkey, CAST(list_sum(range(s_suppkey, s_suppkey + 6)) AS BIGINT) AS total FROM supplier")
+RANGE = "[0-9]{1,4}(?:-[0-9]{1,4})?"
+
+
+@query("T35_range_parsing", f"WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{RANGE}')) AS part FROM documents), r AS (SELECT doc_id, CAST(split_part(part, '-', 1) AS BIGINT) AS a, CAST(CASE WHEN contains(part, '-') THEN split_part(part, '-', 2) ELSE part END AS BIGINT) AS z FROM p) SELECT doc_id, count(*) FILTER (WHERE z < a) AS backward, CAST(sum(greatest(z - a + 1, 0)) AS BIGINT) AS n, CAST(sum(greatest(z - a + 1, 0) * (a + z) // 2) AS BIGINT) AS total FROM r GROUP BY doc_id")
 def ranges(t: Tables) -> DataFrame:
-    text = F.concat_ws("-", F.col("s_suppkey"), F.col("s_suppkey") + 5)
-    both = F.transform(F.split(text, "-"), lambda x: x.cast("long"))
-    return t.supplier.select("s_suppkey", F.aggregate(F.sequence(both[0], both[1]), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    """Numbers and ranges that a text writes, such as 108-120 and 123, spread to all their frames; backward ranges are counted."""
+    ends = F.transform(F.regexp_extract_all("text", F.lit(RANGE), F.lit(0)), lambda p: F.transform(F.split(p, "-"), lambda x: x.cast("long")))
+    d = t.documents.where(F.col("text").rlike("[0-9]")).select("doc_id", F.transform(ends, lambda e: F.struct(e[0].alias("a"), F.element_at(e, -1).alias("z"))).alias("r"))
+    frames = F.flatten(F.transform(F.filter("r", lambda x: x["z"] >= x["a"]), lambda x: F.sequence(x["a"], x["z"])))
+    d = d.select("doc_id", F.size(F.filter("r", lambda x: x["z"] < x["a"])).cast("long").alias("backward"), frames.alias("f"))
+    return d.select("doc_id", "backward", F.size("f").cast("long").alias("n"), F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @query("T36_time_format", "SELECT event_id, printf('%02d:%02d:%02d', event_id // 3600, event_id % 3600 // 60, event_id % 60) AS hms FROM events")

@@ -92,11 +92,13 @@ def rank_margin(t: Tables) -> DataFrame:
     return t.frames.select("row_id", F.rank().over(w).alias("rank"), F.round(F.col("score") - F.lead("score").over(w), 6).alias("margin"))
 
 
-@query("W19_pad_strided", f"WITH {FRAMES}, p AS (SELECT row_id, video_id FROM e WHERE row_id % greatest(1, (SELECT count(*) FROM e) // 200) = 0 AND row_id NOT IN (SELECT row_id FROM e WHERE score > 90)) SELECT * FROM p ORDER BY row_id LIMIT 100")
+@query("W19_pad_strided", f"WITH {FRAMES}, p AS (SELECT row_id, video_id FROM e WHERE row_id % greatest(1, (SELECT count(*) FROM e) // 200) = 0 AND NOT EXISTS (SELECT 1 FROM e s WHERE s.score > 90 AND s.video_id = e.video_id AND s.us // 3600000000 = e.us // 3600000000)) SELECT * FROM p ORDER BY row_id LIMIT 100")
 def pad(t: Tables) -> DataFrame:
-    f = t.frames
+    """Strided rows whose video and hour no chosen row holds yet, until there are 100."""
+    f = t.frames.withColumn("hour", F.floor(F.col("us") / 3_600_000_000))
     step = max(1, f.count() // 200)
-    return f.where(F.col("row_id") % step == 0).join(f.where("score > 90").select("row_id"), "row_id", "left_anti").select("row_id", "video_id").orderBy("row_id").limit(100)
+    seen = f.where("score > 90").select("video_id", "hour").distinct()
+    return f.where(F.col("row_id") % step == 0).join(seen, ["video_id", "hour"], "left_anti").select("row_id", "video_id").orderBy("row_id").limit(100)
 
 
 @query("W20_dedup_then_cut", f"WITH {FRAMES}, k AS (SELECT *, row_number() OVER (PARTITION BY label, video_id, us // 3600000000 ORDER BY score DESC, row_id) AS d FROM e), c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, row_id) AS rank FROM k WHERE d = 1) SELECT label AS qid, row_id, rank FROM c WHERE rank <= 100")
@@ -148,8 +150,17 @@ def tolerance(t: Tables) -> DataFrame:
 
 @query("J9_asymmetric_window", f"WITH {FRAMES} SELECT DISTINCT b.row_id FROM e a JOIN e b ON a.video_id = b.video_id AND b.us - a.us BETWEEN -3600000000 AND 7200000000 WHERE a.label = 'purchase'")
 def asymmetric(t: Tables) -> DataFrame:
-    a, b = t.frames.where("label = 'purchase'").alias("a"), t.frames.alias("b")
-    return a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & (F.col("b.us") - F.col("a.us")).between(-3_600_000_000, 7_200_000_000)).select("b.row_id").distinct()
+    """Rows from an hour before a purchase to two hours after it, by a count over a range of time, without pairs.
+
+    A video is cut into cells of three hours; a purchase also stands in the cells that it reaches.
+    """
+    hour = 3_600_000_000
+    f, cell = t.frames.where("video_id is not null"), lambda us: F.floor(us / (3 * hour))
+    reach = F.sequence(cell(F.col("us") - hour), cell(F.col("us") + 2 * hour))
+    bought = f.where("label = 'purchase'").select("video_id", "us", F.explode(reach).alias("cell"), "row_id", F.lit(True).alias("bought"))
+    rows = f.select("video_id", "us", cell(F.col("us")).alias("cell"), "row_id", F.lit(False).alias("bought"))
+    w = Window.partitionBy("video_id", "cell").orderBy("us").rangeBetween(-2 * hour, hour)
+    return rows.union(bought).withColumn("near", F.count_if("bought").over(w)).where("not bought and near > 0").select("row_id").distinct()
 
 
 @query("K8_J12_best_chain", f"WITH {FRAMES}, x AS (SELECT *, max(CASE WHEN label = 'view' THEN score END) OVER w AS b1 FROM e WINDOW w AS (PARTITION BY video_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), y AS (SELECT *, max(CASE WHEN label = 'click' THEN score + b1 END) OVER w AS b2 FROM x WINDOW w AS (PARTITION BY video_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT video_id, round(max(score + b2), 6) AS score FROM y WHERE label = 'purchase' AND b2 IS NOT NULL GROUP BY video_id")
@@ -199,13 +210,15 @@ def align_drop(t: Tables) -> DataFrame:
     return pools(t).select("video_id", run("c").alias("chain"))
 
 
-@query("K5_strictly_rising", "SELECT s_suppkey, [s_suppkey, s_suppkey + 1, s_suppkey + 2] AS frames FROM supplier")
+@query("K5_strictly_rising", "WITH l AS (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, floor(l_quantity)) AS pos FROM lineitem) SELECT l_orderkey, pos, pos + max(f - pos) OVER (PARTITION BY l_orderkey ORDER BY pos) AS frame FROM l")
 def rising(t: Tables) -> DataFrame:
-    """Equal frames move up by one: a fold over the array."""
-    raw = F.array(F.col("s_suppkey"), F.col("s_suppkey"), F.col("s_suppkey"))
+    """An order's quantities as frames, by line; one not above its predecessor becomes that plus one: a fold over the array."""
+    raw = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.floor("l_quantity").alias("f")))), lambda x: x["f"])
     start = F.array().cast("array<bigint>")
-    fixed = F.aggregate(raw, start, lambda out, f: F.concat(out, F.array(F.greatest(f, F.coalesce(F.get(out, F.size(out) - 1) + 1, f)))))
-    return t.supplier.select("s_suppkey", fixed.alias("frames"))
+    step = lambda out, f: F.concat(out, F.array(F.greatest(f, F.coalesce(F.get(out, F.size(out) - 1) + 1, f))))
+    c = t.lineitem.groupBy("l_orderkey").agg(raw.alias("raw"))
+    frames = c.select("l_orderkey", F.posexplode(F.aggregate("raw", start, step)).alias("pos", "frame"))
+    return frames.withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
 @query("K11_K12_fill_and_spread")

@@ -31,8 +31,13 @@ def query_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compact_log(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """Last valid line of each key in an append-only JSON log; cut lines and blanks go."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """Last valid line of each key in append-only JSON logs; cut lines and blanks go.
+
+    Of several files the one changed last wins, ties by name. Within a file lines are ordered by the start of
+    their block, and within a block by the reader's count, however Spark packs blocks into tasks.
+    """
+    at = F.struct(*[F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")], F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("at"))
     rows = lines.select(F.from_json("value", f"{key} long, {value} string", {"mode": "PERMISSIVE"}).alias("r"), "at").select("r.*", "at")
     return rows.where(F.col(key).isNotNull() & (F.trim(F.coalesce(value, F.lit(""))) != "")).groupBy(key).agg(F.max_by(value, "at").alias(value))
 

@@ -66,3 +66,79 @@ def test_answer_match_keeps_the_sharp_s(spark, tmp_path):
     turns = [(1, 0, "user", "Straße"), (2, 0, "user", "plain é"), (3, 0, "user", None)]
     got = run(spark, tmp_path, "E20_answer_match", conversations=(turns, "conv_id long, turn int, role string, text string"))
     assert got == [(0, 3, 1, 2, 2)]
+
+
+EVENTS = "event_id long, user_id long, ts timestamp, event_type string, value double"
+
+
+def test_window_around_purchases_against_pairs(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(3)
+    begin = datetime(2024, 1, 1)
+    events = [(i, rng.choice([1, 1, 1, 2, None]), begin + timedelta(minutes=rng.randrange(4000)), rng.choice(["view"] * 9 + ["purchase"]), 1.0) for i in range(300)]
+    # Both ends of the range belong to it.
+    events += [(900, 5, begin, "purchase", 1.0), (901, 5, begin + timedelta(hours=2), "view", 1.0), (902, 5, begin - timedelta(hours=1), "view", 1.0), (903, 5, begin + timedelta(hours=2, microseconds=1), "view", 1.0)]
+    want = {b[0] for a in events for b in events if a[3] == "purchase" and a[1] is not None and a[1] == b[1] and timedelta(hours=-1) <= b[2] - a[2] <= timedelta(hours=2)}
+    got = run(spark, tmp_path, "J9_asymmetric_window", events=(events, EVENTS))
+    assert sorted(got) == sorted((i,) for i in want) and {900, 901, 902} <= want and 903 not in want
+
+
+def test_master_zips_by_position_over_cells(spark, tmp_path):
+    docs = [(i * 40_000, "x", f"src{i % 2}") for i in range(9)] + [(7, "x", None)]
+    pages = [(i, "u", "h") for i in (20, 70_000 * 20, 1, 3)]
+    got = run(spark, tmp_path, "S4_master_build", documents=(docs, DOCS), pages=(pages, "page_id long, url string, html string"))
+    order = sorted((s is None, s or "", d, s) for d, _, s in docs)
+    zipped = {0: 20, 80_000: 1_400_000, 40_000: 1}
+    assert sorted(got) == [(n, s, d, zipped.get(d)) for n, (_, _, d, s) in enumerate(order)]
+    assert run(spark, tmp_path, "S4_master_build", documents=([], DOCS), pages=(pages, "page_id long, url string, html string")) == []
+
+
+def test_frames_rise_strictly(spark, tmp_path):
+    lines = [(1, 1, 5.0), (1, 2, 5.0), (1, 3, 3.0), (1, 4, 20.0), (2, 1, 9.0), (2, 1, 2.0)]
+    got = run(spark, tmp_path, "K5_strictly_rising", lineitem=(lines, "l_orderkey long, l_linenumber int, l_quantity double"))
+    assert sorted(got) == [(1, 1, 5), (1, 2, 6), (1, 3, 7), (1, 4, 20), (2, 1, 2), (2, 2, 9)]
+
+
+def test_answers_are_cut_not_rewritten(spark, tmp_path):
+    texts = ["  The And  The red fox.\nmore", "5 bowls of rice on a table", "5 bowls", "5a bowls of rice on a table", "words " * 40, "word " * 40, "y" * 150, "", None, "The The The The end"]
+    got = run(spark, tmp_path, "T30_T31_answer_cleanup", documents=([(i, x, "s") for i, x in enumerate(texts)], DOCS))
+    assert [a for _, a in sorted(got)] == ["red fox", "5", "5 bowls", "5a bowls of rice on a table", " ".join(["words"] * 16), " ".join(["word"] * 20), "y" * 100, "", "", "The end"]
+
+
+def test_ranges_spread_to_frames(spark, tmp_path):
+    texts = ["108-110, 123", "9-7 and 4", "none", None]
+    got = run(spark, tmp_path, "T35_range_parsing", documents=([(i, x, "s") for i, x in enumerate(texts)], DOCS))
+    assert sorted(got) == [(0, 0, 4, 108 + 109 + 110 + 123), (1, 1, 1, 4)]
+
+
+def test_padding_skips_places_already_chosen(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    events = [(1, 1, at(0), "view", 95.0), (2, 1, at(30), "view", 1.0), (3, 1, at(90), "view", 1.0), (4, 2, at(30), "view", 1.0)]
+    assert run(spark, tmp_path, "W19_pad_strided", events=(events, EVENTS)) == [(3, 1), (4, 2)]
+
+
+def test_the_last_line_of_the_last_log_counts(spark, tmp_path):
+    import json
+    import os
+
+    from frameseek.sources import files
+
+    line = lambda k, v: json.dumps({"row_id": k, "caption": v}) + "\n"
+    (tmp_path / "log").mkdir()
+    # The file changed last is the first by name and the smallest, so neither name nor size orders it last.
+    (tmp_path / "log" / "z").write_text("".join(line(i % 7, f"old{i}") for i in range(5000)))
+    (tmp_path / "log" / "a").write_text(line(3, "new") + line(4, " ") + '{"row_id": 5, "ca')
+    os.utime(tmp_path / "log" / "z", (1_700_000_000,) * 2)
+    os.utime(tmp_path / "log" / "a", (1_700_000_100,) * 2)
+    want = {i % 7: f"old{i}" for i in range(5000)} | {3: "new"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert {r.row_id: r.caption for r in files.compact_log(spark, f"file://{tmp_path}/log", "row_id", "caption").collect()} == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
