@@ -108,11 +108,15 @@ def dedup_cut(t: Tables) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "row_id"))).where("rank <= 100").select(F.col("label").alias("qid"), "row_id", "rank")
 
 
-@query("W21_nearest_to_seed", f"WITH {FRAMES}, s AS (SELECT video_id, min(us) AS us FROM e WHERE label = 'purchase' GROUP BY video_id), d AS (SELECT e.video_id, e.row_id, abs(e.us - s.us) AS gap FROM e JOIN s ON e.video_id = s.video_id) SELECT video_id, row_id, row_number() OVER (PARTITION BY video_id ORDER BY gap, row_id) AS pos FROM d QUALIFY pos <= 5")
+@query("W21_nearest_to_seed", f"WITH {FRAMES}, s AS (SELECT DISTINCT video_id, us FROM e WHERE label = 'purchase'), d AS (SELECT e.video_id, e.row_id, min(abs(e.us - s.us)) AS gap FROM e JOIN s ON e.video_id = s.video_id GROUP BY e.video_id, e.row_id) SELECT video_id, row_id, row_number() OVER (PARTITION BY video_id ORDER BY gap, row_id) AS pos FROM d QUALIFY pos <= 5")
 def nearest(t: Tables) -> DataFrame:
-    s = t.frames.where("label = 'purchase'").groupBy("video_id").agg(F.min("us").alias("seed"))
+    """The five rows of a video nearest to any of its seeds; the seeds before and after a row come from windows, not pairs."""
+    seed = F.when(F.col("label") == "purchase", F.col("us"))
+    before = F.last(seed, ignorenulls=True).over(line().rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(seed, ignorenulls=True).over(Window.partitionBy("video_id").orderBy(F.desc("us"), F.desc("row_id")).rowsBetween(Window.unboundedPreceding, 0))
+    g = t.frames.where("video_id is not null").select("video_id", "row_id", F.least(F.col("us") - before, after - F.col("us")).alias("gap")).where("gap is not null")
     w = Window.partitionBy("video_id").orderBy("gap", "row_id")
-    return t.frames.join(s, "video_id").withColumn("gap", F.abs(F.col("us") - F.col("seed"))).withColumn("pos", F.row_number().over(w)).where("pos <= 5").select("video_id", "row_id", "pos")
+    return g.withColumn("pos", F.row_number().over(w)).where("pos <= 5").select("video_id", "row_id", "pos")
 
 
 @query("W22_chain_spreading")

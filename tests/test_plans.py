@@ -142,3 +142,38 @@ def test_the_last_line_of_the_last_log_counts(spark, tmp_path):
             assert {r.row_id: r.caption for r in files.compact_log(spark, f"file://{tmp_path}/log", "row_id", "caption").collect()} == want
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_nearest_rows_to_any_seed_against_pairs(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    events = [(i, rng.choice([1, 1, 2, None]), datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(200)), rng.choice(["view"] * 5 + ["purchase"]), 1.0) for i in range(80)]
+    events += [(900, 7, datetime(2024, 1, 1), "view", 1.0)]
+    want = []
+    for video in (1, 2, 7):
+        rows = [e for e in events if e[1] == video]
+        near = sorted((min(abs(e[2] - s[2]) for s in rows if s[3] == "purchase"), e[0]) for e in rows if any(s[3] == "purchase" for s in rows))
+        want += [(video, i, n) for n, (_, i) in enumerate(near[:5], 1)]
+    assert sorted(run(spark, tmp_path, "W21_nearest_to_seed", events=(events, EVENTS))) == sorted(want) and len(want) == 10
+
+
+def test_bad_records_are_kept_and_marked(spark, tmp_path):
+    rows = [(1, '{"k": 5}'), (2, '{"k": 5'), (3, None), (4, '{"z": 1}'), (5, "no json")]
+    got = run(spark, tmp_path, "S8_S10_json_props", events=(rows, "event_id long, props string"))
+    assert sorted(got) == [(1, 5, False), (2, None, True), (3, None, False), (4, None, False), (5, None, True)]
+
+
+def test_every_devset_rule_finds_its_row(spark, tmp_path):
+    docs = [(1, "a fine text", "en", "s", 11), (2, " ", "en", "s", 1), (3, "x" * 10001, "en", "s", 10001), (4, "bonjour", "de", "s", 7), (5, "size", "fr", "s", 9)]
+    docs += [(6, "same", "en", "s", 4), (7, "same", "en", "t", 4), (8, "one", "en", "s", 3), (8, "two", "en", "s", 3), (9, "bare", "en", "s", 4)]
+    labels = [(i, 1) for i in range(1, 9)] + [(9, None), (99, 0)]
+    got = run(spark, tmp_path, "E13_devset_rules", documents=(docs, "doc_id long, text string, lang string, source string, n_chars int"), labels=(labels, "doc_id long, quality int"))
+    assert dict(got) == dict.fromkeys(["empty", "long", "language", "size", "copy", "sources", "twice", "no answer", "no document"], 1)
+
+
+def test_gold_of_the_turn_before(spark, tmp_path):
+    turns = [(1, 0, "u", "take Bo or Émil"), (1, 1, "u", "An Bo Émil Zed"), (1, 2, "u", "An Bo Cy Zed"), (1, 3, "u", None), (1, 4, "u", "Ed"), (2, 0, "u", "Émil")]
+    got = run(spark, tmp_path, "E24_variant_oracle", conversations=(turns, "conv_id long, turn int, role string, text string"))
+    assert sorted(got) == [(1, 1, "Émil", True), (1, 2, "Zed", False), (1, 3, "Zed", False)]
