@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameseek.llm import bpe, fingerprints, langid, lm, mixing, neardup, pii, quality, topk, warc
+from frameseek.llm import bpe, decontaminate, fingerprints, langid, lm, mixing, neardup, pii, quality, resample, topk, treaps, warc
 from frameseek.llm.common import crc_bucket, table
 
 
@@ -60,6 +60,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
@@ -141,6 +154,57 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM p JOIN f USING (sha)
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT r, doc_id, len(w) AS n, w
+  FROM (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)
+  WHERE len(w) > 0
+), a AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d
+), p AS (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), q AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, a GROUP BY term, n_docs
+), s AS (
+  SELECT q.item_id, d.r, d.doc_id, CAST(sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (100 - 25 + (25 * d.n * a.n_docs) // a.n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN d ON d.r = p.r, a
+  GROUP BY q.item_id, d.r, d.doc_id
+), k AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0 AND doc_id IS NOT NULL
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+OP13_SQL = r"""
+WITH i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item, m, array_to_string(w[p : p + m - 1], ' ') AS k
+  FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM (SELECT *, least(10, len(w)) AS m FROM i WHERE len(w) > 0))
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), o AS (
+  SELECT x.r, x.p, x.m, win.item
+  FROM (SELECT r, p, m, array_to_string(w[p : p + m - 1], ' ') AS k
+        FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)) x
+  JOIN win ON x.m = win.m AND x.k = win.k
+), h AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM o) GROUP BY r
+), t AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -149,9 +213,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_fingerprints, op3_bpe, op4_quality, op5_pii, op6_lm_score, op7_neardup, op8_topk, op9_mixing, op10_warc)
+    ops = (op1_language_id, op2_fingerprints, op3_bpe, op4_quality, op5_pii, op6_lm_score, op7_neardup, op8_topk, op9_mixing, op10_warc, op11_resample, op12_ranked_search, op13_decontaminate)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op8_topk": OP8_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL, "op12_ranked_search": OP12_SQL, "op13_decontaminate": OP13_SQL}
