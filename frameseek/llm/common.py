@@ -58,6 +58,7 @@ class Scratch:
         self.folder = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._made = 0
         self._at: dict[str, str] = {}
+        self._known: dict[str, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back under ``name``; a table saved before under that name goes."""
@@ -74,12 +75,14 @@ class Scratch:
         path, known = f"{self.folder}/{name}-{self._made}", f"scratch_{uuid.uuid4().hex}"
         dealt = df.repartition(buckets, key).write.option("compression", "zstd").option("path", path)
         dealt.bucketBy(buckets, key).format("parquet").saveAsTable(known)
-        self._at[name] = path
+        self._at[name], self._known[name] = path, known
         return self.spark.table(known)
 
     def drop(self, *names: str) -> None:
-        """Delete tables whose readers have all run."""
+        """Delete tables whose readers have all run, and what the catalogue knows of them."""
         for name in names:
+            if name in self._known:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._known.pop(name)}")
             if name in self._at:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at.pop(name))
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
