@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameseek.plans import assembly, channels, evaluation, fusion, relational, text, timeline
+from frameseek.plans import assembly, channels, etl, evaluation, fusion, phrases, relational, text, timeline
 from frameseek.plans.registry import ORACLES, QUERIES, Tables
 
-PLANS = (channels, text, fusion, timeline, evaluation, relational, assembly)
+PLANS = (channels, text, phrases, fusion, timeline, evaluation, relational, assembly, etl)
 
 
 def queries() -> dict:

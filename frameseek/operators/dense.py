@@ -38,8 +38,12 @@ def encoded(v: str) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    """A row a vector; null components are not a number. Vectors of several lengths are an error."""
+    column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    if (lengths != lengths[0]).any():
+        raise ValueError(f"vectors of {lengths.min()} and {lengths.max()} components")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lengths), -1)
 
 
 def rounded(x: np.ndarray, places: int = 6) -> np.ndarray:
@@ -51,7 +55,7 @@ def tiles(rows: DataFrame, queries: DataFrame, fold: Callable, schema: str, deal
     """What ``fold`` makes of each block of scores; rows: row_id, v, ...; queries: qid, v, ...
 
     ``fold(r, q, s)`` gets the other columns of both blocks as Arrow tables, the rows by id, and the scores,
-    a row of ``s`` a row; it returns arrays in the order of ``schema``. A score that is not finite is -inf. Queries of one value of ``deal`` share a block. With ``within`` only rows and queries
+    a row of ``s`` a row; it returns arrays in the order of ``schema``. A score that is not finite (as with a null component) is -inf. Vectors of several lengths are an error. Queries of one value of ``deal`` share a block. With ``within`` only rows and queries
     of the same value of that column meet; nulls there meet none. Null vectors take no part.
     """
     key = F.col(within) if within else F.lit(0)
@@ -70,7 +74,11 @@ def tiles(rows: DataFrame, queries: DataFrame, fold: Callable, schema: str, deal
         if not left.num_rows or not right.num_rows:
             return made.empty_table()
         left = left.sort_by("row_id")
-        s = _matrix(left["v"]) @ _matrix(right["v"]).T
+        a, b = _matrix(left["v"]), _matrix(right["v"])
+        if a.shape[1] != b.shape[1]:
+            raise ValueError(f"vectors of {a.shape[1]} and {b.shape[1]} components")
+        with np.errstate(invalid="ignore"):
+            s = a @ b.T
         s[~np.isfinite(s)] = -np.inf
         return pa.table(dict(zip(made.names, fold(left, right, s))), schema=made)
 

@@ -11,24 +11,6 @@ import re
 from collections.abc import Callable, Sequence
 
 
-def suppress_time(rows: Sequence[tuple[int, float]], gap: float) -> list[int]:
-    """Keep (id, time) in order unless a kept time is closer than ``gap``."""
-    kept: list[tuple[int, float]] = []
-    for i, t in rows:
-        if all(abs(t - u) >= gap for _, u in kept):
-            kept.append((i, t))
-    return [i for i, _ in kept]
-
-
-def suppress_copies(rows: Sequence[tuple[int, Sequence[float]]], least: float = 0.99, keep: int = 1) -> list[int]:
-    """Keep (id, unit vector) in order unless ``keep`` kept vectors have a cosine of ``least`` or more."""
-    kept: list[tuple[int, Sequence[float]]] = []
-    for i, v in rows:
-        if sum(sum(a * b for a, b in zip(v, u)) >= least for _, u in kept) < keep:
-            kept.append((i, v))
-    return [i for i, _ in kept]
-
-
 def step_penalty(gap: float, near: float = 1.0, close: float = 1.0, far: float = 60.0, beta: float = 0.0005) -> float:
     """Cost of a step: ``close`` below ``near``, nothing up to ``far``, then ``beta`` for each second beyond it."""
     if gap < near:
@@ -76,22 +58,6 @@ def align_restart(events: Sequence[Sequence[tuple[int, float, float]]]) -> list[
     return [*chain, *[None] * (len(events) - len(chain))]
 
 
-def align_drop(events: Sequence[Sequence[tuple[int, float, float]]], near: float = 0.0, far: float = math.inf, cost: float = 0.0, span: float = math.inf) -> list[int]:
-    """Monotone alignment; a candidate without an earlier predecessor is dropped; steps outside [near, far] cost."""
-    if not events or not all(events):
-        return []
-    best = [(s, t, t, [i]) for i, t, s in events[0]]
-    for options in events[1:]:
-        layer = []
-        for i, t, s in options:
-            usable = [(b[0] - (0.0 if near <= t - b[1] <= far else cost), b) for b in best if b[1] < t and t - b[2] <= span]
-            if usable:
-                v, b = max(usable, key=lambda x: (x[0], -x[1][1]))
-                layer.append((v + s, t, b[2], [*b[3], i]))
-        best = layer
-    return max(best, key=lambda b: (b[0], -b[1]), default=(0.0, 0.0, 0.0, []))[3]
-
-
 def strictly_rising(frames: Sequence[int]) -> list[int]:
     out: list[int] = []
     for f in frames:
@@ -136,17 +102,6 @@ def split_clauses(text: str, most: int = 40) -> list[str]:
     return [" ".join(w) for w in out]
 
 
-def pack_tokens(sizes: Sequence[int], budget: int) -> list[int]:
-    """Chunk number of each item when items fill chunks in order up to ``budget``."""
-    out, chunk, used = [], 0, 0
-    for s in sizes:
-        if used and used + s > budget:
-            chunk, used = chunk + 1, 0
-        used += s
-        out.append(chunk)
-    return out
-
-
 def bin_packing(sizes: Sequence[tuple[str, int]], bins: int) -> dict[str, int]:
     """Longest first into the least filled bin."""
     load, out = [0] * bins, {}
@@ -174,41 +129,6 @@ def split_events(text: str) -> list[str]:
     return [text.strip()]
 
 
-_NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
-_PROPER = re.compile(r"(?:[^\W\d_a-z]\w+)(?:\s+[^\W\d_a-z]\w+)*")
-
-
-def mine_answers(text: str, question: str, keyword: str, numeric: bool, k: int = 1) -> list[str]:
-    """The k numbers or proper names nearest to the keyword that the question does not hold."""
-    at = text.lower().find(keyword.lower()) if keyword else -1
-    found = [(abs(m.start() - at) if at >= 0 else m.start(), m.start(), m.group()) for m in (_NUMBER if numeric else _PROPER).finditer(text) if m.group().lower() not in question.lower()]
-    out: list[str] = []
-    for _, _, a in sorted(found):
-        if a not in out:
-            out.append(a)
-    return out[:k]
-
-
-#: Vietnamese digit words 0 to 9.
-DIGITS = ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")
-
-
-def number_reading(n: int) -> str:
-    """The usual Vietnamese reading of 0 to 9999."""
-    if n < 10:
-        return DIGITS[n]
-    if n < 100:
-        tens, unit = divmod(n, 10)
-        head = "mười" if tens == 1 else f"{DIGITS[tens]} mươi"
-        tail = {0: "", 1: "một" if tens == 1 else "mốt", 5: "lăm"}.get(unit, DIGITS[unit])
-        return f"{head} {tail}".strip()
-    if n < 1000:
-        hundreds, rest = divmod(n, 100)
-        return f"{DIGITS[hundreds]} trăm" + ("" if not rest else f" lẻ {DIGITS[rest]}" if rest < 10 else f" {number_reading(rest)}")
-    thousands, rest = divmod(n, 1000)
-    return f"{DIGITS[thousands]} nghìn" + ("" if not rest else f" {'không trăm lẻ ' + DIGITS[rest] if rest < 10 else 'không trăm ' + number_reading(rest) if rest < 100 else number_reading(rest)}")
-
-
 def spread_chain(frames: Sequence[int], step: int, shells: int, most: int) -> list[list[int]]:
     """Chains around one chain: offset vectors by greatest size, strictly rising ones only."""
     from itertools import product
@@ -238,19 +158,3 @@ def quota_union(lists: Sequence[Sequence[int]], quotas: Sequence[int], total: in
                 out.append(i)
                 q -= 1
     return out
-
-
-def merge_boxes(boxes: Sequence[Sequence[float]], least: float = 0.5) -> int:
-    """How many boxes remain when each joins the first kept one with an IoU of ``least``."""
-    kept: list[Sequence[float]] = []
-    for b in boxes:
-        if all(iou(b, k) < least for k in kept):
-            kept.append(b)
-    return len(kept)
-
-
-def iou(a: Sequence[float], b: Sequence[float]) -> float:
-    h = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    w = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - h * w
-    return h * w / union if union > 0 else 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameseek.operators import sequences
+from frameseek.operators import detections, greedy, sequences
 from frameseek.plans.fusion import LISTS, RRF, fused
 from frameseek.plans.registry import FRAMES, Tables, query
 from frameseek.plans.timeline import pools
@@ -33,30 +33,34 @@ def chain_assembly(t: Tables) -> DataFrame:
     return top.select("video_id", run("c").alias("frames"), F.col("s").alias("score"))
 
 
-IOU = "b AS (SELECT s_suppkey AS id, 0.0 AS y0, 0.0 AS x0, 10.0 AS y1, 10.0 AS x1, CAST(s_suppkey % 12 AS DOUBLE) AS o FROM supplier)"
+# Boxes of an order's lines, on a grid of five by six units: corner by discount and tax, side by quantity; a larger price is surer.
+BOXES = "b AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS score, round(l_discount * 500) AS y0, round(l_tax * 600) AS x0, round(l_discount * 500) + l_quantity AS y1, round(l_tax * 600) + l_quantity AS x1 FROM lineitem)"
+SHARED = "greatest(least({0}[3], {1}[3]) - greatest({0}[1], {1}[1]), 0) * greatest(least({0}[4], {1}[4]) - greatest({0}[2], {1}[2]), 0)".format
+AREA = "(({0}[3] - {0}[1]) * ({0}[4] - {0}[2]))".format
 
 
-@query("V15_iou", f"WITH {IOU} SELECT id, round(greatest(0, 10 - o) * greatest(0, 10 - o) / (200 - greatest(0, 10 - o) * greatest(0, 10 - o)), 6) AS iou FROM b")
-def iou(t: Tables) -> DataFrame:
-    o = (F.col("s_suppkey") % 12).cast("double")
-    side = F.greatest(F.lit(0.0), F.lit(10.0) - o)
-    return t.supplier.select(F.col("s_suppkey").alias("id"), F.round(side * side / (200 - side * side), 6).alias("iou"))
-
+def boxes(t: Tables) -> DataFrame:
+    y, x = F.round(F.col("l_discount") * 500), F.round(F.col("l_tax") * 600)
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("score"), F.array(y, x, y + F.col("l_quantity"), x + F.col("l_quantity")).alias("box"))
 
-@query("V15_merged_boxes")
-def merged_boxes(t: Tables) -> DataFrame:
-    count = F.udf(lambda o: sequences.merge_boxes([(x, x, x + 10.0, x + 10.0) for x in o]), "int")
-    s = t.supplier.groupBy("s_nationkey").agg(F.array_sort(F.collect_list((F.col("s_suppkey") % 30).cast("double"))).alias("o"))
-    return s.select("s_nationkey", F.size("o").alias("boxes"), count("o").alias("merged"))
 
+@query("V15_iou", f"WITH {BOXES}, c AS (SELECT l_orderkey, l_linenumber, [y0, x0, y1, x1] AS a, lag([y0, x0, y1, x1]) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, score) AS p FROM b), i AS (SELECT *, {SHARED('a', 'p')} AS s FROM c WHERE p IS NOT NULL) SELECT l_orderkey, l_linenumber, round(s / ({AREA('a')} + {AREA('p')} - s), 6) AS iou FROM i")
+def iou(t: Tables) -> DataFrame:
+    """A box with the one of the line before it."""
+    c = boxes(t).withColumn("p", F.lag("box").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "score"))).where("p is not null")
+    return c.select("l_orderkey", "l_linenumber", F.round(detections.iou(F.col("box"), F.col("p")), 6).alias("iou"))
 
-@query("S23_S25_submission_round_trip", f"WITH {LISTS}, {RRF} SELECT qid, video_id, row_id AS frame_idx FROM fused WHERE rank <= 100")
-def submission_round_trip(t: Tables) -> DataFrame:
-    """Validated rows written as CSV for each question and read back by file name."""
-    from frameseek.sources import submission
 
-    rows = fused(t).where("rank <= 100").select("qid", "rank", "video_id", F.col("row_id").alias("frame_idx"))
-    return submission.round_trip(t.spark, rows)
+@query("V15_merged_boxes", f"""WITH RECURSIVE {BOXES}, o AS (SELECT l_orderkey, [y0, x0, y1, x1] AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS n FROM b),
+k AS (SELECT l_orderkey, n, [a] AS kept FROM o WHERE n = 1 UNION ALL
+  SELECT k.l_orderkey, o.n, CASE WHEN len(list_filter(kept, lambda x: {SHARED('x', 'o.a')} > 0.5 * ({AREA('x')} + {AREA('o.a')} - {SHARED('x', 'o.a')}))) = 0 THEN list_append(kept, o.a) ELSE kept END FROM k JOIN o ON o.l_orderkey = k.l_orderkey AND o.n = k.n + 1)
+SELECT l_orderkey, max(n) AS boxes, CAST(max(len(kept)) AS BIGINT) AS merged FROM k GROUP BY l_orderkey""")
+def merged_boxes(t: Tables) -> DataFrame:
+    """Boxes of an order, and how many stay when one over half on a surer one that stays is the same thing."""
+    b = boxes(t)
+    kept = greedy.suppress(b, ["l_orderkey"], "score", "l_linenumber", F.col("box"), greedy.overlap(0.5))
+    every = b.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("boxes"))
+    return every.join(kept.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("merged")), "l_orderkey")
 
 
 @query("session_windows_extension", f"WITH {FRAMES}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w > 86400000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY video_id ORDER BY us, row_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY us, row_id) AS k FROM g) SELECT video_id, min(us) AS first_us, count(*) AS n FROM s GROUP BY video_id, k")

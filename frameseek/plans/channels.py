@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameseek.functions import text as tx
-from frameseek.operators import bm25, dense, ranking
+from frameseek.operators import bm25, dense, greedy, ranking
+from frameseek.operators.staging import staged
 from frameseek.plans.registry import FRAMES, Tables, query
 
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -42,6 +43,78 @@ def dense_channel(t: Tables) -> DataFrame:
     return ranking.cap(pool.select("qid", "row_id", "video_id", "score", "rank"), per_video, 50)
 
 
+POOL = f"""{QV}, s AS (SELECT b.qid, a.vec_id AS row_id, a.label AS video_id, CAST(a.embedding AS DOUBLE[]) AS v, round({DOT}, 6) AS score FROM embeddings a, q b), pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM s) WHERE rank <= 100),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid, video_id ORDER BY rank) AS n FROM pool),
+k AS (SELECT qid, video_id, n, row_id, true AS kept, [v] AS vs FROM o WHERE n = 1 UNION ALL
+  SELECT qid, video_id, n, row_id, ok, CASE WHEN ok THEN list_append(vs, v) ELSE vs END
+  FROM (SELECT o.*, k.vs, len(list_filter(k.vs, lambda x: round(list_dot_product(x, o.v), 6) >= 0.2)) < 1 AS ok FROM k JOIN o ON o.qid = k.qid AND o.video_id = k.video_id AND o.n = k.n + 1)),
+clean AS (SELECT pool.* FROM k JOIN pool USING (qid, row_id) WHERE kept)"""
+
+
+def _pool(t: Tables) -> DataFrame:
+    """The 100 best rows of each query, with label as video and the vector."""
+    return dense.top_k(_vectors(t), _asked(t), 100).join(_vectors(t).withColumnRenamed("label", "video_id"), "row_id")
+
+
+def _clean(pool: DataFrame) -> DataFrame:
+    return greedy.suppress(pool, ["qid", "video_id"], "score", "row_id", F.col("v"), greedy.cosine(0.2))
+
+
+@query("V6_E16_copy_suppression", f"WITH RECURSIVE {POOL} SELECT qid, row_id, video_id, score, rank FROM clean")
+def copy_suppression(t: Tables) -> DataFrame:
+    """Of a query's candidates from one video, in score order, those go that are near one that stays."""
+    return _clean(_pool(t)).select("qid", "row_id", "video_id", "score", "rank")
+
+
+@query("E16_dedup_diagnostics", f"""WITH RECURSIVE {POOL}, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, video_id ORDER BY rank) AS c FROM pool) WHERE c <= 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, video_id ORDER BY rank) AS c FROM clean) WHERE c <= 5),
+x AS (SELECT coalesce(a.qid, b.qid) AS qid, a.row_id IS DISTINCT FROM b.row_id AS moved, coalesce(a.pos, b.pos) AS pos, a.video_id FROM a FULL JOIN b ON a.qid = b.qid AND a.pos = b.pos),
+r AS (SELECT qid, count(*) AS n FROM clean GROUP BY qid), p AS (SELECT qid, count(*) AS n FROM pool GROUP BY qid)
+SELECT qid, any_value(p.n - r.n) AS removed, count(*) FILTER (WHERE moved) AS shifted, bool_or(moved AND pos = 1) AS top_changed, count(DISTINCT video_id) AS videos FROM x JOIN r USING (qid) JOIN p USING (qid) GROUP BY qid""")
+def dedup_diagnostics(t: Tables) -> DataFrame:
+    """What suppression does to a query's first 100: rows removed, and in the lists capped at five a video places that changed, a changed first place, and videos."""
+    pool = staged(_pool(t))
+    clean = staged(_clean(pool).select(*pool.columns))
+    sizes = pool.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).join(clean.groupBy("qid").agg(F.count(F.lit(1)).alias("m")), "qid")
+    a, b = (ranking.cap(x.select("qid", "row_id", "video_id", "score", "rank"), 5).select("qid", F.col("rank").alias("pos"), F.col("row_id").alias(name), F.col("video_id").alias(f"video_{name}")) for x, name in ((pool, "a"), (clean, "b")))
+    moved = a.join(b, ["qid", "pos"], "full_outer").withColumn("moved", ~F.col("a").eqNullSafe(F.col("b")))
+    by = moved.groupBy("qid").agg(F.count_if("moved").alias("shifted"), F.bool_or(F.col("moved") & (F.col("pos") == 1)).alias("top_changed"), F.countDistinct("video_a").alias("videos"))
+    return by.join(sizes, "qid").select("qid", (F.col("n") - F.col("m")).alias("removed"), "shifted", "top_changed", "videos")
+
+
+# Fixed shape of W14: cosines of neighbours in the band count, windows of six hours, a chain of three events.
+BAND, WINDOW_US, EVENTS = (0.0, 0.2), 6 * 3_600_000_000, 3
+W14_SQL = f"""WITH f AS (SELECT label AS video_id, vec_id AS row_id, epoch_us(ts) AS us, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN events ON event_id = vec_id),
+o AS (SELECT *, row_number() OVER w AS n, coalesce(CAST(round(list_dot_product(v, lead(v) OVER w), 6) BETWEEN {BAND[0]} AND {BAND[1]} AS INTEGER), 0) AS hit FROM f WINDOW w AS (PARTITION BY video_id ORDER BY us, row_id)),
+x AS (SELECT a.video_id, a.row_id, a.n, max(b.n) AS last, sum(CASE WHEN b.n < z.last THEN b.hit ELSE 0 END) AS hits
+  FROM o a JOIN (SELECT a.video_id, a.n, max(b.n) AS last FROM o a JOIN o b ON b.video_id = a.video_id AND b.n >= a.n AND b.us - a.us <= {WINDOW_US} GROUP BY ALL) z ON z.video_id = a.video_id AND z.n = a.n
+  JOIN o b ON b.video_id = a.video_id AND b.n BETWEEN a.n AND z.last GROUP BY ALL),
+r AS (SELECT *, last - n AS pairs, CASE WHEN last - n >= {EVENTS - 1} THEN round(hits / (last - n) * least((last - n) / {2 * EVENTS}.0, 1.0), 6) ELSE 0 END AS score FROM x),
+p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, n) AS k FROM r)
+SELECT video_id, row_id, CAST(pairs AS BIGINT) AS pairs, score FROM p WHERE k = 1 AND score > 0"""
+
+
+@query("W14_best_window", W14_SQL)
+def best_window(t: Tables) -> DataFrame:
+    """The window of a video in which most neighbours change but stay related: their share times how full the window is.
+
+    Cosines of neighbours are a column; counts up to a row, and the last row in reach, give every window without pairs.
+    Windows of too few rows do not count; of equal ones the first wins.
+    """
+    us = t.frames.select("row_id", "us")
+    f = _vectors(t).withColumnRenamed("label", "video_id").join(us, "row_id")
+    order = Window.partitionBy("video_id").orderBy("us", "row_id")
+    near = F.round(dense.dot("v", "after"), 6).between(*BAND)
+    o = f.withColumn("after", F.lead("v").over(order)).select("video_id", "row_id", "us", F.coalesce(near.cast("int"), F.lit(0)).alias("hit"))
+    o = o.withColumn("n", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    reach = Window.partitionBy("video_id").orderBy("us").rangeBetween(0, WINDOW_US)
+    o = o.withColumn("pairs", F.max("n").over(reach) - F.col("n")).withColumn("hits", F.max("before").over(reach) - F.col("before"))
+    score = F.round(F.col("hits") / F.col("pairs") * F.least(F.col("pairs") / F.lit(2.0 * EVENTS), F.lit(1.0)), 6)
+    o = o.withColumn("score", F.when(F.col("pairs") >= EVENTS - 1, score).otherwise(0.0))
+    best = Window.partitionBy("video_id").orderBy(F.desc("score"), "n")
+    return o.withColumn("k", F.row_number().over(best)).where("k = 1 and score > 0").select("video_id", "row_id", F.col("pairs").cast("long").alias("pairs"), "score")
+
+
 @query("F1_pool_before_topk", _top_sql(DOT, "a.label <= 3", 5))
 def pool_mask(t: Tables) -> DataFrame:
     v = _vectors(t)

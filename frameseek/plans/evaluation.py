@@ -123,16 +123,6 @@ def buckets(t: Tables) -> DataFrame:
     return scored(t).groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 4).alias("total"))
 
 
-@query("E16_dedup_diagnostics", f"WITH {LISTS}, d AS (SELECT *, row_number() OVER (PARTITION BY qid, video_id ORDER BY rank) AS n FROM l1), f AS (SELECT qid, row_id, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos FROM d WHERE n <= 1) SELECT l1.qid, count(*) FILTER (WHERE f.row_id IS NULL) AS removed, count(*) FILTER (WHERE f.pos <> l1.rank) AS shifted, count(DISTINCT l1.video_id) AS videos FROM l1 LEFT JOIN f ON f.qid = l1.qid AND f.row_id = l1.row_id GROUP BY l1.qid")
-def dedup_diagnostics(t: Tables) -> DataFrame:
-    from frameseek.operators.ranking import cap
-
-    a = lists(t)[0]
-    f = cap(a, 1).select("qid", "row_id", F.col("rank").alias("pos"))
-    j = a.join(f, ["qid", "row_id"], "left")
-    return j.groupBy("qid").agg(F.count_if(F.col("pos").isNull()).alias("removed"), F.count_if(F.col("pos") != F.col("rank")).alias("shifted"), F.countDistinct("video_id").alias("videos"))
-
-
 @query("E19_answer_containment", "WITH a AS (SELECT lower(text) AS ans, strip_accents(lower(text)) AS bare FROM benchmark), d AS (SELECT lower(text) AS low, strip_accents(lower(text)) AS plain FROM documents) SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM d WHERE contains(low, ans))) AS raw, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM d WHERE contains(plain, bare))) AS folded FROM a")
 def containment(t: Tables) -> DataFrame:
     """Passages that some document holds whole, as written in lower case and folded.
@@ -204,8 +194,3 @@ def devset_rules(t: Tables) -> DataFrame:
     every = broken(d, row).union(broken(copies, group)).union(always(d.groupBy("doc_id").count().where("count > 1"), "twice"))
     every = every.union(always(d.join(labels.where("quality is not null"), "doc_id", "left_anti"), "no answer")).union(always(labels.join(d, "doc_id", "left_anti"), "no document"))
     return every.groupBy("rule").agg(F.count(one).alias("n"))
-
-
-@query("E14_submission_rules", f"WITH {LISTS}, {RRF} SELECT qid, CASE WHEN count(*) > 100 THEN 'too many' WHEN count(*) > count(DISTINCT (video_id, row_id)) THEN 'duplicate' WHEN min(row_id) < 0 THEN 'frame' ELSE 'ok' END AS verdict FROM fused GROUP BY qid")
-def submission_rules(t: Tables) -> DataFrame:
-    return fused(t).groupBy("qid").agg(F.when(F.count(F.lit(1)) > 100, "too many").when(F.count(F.lit(1)) > F.countDistinct("video_id", "row_id"), "duplicate").when(F.min("row_id") < 0, "frame").otherwise("ok").alias("verdict"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameseek.operators import ranking, sequences
+from frameseek.operators import greedy, ranking, sequences
 from frameseek.plans.registry import FRAMES, Tables, query
 
 LISTS = f"{FRAMES}, l1 AS (SELECT * FROM (SELECT label AS qid, row_id, video_id, us, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, row_id) AS rank FROM e) WHERE rank <= 100), l2 AS (SELECT * FROM (SELECT label AS qid, row_id, video_id, us, score, row_number() OVER (PARTITION BY label ORDER BY score * (1 + row_id % 7) DESC, row_id) AS rank FROM e) WHERE rank <= 100)"
@@ -133,28 +133,19 @@ def agreement(t: Tables) -> DataFrame:
     return u.groupBy("qid", "row_id").agg(F.round(F.max("score") * (1 + 0.1 * (F.count(F.lit(1)) - 1)), 4).alias("score"))
 
 
-@query("R9_time_suppression")
-def time_suppression(t: Tables) -> DataFrame:
-    import pandas as pd
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        kept = set(sequences.suppress_time(list(zip(pdf["row_id"], pdf["us"] / 1e6)), 86400.0))
-        return pdf[pdf["row_id"].isin(kept)][["qid", "row_id", "rank"]]
-
-    return lists(t)[0].select("qid", "video_id", "row_id", "us", "rank").groupBy("qid", "video_id").applyInPandas(group, "qid string, row_id long, rank int")
+R9_SQL = f"""WITH RECURSIVE {LISTS}, o AS (SELECT qid, video_id, row_id, us, rank, row_number() OVER (PARTITION BY qid, video_id ORDER BY rank) AS n FROM l1),
+k AS (SELECT qid, video_id, row_id, rank, n, true AS kept, [us] AS times FROM o WHERE n = 1 UNION ALL
+  SELECT o.qid, o.video_id, o.row_id, o.rank, o.n, ok, CASE WHEN ok THEN list_append(times, o.us) ELSE times END
+  FROM (SELECT k.qid, k.video_id, k.n, k.times, o.us, len(list_filter(k.times, lambda x: abs(x - o.us) < 86400000000)) = 0 AS ok FROM k JOIN o ON o.qid = k.qid AND o.video_id = k.video_id AND o.n = k.n + 1) j
+  JOIN o ON o.qid = j.qid AND o.video_id = j.video_id AND o.n = j.n + 1)
+SELECT qid, row_id, rank FROM k WHERE kept"""
 
 
-@query("V6_E16_copy_suppression")
-def copy_suppression(t: Tables) -> DataFrame:
-    import pandas as pd
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        kept = set(sequences.suppress_copies([(i, v.tolist()) for i, v in zip(pdf["vec_id"], pdf["embedding"])], 0.6))
-        return pdf[pdf["vec_id"].isin(kept)][["label", "vec_id"]]
-
-    return t.embeddings.groupBy("label").applyInPandas(group, "label int, vec_id long")
+@query("R9_time_suppression", R9_SQL)
+def time_suppression(t: Tables) -> DataFrame:
+    """A candidate goes when one of its video with a higher rank that stays is less than a day away."""
+    kept = greedy.suppress(lists(t)[0].drop("rank"), ["qid", "video_id"], "score", "row_id", F.array("us"), greedy.closer(86_400e6))
+    return kept.join(lists(t)[0].select("qid", "row_id", "rank"), ["qid", "row_id"]).select("qid", "row_id", "rank")
 
 
 RERANK = "x AS (SELECT qid, row_id, rank, (row_id * 37 % 101) / 100.0 AS ext FROM l1), sc AS (SELECT qid, row_id, ext, row_number() OVER (PARTITION BY qid ORDER BY ext DESC, rank) AS o FROM x WHERE rank % 3 = 1), sl AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS o FROM x WHERE rank % 3 = 1)"

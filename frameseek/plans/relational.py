@@ -19,34 +19,6 @@ def discovery(t: Tables) -> DataFrame:
 shared("S3_critical_missing", "SELECT d.doc_id, l.quality IS NULL AS no_label, d.lang IS NULL AS no_lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR d.lang IS NULL", "documents labels")
 
 
-def _places(rows: DataFrame, key: str) -> DataFrame:
-    """``n``, a row's place in its video by key, and ``at``, its place among all, from 1.
-
-    Rows are ranked within cells of 65,536 keys, so no video is ranked in one task; only the cells' counts, a row
-    for each cell and video, are summed in order.
-    """
-    rows = rows.withColumn("cell", F.floor(F.col(key) / 65536))
-    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    video, cell = F.asc_nulls_last("video_id"), F.asc_nulls_last("cell")
-    starts = rows.groupBy("video_id", "cell").agg(F.count(F.lit(1)).alias("c"))
-    starts = starts.select("video_id", "cell", before(Window.partitionBy("video_id").orderBy(cell)).alias("own"), before(Window.partitionBy(F.lit(1)).orderBy(video, cell)).alias("every"))
-    k = F.row_number().over(Window.partitionBy("video_id", "cell").orderBy(key))
-    r, s = rows.withColumn("k", k).alias("r"), starts.alias("s")
-    j = r.join(s, F.col("r.video_id").eqNullSafe(F.col("s.video_id")) & F.col("r.cell").eqNullSafe(F.col("s.cell")))
-    return j.select("r.video_id", f"r.{key}", (F.col("own") + F.col("k")).alias("n"), (F.col("every") + F.col("k")).alias("at"))
-
-
-@query("S4_master_build", "WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), b AS (SELECT page_id, 'src' || CAST(page_id % 20 AS STRING) AS source, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS n FROM pages) SELECT row_number() OVER (ORDER BY a.source, a.doc_id) - 1 AS row_id, a.source AS video_id, a.doc_id, b.page_id FROM a LEFT JOIN b ON a.source = b.source AND a.n = b.n")
-def master_build(t: Tables) -> DataFrame:
-    """Documents and pages of a source zipped by position; row ids run over sources and documents in order."""
-    a = _places(t.documents.select(F.col("source").alias("video_id"), "doc_id"), "doc_id")
-    b = _places(t.pages.select(F.concat(F.lit("src"), F.col("page_id") % 20).alias("video_id"), "page_id"), "page_id")
-    return a.join(b.drop("at"), ["video_id", "n"], "left").select((F.col("at") - 1).alias("row_id"), "video_id", "doc_id", "page_id")
-
-
-shared("S5_quality_codes", "SELECT code, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'no_label' WHEN d.n_chars < 200 THEN 'short' WHEN d.n_chars > 20000 THEN 'long' ELSE 'ok' END AS code FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY code", "documents labels")
-
-
 @query("S7_nested_to_long", "SELECT conv_id, turn, i AS pos, words[i] AS word FROM (SELECT conv_id, turn, string_split(text, ' ') AS words, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM conversations) WHERE len(list_filter(words[1:i], lambda w: length(w) > 12)) = 0")
 def nested(t: Tables) -> DataFrame:
     """Parallel arrays to rows, stopping at the first entry past the limit."""
@@ -71,11 +43,6 @@ def compaction(t: Tables) -> DataFrame:
 shared("S16_J5_resume", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE d.doc_id = l.doc_id)", "documents labels")
 
 
-@query("S17_path_patching", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'new' END, d.source) AS path FROM documents d LEFT JOIN labels l USING (doc_id)")
-def patching(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("quality") == 1, "new"), "source").alias("path"))
-
-
 # A patched copy: one customer in a hundred changed, a few rows lost; the priority is a column that may differ.
 shared("S18_integrity_diff", "WITH a AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN -1 ELSE o_custkey END AS o_custkey, 'patched' AS o_orderpriority FROM orders WHERE o_orderkey % 1000 <> 7) SELECT (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after, (SELECT count(*) FROM (SELECT o_orderkey FROM a EXCEPT ALL SELECT o_orderkey FROM b) x) AS keys_lost, (SELECT count(*) FROM (SELECT o_orderkey, o_custkey FROM a EXCEPT ALL SELECT o_orderkey, o_custkey FROM b) x) AS differ_before, (SELECT count(*) FROM (SELECT o_orderkey, o_custkey FROM b EXCEPT ALL SELECT o_orderkey, o_custkey FROM a) x) AS differ_after", "orders")
 
@@ -171,16 +138,6 @@ def reverse_lookup(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("event_id")).alias("events"))
 
 
-shared("J15_hierarchy_closure", "WITH RECURSIVE up AS (SELECT s_suppkey AS leaf, s_suppkey AS node FROM supplier UNION ALL SELECT leaf, CAST(floor(node / 2) AS BIGINT) FROM up WHERE node > 1) SELECT leaf, count(*) AS depth FROM up GROUP BY leaf", "supplier")
-
-
-@query("J18_alternatives_product", "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b")
-def alternatives(t: Tables) -> DataFrame:
-    """Product of a bounded list of readings with itself: exploded arrays, no cross join."""
-    names = t.region.agg(F.array_sort(F.collect_set("r_name")).alias("n"))
-    return names.select(F.explode("n").alias("a"), "n").select("a", F.explode("n").alias("b"))
-
-
 # --- Aggregates ---------------------------------------------------------------------
 
 shared("A7_label_count", "SELECT u.user_id, count(CASE WHEN e.event_type = 'click' THEN 1 END) AS clicks FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN events e ON e.user_id = u.user_id GROUP BY u.user_id", "events")

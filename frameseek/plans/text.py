@@ -106,28 +106,6 @@ def turn_segments(t: Tables) -> DataFrame:
     return s.select("conv_id", "turn", F.sum("fresh").over(w).alias("seg"))
 
 
-@query("T22_A27_token_chunks")
-def token_chunks(t: Tables) -> DataFrame:
-    """Sentences packed in order up to a word budget, one call a document."""
-    pack = F.udf(lambda sizes: sq.pack_tokens(sizes or [], 64), "array<int>")
-    s = t.documents.select("doc_id", F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda x: F.size(F.split(F.trim(x), r"\s+"))).alias("sizes"))
-    return s.select("doc_id", F.explode(F.arrays_zip(pack("sizes").alias("chunk"), F.col("sizes").alias("size"))).alias("x")).groupBy("doc_id", F.col("x.chunk").alias("chunk")).agg(F.sum("x.size").alias("words"))
-
-
-@query("T23_T24_answer_mining")
-def answer_mining(t: Tables) -> DataFrame:
-    mine = F.udf(lambda text: sq.mine_answers(text or "", "", "", True, 3), "array<string>")
-    return t.documents.select("doc_id", F.posexplode(mine("text")).alias("pos", "answer"))
-
-
-@query("T25_accent_dictionary", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents), m AS (SELECT strip_accents(word) AS folded, word, min(doc_id) AS first FROM w WHERE strip_accents(word) <> word GROUP BY ALL) SELECT folded, arg_min(word, (first, word)) AS accented FROM m GROUP BY folded")
-def accent_dictionary(t: Tables) -> DataFrame:
-    """Folded form to the accented word that the corpus shows first."""
-    w = t.documents.select("doc_id", F.explode(tx.unigrams(F.col("text"))).alias("word"))
-    m = w.groupBy("word").agg(F.min("doc_id").alias("first")).withColumn("folded", tx.fold_marks(F.col("word"))).where("folded <> word")
-    return m.groupBy("folded").agg(F.min_by("word", F.struct("first", "word")).alias("accented"))
-
-
 @query("T26_phrase_idf", f"WITH {TOK}, p AS (SELECT qid, token, ln((SELECT count(*) FROM documents) / df) AS idf FROM q JOIN df USING (token)), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(idf, 6) DESC, token) AS n FROM p) SELECT qid, token, round(idf, 6) AS idf FROM r WHERE n <= 3")
 def phrase_idf(t: Tables) -> DataFrame:
     n = t.documents.agg(F.count(F.lit(1)).alias("n"))
@@ -176,12 +154,6 @@ def last_number(t: Tables) -> DataFrame:
     return t.documents.where(F.col("text").rlike("[0-9]")).select("doc_id", F.element_at(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), -1).alias("number"))
 
 
-@query("T33_number_readings")
-def number_readings(t: Tables) -> DataFrame:
-    read = F.udf(sq.number_reading, "string")
-    return t.part.select(F.col("p_partkey").alias("n")).where("n < 10000").select("n", read("n").alias("reading"))
-
-
 @query("T34_answer_parts", "SELECT c.conv_id, c.turn, len(list_filter(list_transform(string_split(c.text, ','), lambda p: trim(p)), lambda p: NOT contains(c.text, p))) = 0 AS ok FROM conversations c")
 def answer_parts(t: Tables) -> DataFrame:
     parts = F.transform(F.split("text", ","), lambda p: F.trim(p))
@@ -193,12 +165,12 @@ RANGE = "[0-9]{1,4}(?:-[0-9]{1,4})?"
 
 @query("T35_range_parsing", f"WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{RANGE}')) AS part FROM documents), r AS (SELECT doc_id, CAST(split_part(part, '-', 1) AS BIGINT) AS a, CAST(CASE WHEN contains(part, '-') THEN split_part(part, '-', 2) ELSE part END AS BIGINT) AS z FROM p) SELECT doc_id, count(*) FILTER (WHERE z < a) AS backward, CAST(sum(greatest(z - a + 1, 0)) AS BIGINT) AS n, CAST(sum(greatest(z - a + 1, 0) * (a + z) // 2) AS BIGINT) AS total FROM r GROUP BY doc_id")
 def ranges(t: Tables) -> DataFrame:
-    """Numbers and ranges that a text writes, such as 108-120 and 123, spread to all their frames; backward ranges are counted."""
+    """Numbers and ranges that a text writes, such as 108-120 and 123, as the number and sum of all their frames; backward ranges are counted."""
     ends = F.transform(F.regexp_extract_all("text", F.lit(RANGE), F.lit(0)), lambda p: F.transform(F.split(p, "-"), lambda x: x.cast("long")))
     d = t.documents.where(F.col("text").rlike("[0-9]")).select("doc_id", F.transform(ends, lambda e: F.struct(e[0].alias("a"), F.element_at(e, -1).alias("z"))).alias("r"))
-    frames = F.flatten(F.transform(F.filter("r", lambda x: x["z"] >= x["a"]), lambda x: F.sequence(x["a"], x["z"])))
-    d = d.select("doc_id", F.size(F.filter("r", lambda x: x["z"] < x["a"])).cast("long").alias("backward"), frames.alias("f"))
-    return d.select("doc_id", "backward", F.size("f").cast("long").alias("n"), F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    d = d.select("doc_id", F.size(F.filter("r", lambda x: x["z"] < x["a"])).cast("long").alias("backward"), F.filter("r", lambda x: x["z"] >= x["a"]).alias("f"))
+    sums = lambda of: F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + of(x["a"], x["z"]))
+    return d.select("doc_id", "backward", sums(lambda a, z: z - a + 1).alias("n"), sums(lambda a, z: ((z - a + 1) * (a + z) / 2).cast("long")).alias("total"))
 
 
 @query("T36_time_format", "SELECT event_id, printf('%02d:%02d:%02d', event_id // 3600, event_id % 3600 // 60, event_id % 60) AS hms FROM events")
@@ -208,15 +180,3 @@ def hms(t: Tables) -> DataFrame:
 
 
 shared("T37_like_search", "SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%benchmark%' OR lower(text) LIKE '%the and%'", "documents")
-
-
-@query("T13_label_phrases", r"WITH q AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark), g AS (SELECT qid, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM q, (SELECT unnest([1, 2]) AS n)), p AS (SELECT qid, i AS a, i + n - 1 AS z, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM g), d AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS phrase FROM q UNION SELECT DISTINCT w[1] FROM q), h AS (SELECT p.* FROM p JOIN d USING (phrase)) SELECT DISTINCT qid, phrase FROM h WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.qid = h.qid AND x.a <= h.a AND x.z >= h.z AND (x.a < h.a OR x.z > h.z))")
-def label_phrases(t: Tables) -> DataFrame:
-    """Dictionary phrases of a query; one strictly inside a longer one goes, partial overlaps stay."""
-    q = t.benchmark.select(F.col("item_id").alias("qid"), tx.unigrams(F.col("text")).alias("w"))
-    gram = lambda n: q.where(F.size("w") >= n).select("qid", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("a"), "w").select("qid", "a", (F.col("a") + n - 1).alias("z"), F.array_join(F.slice("w", F.col("a"), F.lit(n)), " ").alias("phrase"))
-    d = q.select(F.array_join(F.slice("w", 1, 2), " ").alias("phrase")).union(q.select(F.element_at("w", 1))).distinct()
-    h = gram(1).union(gram(2)).join(d, "phrase")
-    x, y = h.alias("x"), h.alias("y")
-    inside = (F.col("x.qid") == F.col("y.qid")) & (F.col("y.a") <= F.col("x.a")) & (F.col("y.z") >= F.col("x.z")) & ((F.col("y.a") < F.col("x.a")) | (F.col("y.z") > F.col("x.z")))
-    return x.join(y, inside, "left_anti").select("qid", "phrase").distinct()

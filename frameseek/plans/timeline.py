@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameseek.operators import sequences
+from frameseek.operators import alignment, sequences
 from frameseek.plans.registry import FRAMES, Tables, query
 
 def line():
@@ -77,15 +77,6 @@ def label_runs(t: Tables) -> DataFrame:
     return ordered(t).withColumn("grp", grp).groupBy("video_id", "label", "grp").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("length")).where("length >= 2").drop("grp")
 
 
-@query("W14_best_window", f"WITH {FRAMES}, w AS (SELECT video_id, row_id, us, count(*) OVER x AS n, avg(CASE WHEN score BETWEEN 10 AND 80 THEN 1.0 ELSE 0.0 END) OVER x AS share FROM e WINDOW x AS (PARTITION BY video_id ORDER BY us // 1000000 RANGE BETWEEN CURRENT ROW AND 604800 FOLLOWING)), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(n * share, 6) DESC, us, row_id) AS k FROM w) SELECT video_id, row_id, n, round(share, 6) AS share FROM r WHERE k = 1")
-def best_window(t: Tables) -> DataFrame:
-    f = t.frames.withColumn("s", F.floor(F.col("us") / 1_000_000))
-    x = Window.partitionBy("video_id").orderBy("s").rangeBetween(0, 604800)
-    w = f.select("video_id", "row_id", "us", F.count(F.lit(1)).over(x).alias("n"), F.avg(F.when(F.col("score").between(10, 80), 1.0).otherwise(0.0)).over(x).alias("share"))
-    k = Window.partitionBy("video_id").orderBy(F.desc(F.round(F.col("n") * F.col("share"), 6)), "us", "row_id")
-    return w.withColumn("k", F.row_number().over(k)).where("k = 1").select("video_id", "row_id", "n", F.round("share", 6).alias("share"))
-
-
 @query("W15_rank_margin", f"WITH {FRAMES} SELECT row_id, rank() OVER w AS rank, round(score - lead(score) OVER w, 6) AS margin FROM e WINDOW w AS (PARTITION BY video_id ORDER BY score DESC, row_id)")
 def rank_margin(t: Tables) -> DataFrame:
     w = Window.partitionBy("video_id").orderBy(F.desc("score"), "row_id")
@@ -208,10 +199,23 @@ def align_restart(t: Tables) -> DataFrame:
     return pools(t).select("video_id", run("c").alias("chain"))
 
 
-@query("K7_align_drop")
-def align_drop(t: Tables) -> DataFrame:
-    run = F.udf(lambda c: [int(i) for i in sequences.align_drop(_levels(c), 5 * 3600, 56 * 3600, 5.0)], "array<long>")
-    return pools(t).select("video_id", run("c").alias("chain"))
+HOUR = 3600.0
+NEXT = """n{0} AS (SELECT video_id, anchor, limit_t, row_id, t, ord, d, path FROM (SELECT s.video_id, s.anchor, s.limit_t, p.row_id, p.t, p.ord, s.d + p.score - 0.5 * CASE WHEN p.t - s.t < 5.0 THEN (5.0 - (p.t - s.t)) / 5.0 WHEN p.t - s.t > 56.0 THEN ((p.t - s.t) - 56.0) / 56.0 ELSE 0.0 END AS d,
+  list_concat(s.path, list_concat(list_transform(range({0} - len(s.path)), lambda x: NULL::BIGINT), [p.row_id])) AS path, s.ord AS prev FROM {1} s JOIN p ON p.video_id = s.video_id AND p.i = {0} AND s.first < {0} AND p.t > s.t AND p.t <= s.limit_t QUALIFY row_number() OVER (PARTITION BY s.video_id, s.anchor, p.ord ORDER BY s.d + p.score - 0.5 * CASE WHEN p.t - s.t < 5.0 THEN (5.0 - (p.t - s.t)) / 5.0 WHEN p.t - s.t > 56.0 THEN ((p.t - s.t) - 56.0) / 56.0 ELSE 0.0 END DESC, s.ord) = 1)),
+s{0} AS (SELECT video_id, anchor, limit_t, row_id, t, ord, d, path, (SELECT min(i) FROM p WHERE p.video_id = n{0}.video_id) AS first FROM n{0} UNION ALL SELECT video_id, anchor, limit_t, row_id, t, ord, d, path, first FROM {1} WHERE NOT EXISTS (SELECT 1 FROM n{0} WHERE n{0}.video_id = {1}.video_id AND n{0}.anchor = {1}.anchor))""".format
+K7_SQL = f"""WITH {FRAMES}, p AS (SELECT video_id, i, row_id, us / 1e6 / 3600.0 AS t, score, row_number() OVER (PARTITION BY video_id, i ORDER BY score DESC, row_id) AS ord FROM (SELECT *, CASE label WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS i FROM e WHERE label IN ('view', 'click', 'purchase')) QUALIFY ord <= 20),
+s0 AS (SELECT p.video_id, ord AS anchor, t + 180.0 AS limit_t, row_id, t, ord, score AS d, list_concat(list_transform(range(i), lambda x: NULL::BIGINT), [row_id]) AS path, i AS first FROM p WHERE i = (SELECT min(i) FROM p x WHERE x.video_id = p.video_id)),
+{NEXT(1, 's0')}, {NEXT(2, 's1')},
+b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY d DESC, anchor, ord) AS k FROM (SELECT *, row_number() OVER (PARTITION BY video_id, anchor ORDER BY d DESC, ord) AS r FROM s2) WHERE r = 1)
+SELECT video_id, list_concat(path, list_transform(range(3 - len(path)), lambda x: NULL::BIGINT)) AS chain, round(d, 6) AS score FROM b WHERE k = 1"""
+
+
+@query("K7_align_drop", K7_SQL)
+def align_time(t: Tables) -> DataFrame:
+    """One chain a video through view, click and purchase, hours as the unit of time; each candidate of the first event is tried as the start."""
+    hours = F.transform("c", lambda x: F.struct(x["i"].alias("i"), x["row_id"].alias("row_id"), (x["pts"] / HOUR).alias("pts"), x["score"].alias("score")))
+    chains = alignment.align_time(pools(t).select("video_id", hours.alias("c")), "video_id", 3, cost=0.5, span=180.0)
+    return chains.select("video_id", "chain", F.round("score", 6).alias("score"))
 
 
 @query("K5_strictly_rising", "WITH l AS (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, floor(l_quantity)) AS pos FROM lineitem) SELECT l_orderkey, pos, pos + max(f - pos) OVER (PARTITION BY l_orderkey ORDER BY pos) AS frame FROM l")

@@ -1,12 +1,7 @@
-"""File sources: query folders, discovery listings, numpy matrices, append logs."""
+"""File sources: query folders, discovery listings, append logs."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,30 +25,30 @@ def query_folder(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("name", kind.alias("kind"), F.col("value").alias("text")).where("kind <> ''")
 
 
+def located(lines: DataFrame) -> DataFrame:
+    """A text scan, batch or stream, with where each line comes from: ``value`` and ``m``."""
+    return lines.select("value", F.struct(*[F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")]).alias("m"))
+
+
+def log_lines(lines: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, at) of the lines of JSON logs that are whole; ``at`` orders them: file by change and name, block, line.
+
+    ``lines`` is what ``located`` gives. Within a file lines are ordered by the start of their block, and
+    within a block by the reader's count, however Spark packs blocks into tasks. A line without the value has ''.
+    """
+    at = F.struct("m.*", F.monotonically_increasing_id().alias("line"))
+    rows = lines.select("value", at.alias("at")).select(F.from_json("value", f"{key} long, {value} string", {"mode": "PERMISSIVE"}).alias("r"), "at")
+    return rows.where(F.col(f"r.{key}").isNotNull()).select(F.col(f"r.{key}").alias(key), F.coalesce(f"r.{value}", F.lit("")).alias(value), "at")
+
+
+def last_wins(rows: DataFrame, key: str, value: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(value, "at").alias(value), F.max("at").alias("at"))
+
+
 def compact_log(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """Last valid line of each key in append-only JSON logs; cut lines and blanks go.
+    """Last whole line of each key in append-only JSON logs; cut lines go, and keys whose last value is blank.
 
-    Of several files the one changed last wins, ties by name. Within a file lines are ordered by the start of
-    their block, and within a block by the reader's count, however Spark packs blocks into tasks.
+    Of several files the one changed last wins, ties by name.
     """
-    at = F.struct(*[F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")], F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select("value", at.alias("at"))
-    rows = lines.select(F.from_json("value", f"{key} long, {value} string", {"mode": "PERMISSIVE"}).alias("r"), "at").select("r.*", "at")
-    return rows.where(F.col(key).isNotNull() & (F.trim(F.coalesce(value, F.lit(""))) != "")).groupBy(key).agg(F.max_by(value, "at").alias(value))
-
-
-def npy_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, v) of the rows of .npy matrices, one file a task; half precision becomes float."""
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                m = np.load(io.BytesIO(content)).astype(np.float32)
-                for i in range(0, len(m), 4096):
-                    some = m[i : i + 4096]
-                    flat = pa.array(some.ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * m.shape[1]), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(np.arange(i, i + len(some))), lists], names=["file", "pos", "v"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    return files.mapInArrow(load, "file string, pos long, v array<float>")
+    rows = last_wins(log_lines(located(spark.read.text(path)), key, value), key, value)
+    return rows.where(F.trim(value) != "").select(key, value)

