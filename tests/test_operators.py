@@ -122,8 +122,6 @@ def test_text_splitters_and_numbers():
 
 
 def test_file_sources(spark, tmp_path):
-    import numpy as np
-
     from frameseek.sources import files
 
     (tmp_path / "L01_V001.mp4").write_bytes(b"x")
@@ -137,8 +135,6 @@ def test_file_sources(spark, tmp_path):
     assert [tuple(r) for r in files.query_folder(spark, f"file://{tmp_path}/q").collect()] == [("query-p1-1-kis.txt", "kis", "a\nb")]
     (tmp_path / "log").write_text('{"row_id": 1, "caption": "old"}\n{"row_id": 1, "caption": "new"}\n{"row_id": 2, "ca\n')
     assert [tuple(r) for r in files.compact_log(spark, f"file://{tmp_path}/log", "row_id", "caption").collect()] == [(1, "new")]
-    np.save(tmp_path / "m.npy", np.eye(2, dtype=np.float16))
-    assert [r.v for r in files.npy_matrix(spark, f"file://{tmp_path}").orderBy("pos").collect()] == [[1.0, 0.0], [0.0, 1.0]]
 
 
 def test_sessions_on_a_stream(spark, tmp_path):
