@@ -26,6 +26,11 @@ def _accent_table() -> tuple[str, str]:
 _MARKED, _BARE = _accent_table()
 
 
+def bare(s: str) -> str:
+    """``fold_marks`` of a text in hand."""
+    return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+
+
 def fold_marks(c: Column) -> Column:
     """Lower case without diacritics; the stroked d stays."""
     return F.regexp_replace(F.translate(F.lower(c), _MARKED, _BARE), r"\p{Mn}", "")

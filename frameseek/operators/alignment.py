@@ -11,7 +11,7 @@ of videos is aligned by one pass of numpy over events, all anchors side by side.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,47 @@ def align(ids: np.ndarray, times: np.ndarray, scores: np.ndarray, cost: float, n
     return out, np.where(np.isfinite(score), score, np.nan)
 
 
+def restart(ids: np.ndarray, times: np.ndarray, scores: np.ndarray, *_) -> tuple[np.ndarray, np.ndarray]:
+    """As ``align`` without anchors, costs or a span: a candidate that no open chain reaches starts its chain anew.
+
+    Of equal chains that one goes on which ended first, then the first candidate; likewise at the end.
+    """
+    v, n, k = scores.shape
+    rows = np.arange(v)
+    real = ~np.isnan(scores)
+    total, at = np.full((v, k), -np.inf), np.zeros((v, k))
+    layer = np.full(v, -1)
+    back = np.full((n, v, k), -1, dtype=np.int16)
+    came = np.full((n, v, k), -1, dtype=np.int16)
+
+    def first_best(value: np.ndarray, when: np.ndarray) -> np.ndarray:
+        best = value.max(axis=-1, keepdims=True)
+        return np.where(value == best, when, np.inf).argmin(axis=-1)
+
+    for e in range(n):
+        open_ = np.isfinite(total)[:, None, :] & (at[:, None, :] < times[:, e][:, :, None])
+        value = np.where(open_, total[:, None, :], -np.inf)
+        best = first_best(value, np.broadcast_to(at[:, None, :], value.shape))
+        before = np.take_along_axis(value, best[..., None], axis=2)[..., 0]
+        follows = np.isfinite(before)
+        new = np.where(real[:, e], np.where(follows, before, 0.0) + np.nan_to_num(scores[:, e]), -np.inf)
+        some = real[:, e].any(axis=1)
+        back[e], came[e] = np.where(follows, best, -1), np.where(follows, layer[:, None], -1)
+        total, at = np.where(some[:, None], new, total), np.where(some[:, None], times[:, e], at)
+        layer = np.where(some, e, layer)
+    end = first_best(total, at)
+    score = total[rows, end]
+    out = np.full((v, n), -1, dtype=np.int64)
+    e, c = layer.copy(), end.copy()
+    live = np.isfinite(score)
+    while live.any():
+        r = rows[live]
+        out[r, e[live]] = c[live]
+        e[live], c[live] = came[e[live], r, c[live]], back[e[live], r, c[live]]
+        live = live & (e >= 0)
+    return out, np.where(np.isfinite(score), score, np.nan)
+
+
 def align_time(pools: DataFrame, key: str, events: int, cost: float = 0.0, near: float = NEAR, far: float = FAR, span: float = math.inf, candidates: int = 20) -> DataFrame:
     """``key``, chain (a row id or null for each event), score of each row of ``pools``: key, c array<struct<i,row_id,pts,score>>.
 
@@ -87,6 +128,15 @@ def align_time(pools: DataFrame, key: str, events: int, cost: float = 0.0, near:
     smaller id. Candidates with a null, or with an event outside 0..``events``-1, take no part; a row without any has
     no chain and a null score.
     """
+    return _aligned(pools, key, events, candidates, lambda *cube: align(*cube, cost, near, far, span))
+
+
+def align_restart(pools: DataFrame, key: str, events: int, candidates: int = 20) -> DataFrame:
+    """``align_time``'s columns for the best chain in rising time, which a candidate without a predecessor starts anew."""
+    return _aligned(pools, key, events, candidates, restart)
+
+
+def _aligned(pools: DataFrame, key: str, events: int, candidates: int, rule: Callable) -> DataFrame:
     kind = dict(pools.dtypes)[key]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +153,7 @@ def align_time(pools: DataFrame, key: str, events: int, cost: float = 0.0, near:
                     for e, chosen in enumerate(layers):
                         for j, (i, (t, s)) in enumerate(chosen.items()):
                             ids[v, e, j], times[v, e, j], scores[v, e, j] = i, t, s
-                place, score = align(ids, times, scores, cost, near, far, span)
+                place, score = rule(ids, times, scores)
                 picked = np.take_along_axis(ids, np.maximum(place, 0)[..., None], axis=2)[..., 0]
                 chains = [[int(i) if p >= 0 else None for i, p in zip(a, b)] if (b >= 0).any() else [] for a, b in zip(picked, place)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chains, pa.list_(pa.int64())), pa.array(score, from_pandas=True)], names=[key, "chain", "score"])

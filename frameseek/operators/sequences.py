@@ -41,53 +41,6 @@ def beam(events: Sequence[Sequence[tuple[int, float, float]]], width: int = 64,
     return [([c[0] for c in path], s) for path, s in out]
 
 
-def align_restart(events: Sequence[Sequence[tuple[int, float, float]]]) -> list[int | None]:
-    """Monotone alignment: an id or None for each event; a candidate without an earlier predecessor starts its chain anew.
-
-    Events without candidates are passed over and keep their place.
-    """
-    best: list[tuple[float, float, list[int | None]]] = []
-    for level, options in enumerate(events):
-        layer = []
-        for i, t, s in options:
-            before = [b for b in best if b[1] < t]
-            score, _, path = max(before, key=lambda b: (b[0], -b[1]), default=(0.0, t, []))
-            layer.append((score + s, t, [*path, *[None] * (level - len(path)), i]))
-        best = layer or best
-    chain = max(best, key=lambda b: (b[0], -b[1]), default=(0.0, 0.0, []))[2]
-    return [*chain, *[None] * (len(events) - len(chain))]
-
-
-def strictly_rising(frames: Sequence[int]) -> list[int]:
-    out: list[int] = []
-    for f in frames:
-        out.append(max(f, out[-1] + 1) if out else f)
-    return out
-
-
-def fill_missing(times: Sequence[float | None], lo: float, hi: float) -> list[float]:
-    """Linear between known events, towards the video's bounds at the ends."""
-    n, known = len(times), [i for i, t in enumerate(times) if t is not None]
-    out = []
-    for i, t in enumerate(times):
-        if t is not None:
-            out.append(float(t))
-            continue
-        a = max((k for k in known if k < i), default=None)
-        b = min((k for k in known if k > i), default=None)
-        ta, ia = (times[a], a) if a is not None else (lo, -1)
-        tb, ib = (times[b], b) if b is not None else (hi, n)
-        out.append(ta + (tb - ta) * (i - ia) / (ib - ia))
-    return out
-
-
-def spread_if_collapsed(times: Sequence[float], total: float, lo: float, hi: float) -> list[float]:
-    """Evenly over [lo, hi] when the chain spans less than ``total``."""
-    if len(times) > 1 and times[-1] - times[0] < total:
-        return [lo + (hi - lo) * (i + 1) / (len(times) + 1) for i in range(len(times))]
-    return list(times)
-
-
 def split_clauses(text: str, most: int = 40) -> list[str]:
     """Whole if short; else sentences packed greedily up to ``most`` words, longer ones cut hard."""
     if len(text.split()) <= most:
@@ -102,16 +55,6 @@ def split_clauses(text: str, most: int = 40) -> list[str]:
     return [" ".join(w) for w in out]
 
 
-def bin_packing(sizes: Sequence[tuple[str, int]], bins: int) -> dict[str, int]:
-    """Longest first into the least filled bin."""
-    load, out = [0] * bins, {}
-    for key, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        at = min(range(bins), key=lambda b: (load[b], b))
-        load[at] += size
-        out[key] = at
-    return out
-
-
 _EVENT = re.compile(r"^\s*(?:E\s*\d+|(?:event|scene|step)\s*\d+)\s*[:.)-]?\s*", re.I)
 
 
@@ -129,22 +72,6 @@ def split_events(text: str) -> list[str]:
     return [text.strip()]
 
 
-def spread_chain(frames: Sequence[int], step: int, shells: int, most: int) -> list[list[int]]:
-    """Chains around one chain: offset vectors by greatest size, strictly rising ones only."""
-    from itertools import product
-
-    out = []
-    for r in range(shells + 1):
-        for offset in product(range(-r, r + 1), repeat=len(frames)):
-            if max(map(abs, offset), default=0) == r:
-                chain = [f + o * step for f, o in zip(frames, offset)]
-                if all(a < b for a, b in zip(chain, chain[1:])) and min(chain, default=0) >= 0:
-                    out.append(chain)
-                    if len(out) == most:
-                        return out
-    return out
-
-
 def quota_union(lists: Sequence[Sequence[int]], quotas: Sequence[int], total: int) -> list[int]:
     """Each channel's quota of unseen ids in turn, then the rest of the channels to fill up."""
     out: list[int] = []

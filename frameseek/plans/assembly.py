@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameseek.operators import detections, greedy, sequences
+from frameseek.operators import alignment, chains, detections, greedy, numbering
+from frameseek.operators.staging import staged
 from frameseek.plans.fusion import LISTS, RRF, fused
 from frameseek.plans.registry import FRAMES, Tables, query
-from frameseek.plans.timeline import pools
+from frameseek.plans.timeline import ENDS, PLACES, pools, restart_sql
 
 
 @query("W1_KIS_answers", f"WITH {LISTS}, {RRF} SELECT qid, video_id, row_id AS frame_idx, rank FROM fused WHERE rank <= 100")
@@ -24,13 +25,39 @@ def answer_variants(t: Tables) -> DataFrame:
     return v.withColumn("pos", pos).where("pos <= 100").select("qid", "row_id", F.concat(F.lit("a"), "k").alias("answer"), "pos")
 
 
-@query("K13_chain_assembly")
+MOST_CHAINS = 140
+K13_SQL = f"""WITH {FRAMES}, {restart_sql('score >= 90')}, {ENDS}, {PLACES},
+b AS (SELECT video_id, sum(s) AS s FROM (SELECT video_id, i, max(score) AS s FROM p GROUP BY video_id, i) GROUP BY video_id),
+d AS (SELECT u.video_id, list(total ORDER BY i) AS frames, row_number() OVER (ORDER BY round(any_value(b.s), 4) DESC, u.video_id) AS pos FROM up u JOIN b USING (video_id) GROUP BY u.video_id QUALIFY pos <= {MOST_CHAINS}),
+l AS (SELECT ends.*, row_number() OVER (ORDER BY video_id) - 1 AS n FROM ends WHERE video_id NOT IN (SELECT video_id FROM d)),
+m AS (SELECT {MOST_CHAINS} - (SELECT count(*) FROM d) AS want, (SELECT count(*) FROM l) AS have),
+a AS (SELECT video_id, i, lo + round_even((hi - lo) / 4 * (i + 1), 0) AS x, row_number() OVER (PARTITION BY i ORDER BY n) AS k FROM l, m, (SELECT unnest([0, 1, 2]) AS i) WHERE n % greatest(1, have // greatest(want, 1)) = 0),
+r AS (SELECT video_id, k, i, CAST(i + max(x - i) OVER (PARTITION BY video_id ORDER BY i) AS BIGINT) AS x FROM a, m WHERE k <= want)
+SELECT pos, video_id, frames[1] AS first, frames[2] AS second, frames[3] AS third FROM d
+UNION ALL SELECT (SELECT count(*) FROM d) + k, video_id, max(x) FILTER (WHERE i = 0), max(x) FILTER (WHERE i = 1), max(x) FILTER (WHERE i = 2) FROM r GROUP BY video_id, k"""
+
+
+@query("K13_chain_assembly", K13_SQL)
 def chain_assembly(t: Tables) -> DataFrame:
-    """One strictly rising chain a video by restart alignment, videos by their summed best scores."""
-    run = F.udf(lambda c: sequences.strictly_rising([int(x) for x in sequences.align_restart([[(r["row_id"], r["pts"], r["score"]) for r in c if r["i"] == i] for i in range(3)]) if x is not None]), "array<long>")
-    best = F.aggregate("c", F.lit(0.0), lambda s, x: s + x["score"])
-    top = pools(t, 5).withColumn("s", F.round(best, 4)).orderBy(F.desc("s"), "video_id").limit(100)
-    return top.select("video_id", run("c").alias("frames"), F.col("s").alias("score"))
+    """Answers of one chain a video: the videos with candidates by the sum of their best scores, their chains aligned,
+    filled, spread where they are a heap and made to rise; then evenly picked other videos with frames all over them."""
+    f = t.frames
+    ends = f.where("video_id is not null").groupBy("video_id").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
+    pool = pools(t, 20, 90.0).where("video_id is not null")
+    best = lambda i: F.coalesce(F.array_max(F.transform(F.filter("c", lambda x: x["i"] == i), lambda x: x["score"])), F.lit(0.0))
+    ranked = pool.select("video_id", F.round(best(0) + best(1) + best(2), 4).alias("s"))
+    found = alignment.align_restart(pool, "video_id", 3).join(ranked, "video_id").join(ends, "video_id")
+    found = found.select("video_id", "s", chains.finished(F.col("chain"), F.col("lo"), F.col("hi")).alias("frames")).where("frames is not null")
+    top = staged(found.orderBy(F.desc("s"), "video_id").limit(MOST_CHAINS))
+    one = Window.partitionBy(F.lit(1))  # at most MOST_CHAINS rows
+    top = top.select(F.row_number().over(one.orderBy(F.desc("s"), "video_id")).cast("long").alias("pos"), "video_id", "frames")
+    want = MOST_CHAINS - top.count()
+    left = staged(numbering.numbered(ends.join(top, "video_id", "left_anti"), [F.asc("video_id")], "n"))
+    step = max(1, left.count() // max(want, 1))
+    pad = left.where(F.col("n") % step == 0).orderBy("n").limit(max(want, 0))
+    wide = F.transform(chains.rising(chains.spread_wide(F.lit(3), F.col("lo"), F.col("hi"))), lambda x: x.cast("long"))
+    pad = pad.select((F.row_number().over(one.orderBy("n")) + (MOST_CHAINS - want)).cast("long").alias("pos"), "video_id", wide.alias("frames"))
+    return top.union(pad).select("pos", "video_id", *[F.col("frames")[i].alias(n) for i, n in enumerate(("first", "second", "third"))])
 
 
 # Boxes of an order's lines, on a grid of five by six units: corner by discount and tax, side by quantity; a larger price is surer.

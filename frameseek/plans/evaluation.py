@@ -148,12 +148,21 @@ def containment(t: Tables) -> DataFrame:
     return a.join(hit, "no", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if("raw").alias("raw"), F.count("raw").alias("folded"))
 
 
-@query("E20_answer_match", "SELECT turn, count(*) AS n, count(*) FILTER (WHERE NOT contains(text, 'ß') AND lower(trim(text)) = lower(trim(upper(text)))) AS exact, count(*) FILTER (WHERE strip_accents(lower(replace(text, 'ß', 'ss'))) = strip_accents(lower(upper(replace(text, 'ß', 'ss'))))) AS folded, count(*) FILTER (WHERE contains(text, left(text, 5))) AS inside FROM conversations GROUP BY turn")
+E20_SQL = r"""WITH a AS (SELECT turn, array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')[1:2], ' ') AS g, array_to_string(list_filter(string_split_regex(coalesce(lead(text) OVER w, ''), '\s+'), lambda w: w <> '')[1:3], ' ') AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+k AS (SELECT *, trim(regexp_replace(lower(g), '[^\p{L}\p{N}_\s]', '', 'g')) AS gk, trim(regexp_replace(lower(a), '[^\p{L}\p{N}_\s]', '', 'g')) AS ak FROM a)
+SELECT turn, count(*) AS n, count(*) FILTER (WHERE g = a) AS exact, count(*) FILTER (WHERE gk = ak AND gk <> '') AS folded, count(*) FILTER (WHERE gk <> '' AND ak <> '' AND (contains(ak, gk) OR contains(gk, ak))) AS inside, count(*) FILTER (WHERE ak = '') AS blank FROM k GROUP BY turn"""
+
+
+@query("E20_answer_match", E20_SQL)
 def answer_match(t: Tables) -> DataFrame:
-    """All rows. The sharp s is ss when folded; exactly, it differs from its upper case SS."""
-    c, x = t.conversations, F.col("text")
-    fold = lambda y: tx.fold_marks(F.replace(y, F.lit("ß"), F.lit("ss")))
-    return c.groupBy("turn").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower(F.trim(x)) == F.lower(F.trim(F.upper(x)))).alias("exact"), F.count_if(fold(x) == fold(F.upper(x))).alias("folded"), F.count_if(F.contains(x, F.substring(x, 1, 5))).alias("inside"))
+    """How a turn's first two words and the next turn's first three agree: as they are, without case and signs, and one inside the other."""
+    words = lambda c, n: F.array_join(F.slice(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""), 1, n), " ")
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", ""))
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = t.conversations.select("turn", words(F.col("text"), 2).alias("g"), words(after, 3).alias("a")).select("turn", "g", "a", key(F.col("g")).alias("gk"), key(F.col("a")).alias("ak"))
+    both = (F.col("gk") != "") & (F.col("ak") != "")
+    inside = both & (F.contains("ak", "gk") | F.contains("gk", "ak"))
+    return c.groupBy("turn").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") == F.col("a")).alias("exact"), F.count_if((F.col("gk") == F.col("ak")) & (F.col("gk") != "")).alias("folded"), F.count_if(inside).alias("inside"), F.count_if(F.col("ak") == "").alias("blank"))
 
 
 @query("E21_four_way_ablation", f"WITH {RANKED} SELECT qid, min(rank) FILTER (WHERE gold) AS any_answer, min(rank) FILTER (WHERE gold AND video_id % 2 = 0) AS shared_answer, min(rank) FILTER (WHERE gold AND row_id % 2 = 0) AS row_answer, min(rank) FILTER (WHERE gold AND row_id % 2 = 0 AND score > 20) AS keyword_answer FROM r GROUP BY qid")

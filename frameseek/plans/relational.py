@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameseek.operators import sequences
+from frameseek.operators import packing
 from frameseek.plans.registry import FRAMES, Tables, query, shared
 
 # --- Scans and ETL ------------------------------------------------------------------
@@ -111,16 +111,17 @@ shared("F19_F20_unused_good", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS
 shared("F21_leakage", "SELECT round(CAST(count(l.doc_id) AS DOUBLE) / count(*), 6) AS share, CAST(count(l.doc_id) AS DOUBLE) / count(*) >= 0.1 AS warn FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", "documents labels")
 
 
-@query("F22_bin_packing")
-def bin_packing(t: Tables) -> DataFrame:
-    """Longest first into four bins: one row a source meets in one task."""
-    import pandas as pd
+F22_SQL = """WITH RECURSIVE d AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source NULLS LAST) AS k FROM documents GROUP BY source),
+b AS (SELECT 0 AS k, [0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS place UNION ALL
+  SELECT d.k, list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN d.n ELSE 0 END), list_position(load, list_min(load)) FROM b JOIN d ON d.k = b.k + 1)
+SELECT source, n, CAST(place - 1 AS INTEGER) AS bin FROM d JOIN b USING (k)"""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = sequences.bin_packing(list(zip(pdf["source"], pdf["n"])), 4)
-        return pdf.assign(bin=pdf["source"].map(at))[["source", "n", "bin"]]
 
-    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(group, "source string, n long, bin int")
+@query("F22_bin_packing", F22_SQL)
+def bin_packing(t: Tables) -> DataFrame:
+    """Sources into four bins, largest first into the least filled."""
+    n = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return packing.longest_first(n, "source", "n", 4).select("source", "n", "bin")
 
 
 shared("F23_row_pickers", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 95)", "events")

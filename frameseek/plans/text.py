@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameseek.functions import text as tx
@@ -154,10 +156,43 @@ def last_number(t: Tables) -> DataFrame:
     return t.documents.where(F.col("text").rlike("[0-9]")).select("doc_id", F.element_at(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), -1).alias("number"))
 
 
-@query("T34_answer_parts", "SELECT c.conv_id, c.turn, len(list_filter(list_transform(string_split(c.text, ','), lambda p: trim(p)), lambda p: NOT contains(c.text, p))) = 0 AS ok FROM conversations c")
+# Number words that answers may write as digits.
+NUMBER_WORDS = {"không": "0", "một": "1", "hai": "2", "ba": "3", "bốn": "4", "năm": "5", "sáu": "6", "bảy": "7", "tám": "8", "chín": "9", "mười": "10"}
+
+
+def plain_answer(c: Column) -> Column:
+    """Folded, number words as digits, commas as points, spaces single."""
+    out = tx.fold_marks(F.coalesce(c, F.lit("")))
+    for word, digit in NUMBER_WORDS.items():
+        out = F.regexp_replace(out, rf"(?U)\b{tx.bare(word)}\b", digit)
+    return F.trim(F.regexp_replace(F.replace(out, F.lit(","), F.lit(".")), r"(?U)\s+", " "))
+
+
+def says_all(expected: Column, given: Column) -> Column:
+    """Whether every part of the expected answer, between points, semicolons, slashes or 'va', stands in the given one as whole words."""
+    parts = F.filter(F.transform(F.split(plain_answer(expected), r"[.;/]| va "), lambda p: F.trim(p)), lambda p: p != "")
+    held = plain_answer(given)
+    literal = lambda p: F.concat(F.lit(r"(?U)(?<![\w.])\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\w.])"))
+    return (F.size(parts) > 0) & F.forall(parts, lambda p: F.regexp_like(held, literal(p)))
+
+
+_READ = lambda x: f"replace(strip_accents(lower(coalesce({x}, ''))), ',', '.')"
+_PLAIN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))".format
+_DIGITS = lambda x: reduce(lambda s, w: rf"regexp_replace(regexp_replace({s}, '(^|[^\p{{L}}\p{{N}}_]){tx.bare(w[0])}($|[^\p{{L}}\p{{N}}_])', '\1{w[1]}\2', 'g'), '(^|[^\p{{L}}\p{{N}}_]){tx.bare(w[0])}($|[^\p{{L}}\p{{N}}_])', '\1{w[1]}\2', 'g')", NUMBER_WORDS.items(), x)
+T34_SQL = rf"""WITH a AS (SELECT conv_id, turn, string_split(text, ' ') AS w, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS given FROM conversations),
+b AS (SELECT conv_id, turn, {_PLAIN(_DIGITS(_READ("w[1] || CASE turn % 3 WHEN 0 THEN '; ' WHEN 1 THEN ' và ' ELSE ' / ' END || coalesce(w[3], '')")))} AS e, {_PLAIN(_DIGITS(_READ('given')))} AS g FROM a WHERE given IS NOT NULL AND w IS NOT NULL),
+p AS (SELECT *, list_filter(list_transform(string_split_regex(e, '[.;/]| va '), lambda x: trim(x)), lambda x: x <> '') AS parts FROM b)
+SELECT conv_id, turn, len(parts) > 0 AND len(list_filter(parts, lambda x: NOT regexp_matches(g, '(^|[^\p{{L}}\p{{N}}_.])' || regexp_escape(x) || '($|[^\p{{L}}\p{{N}}_.])'))) = 0 AS ok FROM p"""
+
+
+@query("T34_answer_parts", T34_SQL)
 def answer_parts(t: Tables) -> DataFrame:
-    parts = F.transform(F.split("text", ","), lambda p: F.trim(p))
-    return t.conversations.select("conv_id", "turn", F.forall(parts, lambda p: F.col("text").contains(p)).alias("ok"))
+    """The first and third word of a turn as an answer of two parts, sought in the next turn."""
+    w = F.split("text", " ")
+    both = t.conversations.withColumns({"w": w, "given": F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))}).where("given is not null and w is not null")
+    between = F.when(F.col("turn") % 3 == 0, "; ").when(F.col("turn") % 3 == 1, " và ").otherwise(" / ")
+    expected = F.concat(F.get("w", F.lit(0)), between, F.coalesce(F.get("w", F.lit(2)), F.lit("")))
+    return both.select("conv_id", "turn", says_all(expected, F.col("given")).alias("ok"))
 
 
 RANGE = "[0-9]{1,4}(?:-[0-9]{1,4})?"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameseek.operators import alignment, sequences
+from frameseek.operators import alignment, chains, numbering, sequences
 from frameseek.plans.registry import FRAMES, Tables, query
 
 def line():
@@ -110,13 +110,6 @@ def nearest(t: Tables) -> DataFrame:
     return g.withColumn("pos", F.row_number().over(w)).where("pos <= 5").select("video_id", "row_id", "pos")
 
 
-@query("W22_chain_spreading")
-def chain_spreading(t: Tables) -> DataFrame:
-    spread = F.udf(lambda c: sequences.spread_chain(c, 2, 2, 20), "array<array<int>>")
-    chains = t.supplier.select("s_suppkey", F.array(F.lit(10), F.lit(14), F.lit(19)).alias("c"))
-    return chains.select("s_suppkey", F.posexplode(spread("c")).alias("pos", "chain"))
-
-
 @query("W23_strided_rows", f"WITH {FRAMES}, {ORD} SELECT video_id, row_id FROM o WHERE (n - 1) % 5 = 0")
 def strided(t: Tables) -> DataFrame:
     return ordered(t).where("(n - 1) % 5 = 0").select("video_id", "row_id")
@@ -167,9 +160,9 @@ def best_chain(t: Tables) -> DataFrame:
     return y.where("label = 'purchase' and b2 is not null").groupBy("video_id").agg(F.round(F.max(F.col("score") + F.col("b2")), 6).alias("score"))
 
 
-def pools(t: Tables, k: int = 20) -> DataFrame:
-    """The k best candidates of each event and video, as arrays: one bounded row a video."""
-    f = t.frames.where(F.col("label").isin("view", "click", "purchase")).withColumn("i", F.when(F.col("label") == "view", 0).when(F.col("label") == "click", 1).otherwise(2))
+def pools(t: Tables, k: int = 20, least: float | None = None) -> DataFrame:
+    """The k best candidates of each event and video, of a score of ``least`` at least, as arrays: one bounded row a video."""
+    f = t.frames.where(F.col("label").isin("view", "click", "purchase") & (F.lit(True) if least is None else F.col("score") >= least)).withColumn("i", F.when(F.col("label") == "view", 0).when(F.col("label") == "click", 1).otherwise(2))
     w = Window.partitionBy("video_id", "i").orderBy(F.desc("score"), "row_id")
     top = f.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     return top.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "row_id", (F.col("us") / 1e6).alias("pts"), "score"))).alias("c"))
@@ -193,10 +186,21 @@ def penalty(t: Tables) -> DataFrame:
     return g.select("row_id", F.round(cost, 5).alias("penalty"))
 
 
-@query("K6_align_restart")
+ANEW = """r{0} AS (SELECT p.video_id, p.row_id, p.t, p.ord, p.score + coalesce(s.d, 0) AS d, list_concat(coalesce(s.path, []), list_concat(list_transform(range({0} - len(coalesce(s.path, []))), lambda x: NULL::BIGINT), [p.row_id])) AS path
+  FROM p LEFT JOIN {1} s ON s.video_id = p.video_id AND s.t < p.t WHERE p.i = {0} QUALIFY row_number() OVER (PARTITION BY p.video_id, p.ord ORDER BY s.d DESC NULLS LAST, s.t, s.ord) = 1),
+q{0} AS (SELECT * FROM r{0} UNION ALL SELECT * FROM {1} WHERE video_id NOT IN (SELECT video_id FROM r{0} WHERE video_id IS NOT NULL))""".format
+
+
+def restart_sql(pool: str) -> str:
+    """CTEs from the pool p to chains c (video_id, chain, score); ``pool`` says which rows are candidates."""
+    return f"""p AS (SELECT video_id, i, row_id, us / 1e6 AS t, score, row_number() OVER (PARTITION BY video_id, i ORDER BY score DESC, row_id) AS ord FROM (SELECT *, CASE label WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS i FROM e WHERE label IN ('view', 'click', 'purchase') AND {pool}) QUALIFY ord <= 20),
+q AS (SELECT video_id, row_id, t, ord, score AS d, [row_id] AS path FROM p WHERE false), {ANEW(0, 'q')}, {ANEW(1, 'q0')}, {ANEW(2, 'q1')},
+c AS (SELECT video_id, list_concat(path, list_transform(range(3 - len(path)), lambda x: NULL::BIGINT)) AS chain, round(d, 6) AS score FROM q2 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY d DESC, t, ord) = 1)"""
+
+
+@query("K6_align_restart", f"WITH {FRAMES}, {restart_sql('true')} SELECT video_id, chain, score FROM c")
 def align_restart(t: Tables) -> DataFrame:
-    run = F.udf(lambda c: [None if i is None else int(i) for i in sequences.align_restart(_levels(c))], "array<long>")
-    return pools(t).select("video_id", run("c").alias("chain"))
+    return alignment.align_restart(pools(t), "video_id", 3).select("video_id", "chain", F.round("score", 6).alias("score"))
 
 
 HOUR = 3600.0
@@ -229,10 +233,47 @@ def rising(t: Tables) -> DataFrame:
     return frames.withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
-@query("K11_K12_fill_and_spread")
-def fill(t: Tables) -> DataFrame:
-    run = F.udf(lambda a, b: sequences.spread_if_collapsed(sequences.fill_missing([a, None, b], 0.0, 1000.0), 100.0, 0.0, 1000.0), "array<double>")
-    return t.supplier.select("s_suppkey", run(F.col("s_suppkey").cast("double"), (F.col("s_suppkey") * 3).cast("double")).alias("times"))
+ENDS = "ends AS (SELECT video_id, min(row_id) AS lo, max(row_id) AS hi FROM e GROUP BY video_id)"
+# From chains c with ends: one row a place, filled and spread, raised to rise.
+PLACES = """x AS (SELECT c.video_id, i, chain[i + 1] AS x, lo, hi, 24 + c.video_id % 3 AS fps FROM c JOIN ends USING (video_id), (SELECT unnest([0, 1, 2]) AS i)),
+y AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS a, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ai, first_value(x IGNORE NULLS) OVER f AS z, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER f AS zi, first_value(x IGNORE NULLS) OVER w AS k, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER w AS ki
+  FROM x WINDOW b AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), w AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT *, CAST(CASE WHEN x IS NOT NULL THEN x WHEN a IS NOT NULL AND z IS NOT NULL THEN a + round_even((z - a) * (i - ai) / (zi - ai), 0) WHEN a IS NOT NULL THEN least(hi, a + round_even((hi - a) * (i - ai) / 3, 0)) ELSE greatest(lo, z - round_even((z - lo) * (zi - i) / 3, 0)) END AS BIGINT) AS filled,
+  CAST(lo + round_even((hi - lo) / 4 * (i + 1), 0) AS BIGINT) AS wide, CAST(greatest(lo, least(hi, round_even(k + (i - ki) * (56.6 * fps / 2), 0))) AS BIGINT) AS narrow FROM y WHERE k IS NOT NULL),
+h AS (SELECT *, hi > lo AND max(CASE WHEN i = 2 THEN filled END) OVER v - max(CASE WHEN i = 0 THEN filled END) OVER v < 100 AS heap, hi > lo AND (max(CASE WHEN i = 1 THEN filled END) OVER v - max(CASE WHEN i = 0 THEN filled END) OVER v < 100 OR max(CASE WHEN i = 2 THEN filled END) OVER v - max(CASE WHEN i = 1 THEN filled END) OVER v < 100) AS tight FROM g WINDOW v AS (PARTITION BY video_id)),
+up AS (SELECT video_id, i, filled, CAST(i + max(CASE WHEN heap THEN wide ELSE filled END - i) OVER u AS BIGINT) AS total, CAST(i + max(CASE WHEN tight THEN wide ELSE filled END - i) OVER u AS BIGINT) AS pair, CAST(i + max(CASE WHEN tight THEN narrow ELSE filled END - i) OVER u AS BIGINT) AS narrow FROM h WINDOW u AS (PARTITION BY video_id ORDER BY i))"""
+K7_CHAINS = K7_SQL.rpartition("\nSELECT ")[0] + ",\nc AS (SELECT " + K7_SQL.rpartition("\nSELECT ")[2] + ")"
+
+
+@query("K11_K12_fill_and_spread", f"{K7_CHAINS}, {ENDS}, {PLACES} SELECT video_id, i, filled, total, pair, narrow FROM up")
+def fill_and_spread(t: Tables) -> DataFrame:
+    """The aligned chains with their gaps filled, and as answered when a heap is judged by its ends, by any pair, and spread over the usual length."""
+    c = align_time(t).join(t.frames.groupBy("video_id").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")), "video_id")
+    chain, lo, hi, fps = F.col("chain"), F.col("lo"), F.col("hi"), 24 + F.col("video_id") % 3
+    forms = {"filled": chains.fill(chain, lo, hi), "total": chains.finished(chain, lo, hi), "pair": chains.finished(chain, lo, hi, "pair"), "narrow": chains.finished(chain, lo, hi, "pair", fps)}
+    rows = c.where(F.exists("chain", lambda x: x.isNotNull())).select("video_id", F.arrays_zip(*[f.alias(n) for n, f in forms.items()]).alias("z"))
+    return rows.select("video_id", F.posexplode("z").alias("i", "z")).select("video_id", "i", "z.*")
+
+
+W22_SQL = f"""{K7_CHAINS}, f AS (SELECT video_id, row_id, row_number() OVER (PARTITION BY video_id ORDER BY row_id) - 1 AS p, count(*) OVER (PARTITION BY video_id) AS n FROM e),
+spots AS (SELECT c.video_id, f0.p AS a0, f1.p AS a1, f2.p AS a2, f0.n FROM c JOIN f f0 ON f0.video_id = c.video_id AND f0.row_id = chain[1] JOIN f f1 ON f1.video_id = c.video_id AND f1.row_id = chain[2] JOIN f f2 ON f2.video_id = c.video_id AND f2.row_id = chain[3] WHERE a0 < a1 AND a1 < a2),
+o AS (SELECT x, y, z, greatest(abs(x), abs(y), abs(z)) AS r FROM (SELECT unnest(range(-9, 10)) AS x), (SELECT unnest(range(-9, 10)) AS y), (SELECT unnest(range(-9, 10)) AS z)),
+w AS (SELECT video_id, n, a0 + x AS p0, a1 + y AS p1, a2 + z AS p2, row_number() OVER (PARTITION BY video_id ORDER BY r, x, y, z) - 1 AS pos FROM spots, o WHERE a0 + x >= 0 AND a0 + x < a1 + y AND a1 + y < a2 + z AND a2 + z < n)
+SELECT w.video_id, pos, f0.row_id AS first, f1.row_id AS second, f2.row_id AS third FROM w JOIN f f0 ON f0.video_id = w.video_id AND f0.p = p0 JOIN f f1 ON f1.video_id = w.video_id AND f1.p = p1 JOIN f f2 ON f2.video_id = w.video_id AND f2.p = p2 WHERE pos < 20"""
+
+
+@query("W22_chain_spreading", W22_SQL)
+def chain_spreading(t: Tables) -> DataFrame:
+    """Each whole aligned chain and its nearest variants among the video's frames, twenty in all, shifts of up to nine frames."""
+    c = align_time(t).where(F.forall("chain", lambda x: x.isNotNull()) & (F.size("chain") == 3)).select("video_id", "chain")
+    f = numbering.placed(t.frames.select("video_id", "row_id"), "video_id", [F.asc("row_id")], "p", "_n").select("video_id", "row_id", (F.col("p") - 1).cast("int").alias("p"))
+    sizes = f.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    spots = c.select("video_id", F.posexplode("chain").alias("i", "row_id")).join(f, ["video_id", "row_id"]).groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("at"))
+    rising = (F.col("at")[0] < F.col("at")[1]) & (F.col("at")[1] < F.col("at")[2])
+    variants = chains.around(spots.where(rising).join(sizes, "video_id"), "video_id", 3, 20, 10)
+    back = variants.select("video_id", "pos", F.posexplode("at").alias("i", "p")).join(f, ["video_id", "p"])
+    name = lambda i, n: F.max(F.when(F.col("i") == i, F.col("row_id"))).alias(n)
+    return back.groupBy("video_id", "pos").agg(name(0, "first"), name(1, "second"), name(2, "third"))
 
 
 BUDGET = "SELECT video_id, score, row_number() OVER (ORDER BY score DESC, video_id) AS place FROM v"

@@ -103,14 +103,7 @@ def test_beam_diversity():
     assert len(sq.beam(events, spacing=3.0)) == 1 and len(sq.beam(events, spacing=0.05)) == 2
 
 
-def test_alignments_differ_without_predecessor():
-    events = [[(1, 10.0, 0.1)], [(2, 5.0, 5.0)]]
-    assert sq.align_restart(events) == [None, 2]
-
-
 def test_packing_and_unions():
-    assert sorted(sq.bin_packing([("a", 5), ("b", 4), ("c", 3)], 2).values()) == [0, 1, 1]
-    assert sq.strictly_rising([5, 5, 4]) == [5, 6, 7]
     assert sq.quota_union([[1, 2, 3], [2, 4]], [2, 2], 4) == [1, 2, 4, 3]
 
 

@@ -11,6 +11,7 @@ def run(spark, tmp_path, name, **tables):
 
 DOCS = "doc_id long, text string, source string"
 ITEMS = "item_id long, text string"
+EVENTS = "event_id long, user_id long, ts timestamp, event_type string, value double"
 
 
 def test_containment_of_whole_passages_in_all_documents(spark, tmp_path):
@@ -52,25 +53,6 @@ def test_events_hold_the_whole_text(spark, tmp_path):
     assert sorted(got) == [(7, 0, flat[:40].strip()), (7, 1, flat[40:].strip())]
 
 
-def test_answer_parts_of_whole_turns(spark):
-    from frameseek.plans import text
-
-    class One:
-        conversations = spark.createDataFrame([(1, 0, "x" * 40 + ", late part,end")], "conv_id long, turn int, text string")
-
-    parts = text.answer_parts(One)._jdf.queryExecution().optimizedPlan().toString()
-    assert "substring" not in parts and text.answer_parts(One).first().ok
-
-
-def test_answer_match_keeps_the_sharp_s(spark, tmp_path):
-    turns = [(1, 0, "user", "Straße"), (2, 0, "user", "plain é"), (3, 0, "user", None)]
-    got = run(spark, tmp_path, "E20_answer_match", conversations=(turns, "conv_id long, turn int, role string, text string"))
-    assert got == [(0, 3, 1, 2, 2)]
-
-
-EVENTS = "event_id long, user_id long, ts timestamp, event_type string, value double"
-
-
 def test_window_around_purchases_against_pairs(spark, tmp_path):
     import random
     from datetime import datetime, timedelta
@@ -168,3 +150,10 @@ def test_gold_of_the_turn_before(spark, tmp_path):
     turns = [(1, 0, "u", "take Bo or Émil"), (1, 1, "u", "An Bo Émil Zed"), (1, 2, "u", "An Bo Cy Zed"), (1, 3, "u", None), (1, 4, "u", "Ed"), (2, 0, "u", "Émil")]
     got = run(spark, tmp_path, "E24_variant_oracle", conversations=(turns, "conv_id long, turn int, role string, text string"))
     assert sorted(got) == [(1, 1, "Émil", True), (1, 2, "Zed", False), (1, 3, "Zed", False)]
+
+
+def test_answers_of_the_next_turn(spark, tmp_path):
+    turns = [(1, 0, "u", "The and  of"), (1, 1, "u", " the  AND."), (1, 2, "u", "the and. more"), (1, 3, "u", None), (2, 0, "u", "Straße x"), (2, 1, "u", "Straße x y z"), (3, 0, "u", "a b"), (3, 1, "u", "a b")]
+    got = run(spark, tmp_path, "E20_answer_match", conversations=(turns, "conv_id long, turn int, role string, text string"))
+    # turn, pairs, equal, equal without case and signs, one inside the other, nothing after
+    assert sorted(got) == [(0, 3, 1, 2, 3, 0), (1, 3, 0, 0, 1, 2), (2, 1, 0, 0, 0, 1), (3, 1, 1, 0, 0, 1)]
