@@ -1,19 +1,24 @@
-"""Okapi BM25 over token arrays: postings, document frequencies and scores as DataFrames.
+"""Okapi BM25 over tokens: postings, document frequencies and scores as DataFrames, for one index or several at once.
 
-A text is tokenised once. Its tokens are matched with the asked ones before they are counted, so
-what is shuffled is a row a document for each asked token in it and one row for all its others;
-lengths, postings and frequencies come from that table, which is written to the checkpoint folder.
+A text is read once, for all indexes. What is shuffled and written to the checkpoint folder is a row a document,
+index and asked token in it, and one for its length. As long as the asked vocabulary is small the task that
+tokenises a text counts it there and then; beyond that tokens become rows and meet the asked ones in a shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameseek.functions import text as tx
+from frameseek.functions.tokens import EXACT, FOLDED, Tokeniser
 from frameseek.operators.staging import staged
 
-#: Asked vocabularies up to this size are broadcast (some MB); larger ones meet the tokens in a shuffle.
+#: Asked vocabularies up to this size are sent to every task (some MB).
 VOCABULARY_LIMIT = 100_000
 
 K1, B = 1.5, 0.75
@@ -24,31 +29,75 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-def scores(docs: DataFrame, queries: DataFrame, tokenise=tx.tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc_id, score) of documents that share a token; ``docs``: doc_id, text; ``queries``: qid, text.
+def _asked(queries: DataFrame, tokeniser: Tokeniser) -> DataFrame:
+    return queries.select("qid", F.explode(F.array_distinct(tokeniser.column(F.col("text")))).alias("token"))
+
+
+def _counted_in_tasks(docs: DataFrame, asked: list[set[str]], tokenisers: list[Tokeniser]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(asked)
+    rules = [t.text for t in tokenisers]
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, which, tokens, tf = [], [], [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                for i, (rule, wanted) in enumerate(zip(rules, sent.value)):
+                    found = rule(text)
+                    some = Counter(t for t in found if t in wanted)
+                    place += [at] * (len(some) + 1)
+                    which += [i] * (len(some) + 1)
+                    tokens += [*some, None]
+                    tf += [*some.values(), len(found)]
+            ids = batch.column(0).take(pa.array(place, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(which, pa.int32()), pa.array(tokens, pa.string()), pa.array(tf, pa.int64())], names=["doc_id", "i", "token", "tf"])
+
+    return docs.mapInArrow(task, f"doc_id {kind}, i int, token string, tf long")
+
+
+def _counted_as_rows(docs: DataFrame, words: list[DataFrame], tokenisers: list[Tokeniser]) -> DataFrame:
+    out = []
+    for i, (some, t) in enumerate(zip(words, tokenisers)):
+        rows = docs.select("doc_id", F.explode_outer(t.column(F.col("text"))).alias("token"))
+        marked = rows.join(some.withColumn("asked", F.lit(True)), "token", "left")
+        one = F.col("token").isNotNull().cast("long")
+        # A row for the length, and one for the token where it is asked.
+        pair = F.array(F.struct(F.lit(None).cast("string").alias("token"), one.alias("tf")), F.when(F.col("asked"), F.struct("token", one.alias("tf"))))
+        out.append(marked.select("doc_id", F.lit(i).alias("i"), F.explode(F.filter(pair, lambda x: x.isNotNull())).alias("x")).select("doc_id", "i", "x.token", "x.tf"))
+    return reduce(DataFrame.union, out)
+
+
+def indexed_scores(docs: DataFrame, queries: DataFrame, tokenisers: list[Tokeniser], k1: float = K1, b: float = B) -> list[DataFrame]:
+    """(qid, doc_id, score) of documents that share a token, for each way to tokenise; ``docs``: doc_id, text; ``queries``: qid, text.
 
     Blank documents are not indexed; repeated query tokens count once.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(tokenise(F.col("text")))).alias("token"))
-    words = asked.select("token").distinct().withColumn("asked", F.lit(True))
-    if words.limit(VOCABULARY_LIMIT + 1).count() <= VOCABULARY_LIMIT:
-        words = F.broadcast(words)
-    tokens = docs.where(F.trim("text") != "").select("doc_id", F.explode_outer(tokenise(F.col("text"))).alias("token"))
-    marked = tokens.join(words, "token", "left").select("doc_id", F.when(F.col("asked"), F.col("token")).alias("token"), F.col("token").isNotNull().cast("long").alias("one"))
-    counts = staged(marked.groupBy("doc_id", "token").agg(F.sum("one").alias("tf")))
-    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 0, F.avg("dl")).otherwise(1.0).alias("avgdl"))
-    post = counts.where("token is not null").join(lengths, "doc_id").select("token", "doc_id", "dl", "tf")
-    df = counts.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    asked = [_asked(queries, t) for t in tokenisers]
+    words = [a.select("token").distinct() for a in asked]
+    texts = docs.where(F.trim("text") != "").select("doc_id", "text")
+    every = reduce(DataFrame.union, [w.select(F.lit(i).alias("i"), "token") for i, w in enumerate(words)]).limit(VOCABULARY_LIMIT + 1).collect()
+    if len(every) <= VOCABULARY_LIMIT:
+        rows = _counted_in_tasks(texts, [{r.token for r in every if r.i == i} for i in range(len(words))], tokenisers)
+    else:
+        rows = _counted_as_rows(texts, words, tokenisers)
+    counts = staged(rows.groupBy("doc_id", "i", "token").agg(F.sum("tf").alias("tf")))
+    lengths = counts.where("token is null").select("doc_id", "i", F.col("tf").alias("dl"))
+    stats = lengths.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    post = counts.where("token is not null").join(lengths, ["doc_id", "i"])
+    df = counts.where("token is not null").groupBy("i", "token").agg(F.count(F.lit(1)).alias("df"))
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # One row of statistics: its size is proven.
-    scored = post.join(df, "token").crossJoin(F.broadcast(stats)).select("token", "doc_id", weight.alias("w"))
-    return asked.join(scored, "token").groupBy("qid", "doc_id").agg(F.sum("w").alias("score"))
+    # One row of statistics an index: its size is proven.
+    scored = post.join(df, ["i", "token"]).join(F.broadcast(stats), "i").select("i", "token", "doc_id", weight.alias("w"))
+    of = lambda i: asked[i].join(scored.where(F.col("i") == i), "token").groupBy("qid", "doc_id").agg(F.sum("w").alias("score"))
+    return [of(i) for i in range(len(asked))]
+
+
+def scores(docs: DataFrame, queries: DataFrame, tokeniser: Tokeniser = EXACT, k1: float = K1, b: float = B) -> DataFrame:
+    return indexed_scores(docs, queries, [tokeniser], k1, b)[0]
 
 
 def dual_scores(docs: DataFrame, queries: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Accented and folded indexes blended: alpha * accented + (1 - alpha) * folded."""
-    exact = scores(docs, queries).withColumnRenamed("score", "s1")
-    folded = scores(docs, queries, lambda c: tx.tokens(tx.fold_full(c))).withColumnRenamed("score", "s2")
-    both = exact.join(folded, ["qid", "doc_id"], "full_outer")
+    exact, folded = indexed_scores(docs, queries, [EXACT, FOLDED])
+    both = exact.withColumnRenamed("score", "s1").join(folded.withColumnRenamed("score", "s2"), ["qid", "doc_id"], "full_outer")
     return both.select("qid", "doc_id", (alpha * F.coalesce("s1", F.lit(0.0)) + (1 - alpha) * F.coalesce("s2", F.lit(0.0))).alias("score"))
