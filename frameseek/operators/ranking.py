@@ -57,15 +57,18 @@ def two_stage_rrf(lists: list[DataFrame], per_video: int, k: int) -> DataFrame:
     return top(both.drop("_in"), k)
 
 
-def normalise(df: DataFrame, how: str, tau: float = 1.0, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """Adds ``norm``: z (population), minmax or sigmoid(tau * z) of score; a constant list gives 0, 0 and 0.5."""
-    w = Window.partitionBy(*by)
-    sd, mean, lo, hi = F.stddev_pop("score").over(w), F.avg("score").over(w), F.min("score").over(w), F.max("score").over(w)
-    z = F.when(lo == hi, 0.0).otherwise((F.col("score") - mean) / sd)
+def normalise(df: DataFrame, how: str, tau: float = 1.0, by: tuple[str, ...] = ("qid",), log: bool = False) -> DataFrame:
+    """Adds ``norm``: z (population), minmax or sigmoid(tau * z) of score; a constant list gives 0, 0 and 0.5.
+
+    With ``log`` of ln(1 + score) instead, scores below 0 as 0.
+    """
+    w, score = Window.partitionBy(*by), F.log1p(F.greatest("score", F.lit(0.0))) if log else F.col("score")
+    sd, mean, lo, hi = F.stddev_pop(score).over(w), F.avg(score).over(w), F.min(score).over(w), F.max(score).over(w)
+    z = F.when(lo == hi, 0.0).otherwise((score - mean) / sd)
     if how == "z":
         return df.withColumn("norm", z)
     if how == "minmax":
-        return df.withColumn("norm", F.when(lo == hi, 0.0).otherwise((F.col("score") - lo) / (hi - lo)))
+        return df.withColumn("norm", F.when(lo == hi, 0.0).otherwise((score - lo) / (hi - lo)))
     x = F.greatest(F.least(tau * z, F.lit(60.0)), F.lit(-60.0))
     return df.withColumn("norm", 1.0 / (1.0 + F.exp(-x)))
 

@@ -225,13 +225,13 @@ def qb_norm(t: Tables) -> DataFrame:
     return ranking.top(dense.tiles(v.join(total, "row_id"), asked, fold, "qid long, row_id long, score double"), 10)
 
 
-@query("V10_alpha_expansion", f"WITH {QV}, s AS (SELECT b.qid, a.vec_id AS row_id, a.embedding, round({DOT}, 6) AS s, row_number() OVER (PARTITION BY b.qid ORDER BY round({DOT}, 6) DESC, a.vec_id) AS n FROM embeddings a, q b), x AS (SELECT qid, unnest(range(1, 65)) AS pos, s, embedding FROM s WHERE n <= 5), g AS (SELECT x.qid, pos, sum(pow(greatest(s, 0), 3) * x.embedding[pos]) + any_value(q.embedding[pos]) AS v FROM x JOIN q USING (qid) GROUP BY ALL) SELECT qid, round(sqrt(sum(v * v)), 4) AS norm, round(sum(v), 4) AS total FROM g GROUP BY qid")
+@query("V10_alpha_expansion", f"WITH {QV}, s AS (SELECT b.qid, a.vec_id AS row_id, a.embedding, round({DOT}, 6) AS s, row_number() OVER (PARTITION BY b.qid ORDER BY round({DOT}, 6) DESC, a.vec_id) AS n FROM embeddings a, q b), x AS (SELECT qid, unnest(range(1, 65)) AS pos, s, embedding FROM s WHERE n <= 5), g AS (SELECT x.qid, pos, sum(pow(greatest(s, 0), 3) * x.embedding[pos]) + any_value(q.embedding[pos]) AS v FROM x JOIN q USING (qid) GROUP BY ALL), w AS (SELECT qid, list(v ORDER BY pos) AS v, sqrt(sum(v * v)) AS norm FROM g GROUP BY qid), y AS (SELECT w.qid, a.vec_id AS row_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), w.v) / norm, 6) AS score FROM embeddings a, w), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM y) SELECT qid, row_id, score, rank FROM r WHERE rank <= 10")
 def alpha_expansion(t: Tables) -> DataFrame:
-    """q' = q + sum of max(s, 0)^3 v over its 5 best rows; shown by its norm and sum."""
+    """A second search with q + the sum of max(s, 0)^3 v over its 5 best rows, at unit length."""
     q, v = _asked(t), _vectors(t)
     best = dense.top_k(v, q, 5).join(v.select("row_id", "v"), "row_id").select("qid", "v", F.pow(F.greatest("score", F.lit(0.0)), 3).alias("w"))
     grown = dense.weighted_sum(best.union(q.select("qid", "v", F.lit(1.0))), ["qid"], "v", F.col("w"))
-    return grown.select("qid", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    return dense.top_k(v, grown.select("qid", dense.l2_normalise("v").alias("v")), 10)
 
 
 @query("A14_centroid", "SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) GROUP BY ALL")
@@ -239,11 +239,14 @@ def centroid(t: Tables) -> DataFrame:
     return t.embeddings.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-@query("A17_segment_pooling", "SELECT vec_id // 10 AS seg, pos, round(max(x), 6) AS hi, round(avg(x), 6) AS mean FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) GROUP BY ALL")
+@query("A17_segment_pooling", "WITH p AS (SELECT vec_id // 10 AS seg, pos, max(x) AS hi, avg(x) AS mean FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) GROUP BY ALL) SELECT seg, pos, round(hi / sqrt(sum(hi * hi) OVER s), 6) AS hi, round(mean / sqrt(sum(mean * mean) OVER s), 6) AS mean FROM p WINDOW s AS (PARTITION BY seg)")
 def segment_pooling(t: Tables) -> DataFrame:
+    """Greatest and mean component of a segment's vectors, each at unit length; a zero vector stays."""
     parts = t.embeddings.select(F.floor(F.col("vec_id") / 10).alias("seg"), F.posexplode("embedding").alias("pos", "x"))
     x = F.col("x").cast("double")
-    return parts.groupBy("seg", F.col("pos").cast("long").alias("pos")).agg(F.round(F.max(x), 6).alias("hi"), F.round(F.avg(x), 6).alias("mean"))
+    pooled = parts.groupBy("seg", F.col("pos").cast("long").alias("pos")).agg(F.max(x).alias("hi"), F.avg(x).alias("mean"))
+    unit = lambda c: F.col(c) / F.coalesce(F.nullif(F.sqrt(F.sum(F.col(c) * F.col(c)).over(Window.partitionBy("seg"))), F.lit(0.0)), F.lit(1.0))
+    return pooled.select("seg", "pos", F.round(unit("hi"), 6).alias("hi"), F.round(unit("mean"), 6).alias("mean"))
 
 
 @query("J10_V7_D20_same_group_cosine", f"SELECT a.vec_id AS row_id, a.label AS video_id, round(max({DOT}), 6) AS max_cos, count(*) FILTER (WHERE {DOT} >= 0.5) AS near FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL")
@@ -267,13 +270,28 @@ def alignment_check(t: Tables) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.round(dense.dot("a.v", "b.v"), 6) >= 0.5).alias("similar"))
 
 
-@query("W12_temporal_smoothing", "WITH n AS (SELECT vec_id, embedding[1]::DOUBLE AS x, lag(embedding[1]::DOUBLE) OVER w AS p, lead(embedding[1]::DOUBLE) OVER w AS f FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id, round(x + 0.5 * coalesce(p, 0) + 0.5 * coalesce(f, 0), 6) AS x FROM n")
+# Fixed shape of W12: two neighbours on each side, each step away counts half, none more than two hours away.
+REACH, FADE, LIMIT_US = 2, 0.5, 2 * 3_600_000_000
+_AROUND = " + ".join(f"CASE WHEN abs(us - {side}(us, {k}) OVER w) <= {LIMIT_US} THEN {FADE**k} * {side}(x, {k}) OVER w ELSE 0 END" for k in range(1, REACH + 1) for side in ("lag", "lead"))
+
+
+def _faded(k: int):
+    return lambda a, b: a + FADE**k * b
+
+
+@query("W12_temporal_smoothing", f"WITH n AS (SELECT vec_id, label, epoch_us(ts) AS us, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings JOIN events ON event_id = vec_id), s AS (SELECT vec_id, pos, x + {_AROUND} AS x FROM n WINDOW w AS (PARTITION BY label, pos ORDER BY us, vec_id)) SELECT vec_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM s")
 def smoothing(t: Tables) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("row_id")
-    zero = F.array_repeat(F.lit(0.0), 64)
-    d = _vectors(t).withColumn("d", F.transform("v", lambda x: x.cast("double")))
-    around = F.zip_with(F.coalesce(F.lag("d").over(w), zero), F.coalesce(F.lead("d").over(w), zero), lambda a, b: 0.5 * a + 0.5 * b)
-    return d.select(F.col("row_id").alias("vec_id"), F.zip_with("d", around, lambda a, b: a + b).alias("s")).select("vec_id", F.round(F.element_at("s", 1), 6).alias("x"))
+    """Each vector with its neighbours in time, of the same video and not far off, at unit length."""
+    w = Window.partitionBy("label").orderBy("us", "row_id")
+    d = _vectors(t).join(t.frames.select("row_id", "us"), "row_id").withColumn("d", F.transform("v", lambda x: x.cast("double")))
+    sides = [(f"{side.__name__}{k}", side, k) for k in range(1, REACH + 1) for side in (F.lag, F.lead)]
+    near = lambda side, k: F.when(F.abs(F.col("us") - side("us", k).over(w)) <= LIMIT_US, side("d", k).over(w))
+    d = d.withColumns({name: near(side, k) for name, side, k in sides})
+    total = F.col("d")
+    for name, _, k in sides:
+        total = F.zip_with(total, F.coalesce(name, F.transform("d", lambda x: F.lit(0.0))), _faded(k))
+    unit = d.select(F.col("row_id").alias("vec_id"), total.alias("s")).select("vec_id", dense.l2_normalise("s").alias("s"))
+    return unit.select("vec_id", F.posexplode("s").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 # --- BM25 ---------------------------------------------------------------------------

@@ -38,16 +38,16 @@ def two_stage(t: Tables) -> DataFrame:
     return ranking.two_stage_rrf(list(lists(t)), 2, 50)
 
 
-NORMS = "w AS (SELECT *, avg(score) OVER q AS m, stddev_pop(score) OVER q AS sd, min(score) OVER q AS lo, max(score) OVER q AS hi FROM l1 WINDOW q AS (PARTITION BY qid))"
+NORMS = "w AS (SELECT *, ln(1 + greatest(score, 0)) AS ls, avg(ln(1 + greatest(score, 0))) OVER q AS lm, stddev_pop(ln(1 + greatest(score, 0))) OVER q AS lsd, min(ln(1 + greatest(score, 0))) OVER q AS llo, max(ln(1 + greatest(score, 0))) OVER q AS lhi, avg(score) OVER q AS m, stddev_pop(score) OVER q AS sd, min(score) OVER q AS lo, max(score) OVER q AS hi FROM l1 WINDOW q AS (PARTITION BY qid))"
 
 
-@query("R3_normalise", f"WITH {LISTS}, {NORMS} SELECT qid, row_id, round(CASE WHEN lo = hi THEN 0 ELSE (score - m) / sd END, 5) AS z, round(CASE WHEN lo = hi THEN 0 ELSE (score - lo) / (hi - lo) END, 6) AS minmax, round(1 / (1 + exp(-greatest(least(2 * CASE WHEN lo = hi THEN 0 ELSE (score - m) / sd END, 60), -60))), 5) AS sigmoid FROM w")
+@query("R3_normalise", f"WITH {LISTS}, {NORMS} SELECT qid, row_id, round(CASE WHEN lo = hi THEN 0 ELSE (score - m) / sd END, 5) AS z, round(CASE WHEN lo = hi THEN 0 ELSE (score - lo) / (hi - lo) END, 6) AS minmax, round(1 / (1 + exp(-greatest(least(2 * CASE WHEN lo = hi THEN 0 ELSE (score - m) / sd END, 60), -60))), 5) AS sigmoid, round(CASE WHEN llo = lhi THEN 0 ELSE (ls - lm) / lsd END, 5) AS log_z, round(CASE WHEN llo = lhi THEN 0 ELSE (ls - llo) / (lhi - llo) END, 6) AS log_minmax FROM w")
 def normalise(t: Tables) -> DataFrame:
     a = lists(t)[0]
-    z = ranking.normalise(a, "z").select("qid", "row_id", F.round("norm", 5).alias("z"))
-    m = ranking.normalise(a, "minmax").select("qid", "row_id", F.round("norm", 6).alias("minmax"))
-    s = ranking.normalise(a, "sigmoid", 2.0).select("qid", "row_id", F.round("norm", 5).alias("sigmoid"))
-    return z.join(m, ["qid", "row_id"]).join(s, ["qid", "row_id"])
+    forms = {"z": ("z", 1.0, False, 5), "minmax": ("minmax", 1.0, False, 6), "sigmoid": ("sigmoid", 2.0, False, 5), "log_z": ("z", 1.0, True, 5), "log_minmax": ("minmax", 1.0, True, 6)}
+    for name, (how, tau, log, places) in forms.items():
+        a = ranking.normalise(a, how, tau, log=log).withColumn(name, F.round("norm", places)).drop("norm")
+    return a.select("qid", "row_id", *forms)
 
 
 @query("R4_score_fusion", f"WITH {LISTS}, n1 AS (SELECT qid, row_id, (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) AS n FROM l1 WINDOW q AS (PARTITION BY qid)), n2 AS (SELECT qid, row_id, (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) AS n FROM l2 WINDOW q AS (PARTITION BY qid)) SELECT qid, row_id, round(1.0 * coalesce(n1.n, 0) + 0.5 * coalesce(n2.n, 0), 6) AS score FROM n1 FULL JOIN n2 USING (qid, row_id)")
