@@ -11,7 +11,7 @@ from frameseek.operators import master
 from frameseek.operators.staging import folder, staged
 from frameseek.plans.fusion import LISTS, RRF, fused
 from frameseek.plans.registry import Tables, query
-from frameseek.sources import matrices, storage, submission
+from frameseek.sources import blobs, files, matrices, storage, submission
 from frameseek.streaming import logs
 
 
@@ -114,6 +114,80 @@ def patch_counters(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([tuple(seen.get[n] or 0 for n in names)], ", ".join(f"{n} long" for n in names))
 
 
+# --- S1, S2, S7, S8, S26: files of small tables --------------------------------------------------------------------
+
+VIDEO = "'L' || lpad(CAST(page_id % 30 AS VARCHAR), 2, '0') || '_V' || lpad(CAST(page_id // 30 AS VARCHAR), greatest(3, length(CAST(page_id // 30 AS VARCHAR)))::INTEGER, '0')"
+TREE = f"x AS (SELECT {VIDEO} AS video_id, page_id % 5 <> 2 AS csv, page_id % 4 <> 1 AS video, page_id % 7 = 3 AS clip, page_id % 2 = 0 AS keyframe_dir, page_id % 3 <> 0 AS object_dir FROM pages)"
+
+
+def _videos(t: Tables) -> DataFrame:
+    number = F.floor(F.col("page_id") / 30).cast("string")
+    name = F.concat(F.lit("L"), F.lpad((F.col("page_id") % 30).cast("string"), 2, "0"), F.lit("_V"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")))
+    return t.pages.select("page_id", name.alias("video"))
+
+
+def _tree(t: Tables) -> str:
+    """Files of each page as a video with some of its assets, in folders by kind, and others that are none."""
+    v, p = _videos(t), F.col("page_id")
+    file = lambda wanted, *path: F.when(wanted, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in path]))
+    name = F.col("video")
+    paths = [file(p % 5 != 2, "csv/", name, ".csv"), file(p % 4 != 1, "video/", name, ".MP4"), file(p % 7 == 3, "clip/a/", name, ".npy"), file(p % 2 == 0, "keyframes/", name, "/001.jpg"), file(p % 2 == 0, "keyframes/", name, "/002.jpg"), file(p % 3 != 0, "objects/", name, "/001.json"), file(p % 6 == 1, "notes/", name, ".txt"), file(p % 9 == 4, "video/other-", p.cast("string"), ".mp4")]
+    place = _place(t, "tree")
+    blobs.write(v.select(F.explode(F.filter(F.array(*paths), lambda x: x.isNotNull())).alias("path"), F.lit(b"x").alias("content")), place)
+    return place
+
+
+@query("S1_S2_discovery", f"WITH {TREE} SELECT * FROM x WHERE csv OR video OR clip OR keyframe_dir OR object_dir")
+def discovery(t: Tables) -> DataFrame:
+    """Which assets each video has, by the files that are there."""
+    place = _tree(t)
+    found = files.discover(t.spark, place)
+    out = staged(found.select("video_id", *[F.col(k).isNotNull().alias(k) for k in sorted(set(files.KINDS.values()))]))
+    storage.remove(place)
+    return out
+
+
+@query("S2_asset_coverage", f"WITH {TREE} SELECT split_part(video_id, '_', 1) AS grp, count(*) AS videos, count(*) FILTER (WHERE clip) AS clip, count(*) FILTER (WHERE csv) AS csv, count(*) FILTER (WHERE keyframe_dir) AS keyframe_dir, count(*) FILTER (WHERE object_dir) AS object_dir, count(*) FILTER (WHERE video) AS video FROM x WHERE csv OR video OR clip OR keyframe_dir OR object_dir GROUP BY grp")
+def asset_coverage(t: Tables) -> DataFrame:
+    place = _tree(t)
+    out = staged(files.coverage(files.discover(t.spark, place)))
+    storage.remove(place)
+    return out
+
+
+@query("S7_nested_to_long", f"""WITH d AS (SELECT {VIDEO} AS video_id, page_id AS p, unnest(range(page_id % 9 + 1)) AS j FROM pages WHERE page_id % 11 <> 5),
+s AS (SELECT *, (95 - 10 * CASE WHEN p % 7 = 0 AND j < 2 THEN 7 - j ELSE j END) / 100.0::DOUBLE AS score FROM d), c AS (SELECT *, min(CASE WHEN score < 0.4 THEN j END) OVER (PARTITION BY p) AS stop FROM s)
+SELECT video_id, j AS pos, CASE WHEN p % 3 <> 0 OR j < p % 9 THEN 'thing ' || j END AS label, score, CASE WHEN p % 4 <> 3 THEN j + 0.5::DOUBLE END AS bottom FROM c WHERE stop IS NULL OR j < stop""")
+def nested(t: Tables) -> DataFrame:
+    """Detection files of the pages to rows: parallel arrays, some too short, some files cut, some scores out of order."""
+    v, p = _videos(t), F.col("page_id")
+    js = F.sequence(F.lit(0).cast("long"), p % 9)
+    odd = lambda j: F.when((p % 7 == 0) & (j < 2), 7 - j).otherwise(j)
+    scores = F.transform(js, lambda j: (95 - 10 * odd(j)) / F.lit(100.0))
+    names = F.transform(F.when(p % 3 == 0, F.slice(js, F.lit(1), (p % 9).cast("int"))).otherwise(js), lambda j: F.concat(F.lit("thing "), j.cast("string")))
+    boxes = F.when(p % 4 != 3, F.transform(js, lambda j: F.array(j.cast("double"), j.cast("double"), j + F.lit(0.5), j + F.lit(1.0))))
+    text = F.to_json(F.struct(scores.alias("detection_scores"), names.alias("detection_class_entities"), boxes.alias("detection_boxes")))
+    place = _place(t, "detections")
+    blobs.write(v.select(F.concat("video", F.lit("/001.json")).alias("path"), F.when(p % 11 == 5, F.substring(text, 1, 30)).otherwise(text).alias("content")), place)
+    rows = files.detections(t.spark, place, 0.4)
+    out = staged(rows.select(F.regexp_extract("path", files.VIDEO_ID, 1).alias("video_id"), F.col("pos").cast("long").alias("pos"), "label", "score", F.get("box", F.lit(2)).alias("bottom")))
+    storage.remove(place)
+    return out
+
+
+@query("S26_query_folder", "SELECT 'query-p1-' || item_id || CASE item_id % 3 WHEN 0 THEN '-kis' WHEN 1 THEN '-qa' ELSE '-trake' END || '.txt' AS name, CASE item_id % 3 WHEN 0 THEN 'kis' WHEN 1 THEN 'qa' ELSE 'trake' END AS kind, md5(text || chr(10) || 'E1 ' || text) AS digest FROM benchmark WHERE item_id % 10 <> 9")
+def query_folder(t: Tables) -> DataFrame:
+    """The items as question files and read back; files of other names are no questions."""
+    i = F.col("item_id")
+    kind = F.when(i % 3 == 0, "-kis").when(i % 3 == 1, "-qa").otherwise("-trake")
+    name = F.when(i % 10 == 9, F.concat(F.lit("notes-"), i.cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("query-p1-"), i.cast("string"), kind, F.lit(".txt")))
+    place = _place(t, "questions")
+    blobs.write(t.benchmark.select(name.alias("path"), F.concat("text", F.lit("\nE1 "), "text").alias("content")), place)
+    out = staged(files.query_folder(t.spark, place).select("name", "kind", F.md5("text").alias("digest")))
+    storage.remove(place)
+    return out
+
+
 # --- S11: matrices --------------------------------------------------------------------------------------------------
 
 GRID = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"

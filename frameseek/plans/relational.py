@@ -11,23 +11,9 @@ from frameseek.plans.registry import FRAMES, Tables, query, shared
 # --- Scans and ETL ------------------------------------------------------------------
 
 
-@query("S1_S2_discovery", r"SELECT regexp_extract(url, '^https?://([^/:]+)', 1) AS host, count(*) AS n, count(*) FILTER (WHERE regexp_matches(url, '\?')) AS with_query, count(*) FILTER (WHERE url LIKE '%#%') AS with_anchor FROM pages GROUP BY host")
-def discovery(t: Tables) -> DataFrame:
-    return t.pages.groupBy(F.regexp_extract("url", "^https?://([^/:]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("url").contains("?")).alias("with_query"), F.count_if(F.col("url").contains("#")).alias("with_anchor"))
-
-
 shared("S3_critical_missing", "SELECT d.doc_id, l.quality IS NULL AS no_label, d.lang IS NULL AS no_lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR d.lang IS NULL", "documents labels")
 
 
-@query("S7_nested_to_long", "SELECT conv_id, turn, i AS pos, words[i] AS word FROM (SELECT conv_id, turn, string_split(text, ' ') AS words, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM conversations) WHERE len(list_filter(words[1:i], lambda w: length(w) > 12)) = 0")
-def nested(t: Tables) -> DataFrame:
-    """Parallel arrays to rows, stopping at the first entry past the limit."""
-    c = t.conversations.select("conv_id", "turn", F.split("text", " ").alias("w"))
-    c = c.withColumn("stop", F.array_position(F.transform("w", lambda x: F.length(x) > 12), True))
-    c = c.withColumn("keep", F.when(F.col("stop") == 0, F.size("w")).otherwise(F.col("stop") - 1).cast("int"))
-    return c.select("conv_id", "turn", F.posexplode(F.slice("w", F.lit(1), F.col("keep"))).alias("pos", "word")).withColumn("pos", (F.col("pos") + 1).cast("long"))
-
-
 @query("S8_S10_json_props", "SELECT event_id, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, props IS NOT NULL AND NOT json_valid(props) AS bad FROM events")
 def json_props(t: Tables) -> DataFrame:
     """A record that is no JSON is kept with a mark and without values; a missing one is not marked."""

@@ -18,6 +18,27 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("video_id").pivot("kind", sorted(set(KINDS.values()))).agg(F.min("path"))
 
 
+def coverage(assets: DataFrame) -> DataFrame:
+    """(grp, videos, a count for each kind) of what ``discover`` found, by the part of the id before the underscore."""
+    kinds = sorted(set(KINDS.values()))
+    return assets.groupBy(F.substring_index("video_id", "_", 1).alias("grp")).agg(F.count(F.lit(1)).alias("videos"), *[F.count(k).alias(k) for k in kinds])
+
+
+def detections(spark: SparkSession, folder: str, least: float) -> DataFrame:
+    """(path, pos, label, score, box) of the detection files below ``folder``, from the first down to the first score under ``least``.
+
+    Scores are sorted in a sound file, so what follows a low one is not looked at. Labels and boxes that the file
+    lacks are null; a file that is no JSON has no rows.
+    """
+    shape = "detection_scores array<double>, detection_class_entities array<string>, detection_boxes array<array<double>>"
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    d = whole.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", shape, {"mode": "PERMISSIVE"}).alias("d")).select("path", "d.*")
+    low = F.array_position(F.transform("detection_scores", lambda s: F.coalesce(s < least, F.lit(True))), True)
+    n = F.when(low > 0, low - 1).otherwise(F.size("detection_scores")).cast("int")
+    rows = d.where("detection_scores is not null").select("path", "detection_class_entities", "detection_boxes", F.posexplode(F.slice("detection_scores", F.lit(1), n)).alias("pos", "score"))
+    return rows.select("path", "pos", F.get("detection_class_entities", "pos").alias("label"), "score", F.get("detection_boxes", "pos").alias("box"))
+
+
 def query_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(name, kind, text) of files ``query-<batch>-<n>-<kind>.txt``; other names are skipped."""
     rows = spark.read.text(folder, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))

@@ -166,15 +166,16 @@ class Made(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Archives under a name that is not listed, renamed by the driver when all are there."""
+    """Archives in a folder that listings pass over, moved out by the driver when all are there."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.rows = options["path"], int(options.get("rows", ROWS))
+        # The job's folder is named once, in the driver, and the same in every task.
+        self.path, self.rows, self.job = options["path"], int(options.get("rows", ROWS)), f"_{uuid.uuid4().hex}"
         self.half = options.get("dtype", "float32")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Made:
         system, path = storage.at(self.path)
-        system.create_dir(path, recursive=True)
+        system.create_dir(f"{path}/{self.job}", recursive=True)
         made, held = [], []
 
         def flush(tbl: pa.Table) -> None:
@@ -184,38 +185,28 @@ class Writer(DataSourceArrowWriter):
             vec = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(self.half)
             data = io.BytesIO()
             np.savez(data, row_id=tbl["row_id"].to_numpy().astype(np.int64), vec=vec)
-            name = f"{path}/_part-{uuid.uuid4().hex}.npz"
+            name = f"{path}/{self.job}/part-{uuid.uuid4().hex}.npz"
             with system.open_output_stream(name) as f:
                 f.write(data.getvalue())
             made.append(name)
 
-        try:
-            for batch in batches:
-                held.append(batch)
-                while sum(b.num_rows for b in held) >= self.rows:
-                    tbl = pa.Table.from_batches(held)
-                    flush(tbl.slice(0, self.rows))
-                    held = tbl.slice(self.rows).to_batches()
-            if sum(b.num_rows for b in held):
-                flush(pa.Table.from_batches(held))
-        except BaseException:
-            for name in made:
-                system.delete_file(name)
-            raise
+        for batch in batches:
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= self.rows:
+                tbl = pa.Table.from_batches(held)
+                flush(tbl.slice(0, self.rows))
+                held = tbl.slice(self.rows).to_batches()
+        if sum(b.num_rows for b in held):
+            flush(pa.Table.from_batches(held))
         return Made(made)
 
     def commit(self, messages: list[Made | None]) -> None:
-        system, _ = storage.at(self.path)
-        for m in messages:
-            for name in m.files if m else ():
-                folder, _, base = name.rpartition("/")
-                system.move(name, f"{folder}/{base[1:]}")
+        system, path = storage.at(self.path)
+        storage.settle(system, {name: f"{path}/{name.rpartition('/')[2]}" for m in messages if m for name in m.files})
+        storage.remove(f"{self.path}/{self.job}")
 
     def abort(self, messages: list[Made | None]) -> None:
-        system, _ = storage.at(self.path)
-        for m in messages:
-            for name in m.files if m else ():
-                system.delete_file(name)
+        storage.remove(f"{self.path}/{self.job}")
 
 
 class Matrices(DataSource):

@@ -136,7 +136,8 @@ class Files(WriterCommitMessage):
 
 class Sink(DataSourceArrowWriter):
     def __init__(self, options: dict) -> None:
-        self.path, self.overwrite = options["path"], options.get("overwrite") == "true"
+        # Made once, in the driver, and the same in every task.
+        self.path, self.job = options["path"], f"_{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Files:
         system, path = storage.at(self.path)
@@ -151,32 +152,25 @@ class Sink(DataSourceArrowWriter):
             rows.sort(key=lambda r: (r["rank"] is None, r["rank"]))
             out.wrong += [(name, *p) for p in problems(name, rows, rows[0]["events"])]
             if not out.wrong:
-                hidden = f"{path}/_{uuid.uuid4().hex}"
-                system.create_dir(path, recursive=True)
+                hidden = f"{path}/{self.job}/{uuid.uuid4().hex}"
+                system.create_dir(f"{path}/{self.job}", recursive=True)
                 with system.open_output_stream(hidden) as f:
                     f.write(to_csv(rows))
                 out.written[hidden] = f"{path}/{name}.csv"
         return out
 
-    def _clear(self, messages: list[Files | None]) -> None:
-        system, _ = storage.at(self.path)
-        for m in messages:
-            for hidden in m.written if m else ():
-                system.delete_file(hidden)
-
     def commit(self, messages: list[Files | None]) -> None:
         system, _ = storage.at(self.path)
         wrong = [w for m in messages if m for w in m.wrong]
-        finals = [f for m in messages if m for f in m.written.values()]
-        if wrong or len(finals) != len(set(finals)):
-            self._clear(messages)
+        files = {hidden: final for m in messages if m for hidden, final in m.written.items()}
+        if wrong or len(files) != len(set(files.values())):
+            storage.remove(f"{self.path}/{self.job}")
             raise ValueError(f"nothing written: {wrong[:20] or 'the rows of a file are in several tasks'}")
-        for m in messages:
-            for hidden, final in m.written.items() if m else ():
-                system.move(hidden, final)
+        storage.settle(system, files)
+        storage.remove(f"{self.path}/{self.job}")
 
     def abort(self, messages: list[Files | None]) -> None:
-        self._clear(messages)
+        storage.remove(f"{self.path}/{self.job}")
 
 
 class Submission(DataSource):

@@ -247,3 +247,45 @@ def test_a_stopped_log_stream_goes_on_to_the_batch_result(spark, tmp_path):
     assert now(places[1]) == batch()
     logs.fold(spark, places[1], f"file://{tmp_path}/folded", "row_id", "caption")
     assert now(f"file://{tmp_path}/folded") == batch()
+
+
+# --- small files ---
+
+
+def test_small_files_all_or_none(spark, tmp_path):
+    from frameseek.sources import blobs
+
+    make = lambda rows: spark.createDataFrame(rows, "path string, content string").repartition(3)
+    blobs.write(make([("a/b/x.txt", "é"), ("a/y", None), ("z.csv", "1,2")]), f"file://{tmp_path}/out")
+    seen = {os.path.relpath(os.path.join(d, f), tmp_path / "out"): open(os.path.join(d, f), encoding="utf-8").read() for d, _, some in os.walk(tmp_path / "out") for f in some}
+    assert seen == {"a/b/x.txt": "é", "a/y": "", "z.csv": "1,2"}
+    for bad in ([("a", "1"), ("a", "2")], [("ok", "1"), ("../up", "2")], [("ok", "1"), (None, "2")], [("ok", "1"), ("_x", "2")]):
+        with pytest.raises(Exception):
+            blobs.write(make(bad), f"file://{tmp_path}/bad")
+        # A task that was still at work may leave something in the job's own folder, which nothing lists.
+        assert [f for f in os.listdir(tmp_path / "bad") if f[0] != "_"] == [] if os.path.exists(tmp_path / "bad") else True
+
+
+def test_detections_stop_at_the_first_low_score(spark, tmp_path):
+    rows = {
+        "a": {"detection_scores": [0.9, 0.3, 0.8], "detection_class_entities": ["Car", "Bus", "Man"], "detection_boxes": [[0, 0, 1, 1]] * 3},
+        "b": {"detection_scores": [0.9, 0.5], "detection_class_entities": ["Car"]},
+        "c": {"detection_class_entities": ["Car"]},
+        "d": {"detection_scores": [0.1]},
+        "e": {"detection_scores": [0.7, None, 0.6]},
+    }
+    (tmp_path / "v").mkdir()
+    for name, r in rows.items():
+        (tmp_path / "v" / f"{name}.json").write_text(json.dumps(r))
+    (tmp_path / "v" / "cut.json").write_text('{"detection_scores": [0.9')
+    (tmp_path / "v" / "empty.json").write_text("")
+    got = sorted((os.path.basename(r.path)[0], r.pos, r.label, r.score, r.box) for r in files.detections(spark, f"file://{tmp_path}", 0.5).collect())
+    assert got == [("a", 0, "Car", 0.9, [0.0, 0.0, 1.0, 1.0]), ("b", 0, "Car", 0.9, None), ("b", 1, None, 0.5, None), ("e", 0, None, 0.7, None)]
+
+
+def test_coverage_counts_assets_by_group(spark, tmp_path):
+    for path in ("v/L01_V001.mp4", "c/L01_V001.csv", "c/L01_V002.CSV", "k/L02_V0001/001.jpg", "k/L02_V0001/002.jpg", "n/notes.txt", "c/other.csv"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    found = files.discover(spark, f"file://{tmp_path}")
+    assert sorted(tuple(r) for r in files.coverage(found).select("grp", "videos", "csv", "video", "keyframe_dir").collect()) == [("L01", 2, 2, 1, 0), ("L02", 1, 0, 0, 1)]
