@@ -1,4 +1,7 @@
-"""Tables that several readers share: written once to the checkpoint folder, so losing an executor loses none of them."""
+"""Tables that several readers share: written once to the checkpoint folder, so losing an executor loses none of them.
+
+With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes a table once nothing refers to it.
+"""
 
 from __future__ import annotations
 
