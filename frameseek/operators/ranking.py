@@ -84,3 +84,31 @@ def score_fusion(lists: list[DataFrame], weights: list[float], how: str = "minma
         gap = F.coalesce("least", F.lit(0.0)) if fill == "min" else F.lit(0.0)
         out = out.select("qid", "row_id", (F.col("raw") + w * F.coalesce("norm", gap)).alias("raw"))
     return out.select("qid", "row_id", F.round("raw", 6).alias("score"))
+
+
+def rerank(df: DataFrame, head: int, how: str, weight: float = 1.0) -> DataFrame:
+    """A ranked list with ``ext``, an external score or null, re-ranked in place: of the first ``head`` rows those that
+    have one trade places among themselves, all others keep theirs.
+
+    ``replace`` orders them by the external score, ``rrf`` by reciprocal ranks of both orders, ``multiply`` by the
+    score times 1 + weight * the external score (0 to 1 within the question; 0.5 where all are equal), and ``lift`` likewise by
+    what of that is above its middle. Equal ones keep their order.
+    """
+    w = Window.partitionBy("qid")
+    scored = df.where((F.col("rank") <= head) & F.col("ext").isNotNull())
+    if how == "replace":
+        key = F.col("ext")
+    elif how == "rrf":
+        scored = rank(scored, ["qid"], F.desc("ext"), F.col("rank"), name="_h")
+        key = 1.0 / (RRF_K + F.col("rank")) + weight / (RRF_K + F.col("_h"))
+    elif how in ("multiply", "lift"):
+        lo, hi = F.min("ext").over(w), F.max("ext").over(w)
+        unit = F.when(hi - lo < 1e-9, 0.5).otherwise((F.col("ext") - lo) / (hi - lo))
+        key = F.col("score") * (1.0 + weight * (unit if how == "multiply" else F.greatest(unit - 0.5, F.lit(0.0)) * 2))
+    else:
+        raise ValueError(f"no way to rerank: {how!r}")
+    scored = scored.withColumn("_key", F.round(key, 9))
+    by_key = rank(scored, ["qid"], F.desc("_key"), F.col("rank"), name="_o").select(*[c for c in df.columns if c != "rank"], "_o")
+    places = rank(scored, ["qid"], F.col("rank"), name="_o").select("qid", "_o", "rank")
+    kept = df.where((F.col("rank") > head) | F.col("ext").isNull())
+    return by_key.join(places, ["qid", "_o"]).select(*df.columns).union(kept)

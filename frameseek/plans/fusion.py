@@ -173,6 +173,42 @@ def external_multiply(t: Tables) -> DataFrame:
     return x.select("qid", "row_id", F.round(F.col("score") * F.when(lo == hi, 0.5).otherwise((F.col("ext") - lo) / (hi - lo)), 4).alias("score"))
 
 
+def _rerank_sql(key: str) -> str:
+    """Rows 1 to 60 whose id is no multiple of three trade places by ``key``."""
+    return f"""WITH {LISTS}, x AS (SELECT qid, row_id, rank, score, CASE WHEN row_id % 3 <> 0 THEN (row_id * 37 % 101) / 100.0::DOUBLE END AS ext FROM l1), h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ext DESC, rank) AS h, min(ext) OVER (PARTITION BY qid) AS lo, max(ext) OVER (PARTITION BY qid) AS hi FROM x WHERE rank <= 60 AND ext IS NOT NULL),
+k AS (SELECT *, round({key}, 9) AS k FROM h), o AS (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY k DESC, rank) AS o FROM k), p AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS o FROM k)
+SELECT qid, row_id, rank FROM o JOIN p USING (qid, o) UNION ALL SELECT qid, row_id, rank FROM x WHERE rank > 60 OR ext IS NULL"""
+
+
+def _reranked(t: Tables, how: str, weight: float) -> DataFrame:
+    ext = F.when(F.col("row_id") % 3 != 0, F.col("row_id") * 37 % 101 / 100.0)
+    x = lists(t)[0].withColumn("ext", ext).select("qid", "row_id", "rank", "score", "ext")
+    return ranking.rerank(x, 60, how, weight).select("qid", "row_id", "rank")
+
+
+@query("R13_external_replace", _rerank_sql("ext"))
+def external_replace(t: Tables) -> DataFrame:
+    return _reranked(t, "replace", 1.0)
+
+
+@query("R13_external_rrf", _rerank_sql("1.0::DOUBLE / (60 + rank) + 2.0::DOUBLE / (60 + h)"))
+def external_rrf(t: Tables) -> DataFrame:
+    return _reranked(t, "rrf", 2.0)
+
+
+UNIT = "CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE (ext - lo) / (hi - lo) END"
+
+
+@query("R13_external_boost", _rerank_sql(f"score * (1 + 0.5 * ({UNIT}))"))
+def external_boost(t: Tables) -> DataFrame:
+    return _reranked(t, "multiply", 0.5)
+
+
+@query("R13_external_lift", _rerank_sql(f"score * (1 + 0.5 * (greatest({UNIT} - 0.5, 0) * 2))"))
+def external_lift(t: Tables) -> DataFrame:
+    return _reranked(t, "lift", 0.5)
+
+
 @query("R15_R16_promote_only", f"WITH {LISTS}, x AS (SELECT qid, row_id, rank, (row_id * 37 % 101) / 100.0 AS ext FROM l1) SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY -greatest(0, round(ext - 0.8, 6)), rank) AS pos FROM x")
 def promote(t: Tables) -> DataFrame:
     x = _external(lists(t)[0])

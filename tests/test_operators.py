@@ -200,3 +200,22 @@ def test_bm25_over_sizes_of_the_asked_vocabulary(spark, monkeypatch):
 
     want = {(q, i): s for q, words in {1: ["b", "c", "b_c"], 4: ["b", "b_b"]}.items() for i, s in score(words).items()}
     assert broadcast == pytest.approx(want) and shuffled == pytest.approx(want)
+
+
+@pytest.mark.parametrize("how", ["replace", "rrf", "multiply", "lift"])
+def test_reranking_in_place(spark, how):
+    from frameseek.operators import ranking
+
+    # Rows 0 to 11 by rank; the first five and one beyond the head have an external score, reversed.
+    ext = {0: 0.1, 1: 0.2, 2: 0.3, 3: 0.4, 4: 0.5, 11: 9.0}
+    rows = frame(spark, [("q", i, 12.0 - i, i + 1, ext.get(i)) for i in range(12)] + [("r", 1, 5.0, 1, None), ("r", 2, 4.0, 2, 0.7), ("s", 1, 5.0, 1, 0.5), ("s", 2, 4.0, 2, 0.5)], "qid string, row_id long, score double, rank int, ext double")
+    got = {}
+    for r in ranking.rerank(rows, 6, how, 3.0).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.row_id
+    order = [got["q"][i] for i in range(1, 13)]
+    unit = {i: (ext[i] - 0.1) / 0.4 for i in range(5)}
+    key = {"replace": lambda i: ext[i], "rrf": lambda i: 1 / (61 + i) + 3 / (65 - i), "multiply": lambda i: (12 - i) * (1 + 3 * unit[i]), "lift": lambda i: (12 - i) * (1 + 3 * max(unit[i] - 0.5, 0) * 2)}[how]
+    assert order[:5] == sorted(range(5), key=lambda i: (-round(key(i), 9), i)) and order[5:] == list(range(5, 12))
+    assert got["r"] == {1: 1, 2: 2} and got["s"] == {1: 1, 2: 2}
+    with pytest.raises(ValueError):
+        ranking.rerank(rows, 6, "other")
