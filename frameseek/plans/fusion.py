@@ -83,16 +83,25 @@ def best_per_video(t: Tables) -> DataFrame:
     return best(t)
 
 
-@query("R6_context_bonus", f"WITH {BEST} SELECT x.video_id, x.i, round(x.s + 0.3 * coalesce(p.s, 0) + 0.3 * coalesce(n.s, 0), 6) AS score FROM ev x LEFT JOIN ev p ON p.video_id = x.video_id AND p.i = x.i - 1 LEFT JOIN ev n ON n.video_id = x.video_id AND n.i = x.i + 1")
-def context_bonus(t: Tables) -> DataFrame:
+BONUS = "bonus AS (SELECT x.video_id, x.i, x.s + 0.3 * coalesce(p.s, 0) + 0.3 * coalesce(n.s, 0) AS score FROM ev x LEFT JOIN ev p ON p.video_id = x.video_id AND p.i = x.i - 1 LEFT JOIN ev n ON n.video_id = x.video_id AND n.i = x.i + 1)"
+
+
+def _bonus(t: Tables) -> DataFrame:
+    """Best scores of a video with a share of those for the event before and after."""
     w = Window.partitionBy("video_id").orderBy("i").rangeBetween(-1, -1)
     v = Window.partitionBy("video_id").orderBy("i").rangeBetween(1, 1)
-    return best(t).select("video_id", "i", F.round(F.col("s") + 0.3 * F.coalesce(F.max("s").over(w), F.lit(0.0)) + 0.3 * F.coalesce(F.max("s").over(v), F.lit(0.0)), 6).alias("score"))
+    return best(t).select("video_id", "i", (F.col("s") + 0.3 * F.coalesce(F.max("s").over(w), F.lit(0.0)) + 0.3 * F.coalesce(F.max("s").over(v), F.lit(0.0))).alias("score"))
+
+
+@query("R6_context_bonus", f"WITH {BEST}, {BONUS} SELECT video_id, i, round(score, 6) AS score FROM bonus")
+def context_bonus(t: Tables) -> DataFrame:
+    return _bonus(t).withColumn("score", F.round("score", 6))
 
 
-@query("R7_soft_chain_videos", f"WITH {BEST} SELECT video_id, round(sum(s), 6) AS score FROM ev GROUP BY video_id")
+@query("R7_soft_chain_videos", f"WITH {BEST}, {BONUS} SELECT video_id, round(sum(score), 6) AS score FROM bonus GROUP BY video_id")
 def soft_chain(t: Tables) -> DataFrame:
-    return best(t).groupBy("video_id").agg(F.round(F.sum("s"), 6).alias("score"))
+    """The sum over events of a video's best scores with their bonus; a video that lacks an event stays."""
+    return _bonus(t).groupBy("video_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 @query("R8_J17_hard_chain_videos", f"WITH {BEST} SELECT video_id, round(sum(s), 6) AS score FROM ev GROUP BY video_id HAVING count(DISTINCT i) = 3")
