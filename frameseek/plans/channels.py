@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameseek.functions import text as tx
-from frameseek.functions.tokens import CHARS
+from frameseek.functions.tokens import CHARS, EXACT, FOLDED
 from frameseek.operators import bm25, dense, greedy, ranking
 from frameseek.operators.staging import staged
 from frameseek.plans.registry import FRAMES, Tables, query
@@ -360,7 +360,9 @@ GRAM_SQL = f"WITH dt AS (SELECT p_partkey AS id, {GRAMS.replace('text', 'p_name'
 
 @query("T12_char_ngram_bm25", f"{GRAM_SQL} {_rank_docs('b', 5)}")
 def char_ngrams(t: Tables) -> DataFrame:
-    return _text_top(bm25.scores(t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")), t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text")), CHARS), 5)
+    """Names repeat: each is scored once, for all parts that ask it and all that have it."""
+    parts = t.part.select(F.col("p_partkey").cast("long").alias("doc_id"), F.col("p_name").alias("text"))
+    return bm25.top_k_of_texts(parts, parts.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), 5, [CHARS], [1.0])
 
 
 # --- Labels -------------------------------------------------------------------------
