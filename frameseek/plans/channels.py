@@ -333,9 +333,13 @@ def bm25_topk(t: Tables) -> DataFrame:
     return _text_top(bm25.scores(t.documents, _asked_texts(t)), 10)
 
 
+def _dual(t: Tables, k: int) -> DataFrame:
+    return bm25.top_k(t.documents.select("doc_id", "text"), _asked_texts(t), k, [EXACT, FOLDED], [0.5, 0.5])
+
+
 @query("T8_dual_index", f"WITH {DUAL} {_rank_docs('dual', 10)}")
 def dual_index(t: Tables) -> DataFrame:
-    return _text_top(bm25.dual_scores(t.documents, _asked_texts(t)), 10)
+    return ranking.top(_dual(t, 10), 10, key="doc_id")
 
 
 @query("T9_text_channel_cap", f"WITH {DUAL}, r AS ({_rank_docs('dual', 100)}), c AS (SELECT r.*, d.source AS video_id, row_number() OVER (PARTITION BY qid, d.source ORDER BY rank) AS n FROM r JOIN documents d USING (doc_id)) SELECT qid, doc_id AS row_id, video_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS rank FROM c WHERE n <= 2")
