@@ -344,7 +344,7 @@ def dual_index(t: Tables) -> DataFrame:
 
 @query("T9_text_channel_cap", f"WITH {DUAL}, r AS ({_rank_docs('dual', 100)}), c AS (SELECT r.*, d.source AS video_id, row_number() OVER (PARTITION BY qid, d.source ORDER BY rank) AS n FROM r JOIN documents d USING (doc_id)) SELECT qid, doc_id AS row_id, video_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS rank FROM c WHERE n <= 2")
 def text_channel(t: Tables) -> DataFrame:
-    top = _text_top(bm25.dual_scores(t.documents, _asked_texts(t)), 100).join(t.documents.select("doc_id", F.col("source").alias("video_id")), "doc_id")
+    top = ranking.top(_dual(t, 100), 100, key="doc_id").join(t.documents.select("doc_id", F.col("source").alias("video_id")), "doc_id")
     return ranking.cap(top.select("qid", F.col("doc_id").alias("row_id"), "video_id", "score", "rank"), 2)
 
 
