@@ -469,7 +469,7 @@ def flagship(t: Tables) -> DataFrame:
     v = _vectors(t)
     asked = v.join(t.benchmark.select(F.col("item_id").alias("row_id")), "row_id", "left_semi").withColumnRenamed("row_id", "qid")
     a = dense.top_k(v, asked, 100).join(v.select("row_id", F.col("label").cast("string").alias("video_id")), "row_id")
-    b = _text_top(bm25.dual_scores(t.documents, _asked_texts(t)), 100).join(t.documents.select("doc_id", F.col("source").alias("video_id")), "doc_id").withColumnRenamed("doc_id", "row_id")
+    b = ranking.top(_dual(t, 100), 100, key="doc_id").join(t.documents.select("doc_id", F.col("source").alias("video_id")), "doc_id").withColumnRenamed("doc_id", "row_id")
     return ranking.cap(ranking.rrf([x.select("qid", "row_id", "video_id", "score", "rank") for x in (a, b)], [1.0, 0.5]), 20, 100)
 
 
