@@ -42,7 +42,8 @@ def fold_full(c: Column) -> Column:
 
 
 def has_diacritic(c: Column) -> Column:
-    return F.lower(c).rlike(f"[{_MARKED}]|\\p{{Mn}}")
+    """Whether folding changes it; a pattern with all marked letters tries them one after the other at each character."""
+    return fold_marks(c) != F.lower(c)
 
 
 def phrases(c: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameseek.functions.tokens import CHARS, EXACT, FOLDED
-from frameseek.operators import bm25, ranking
+from frameseek.operators import accents, bm25, ranking
 
 
 def said(rng, n):
@@ -47,3 +47,16 @@ def test_only_the_best_of_a_task_leave_it(spark, monkeypatch):
         assert rows.count() <= 7 * 20 * rows.rdd.getNumPartitions() < bm25.dual_scores(docs, asked).count()
     none = docs.where("doc_id < 0")
     assert bm25.top_k(none, asked, 7, [EXACT], [1.0]).count() == 0 == bm25.top_k(docs, asked.where("qid < 0"), 7, [EXACT], [1.0]).count()
+
+
+def test_a_phrase_leaves_a_task_once(spark):
+    """The dictionary's shuffle has a row a distinct phrase and task, however often it occurs."""
+    docs = spark.createDataFrame([(i, "Phở bò. phở bò, và phở BÒ ngon é") for i in range(400)] + [(None, "Phở"), (900, None), (901, "plain")], "doc_id long, text string").repartition(2)
+    book = accents.dictionary(docs)
+    book.write.format("noop").mode("overwrite").save()
+    plan = book._jdf.queryExecution().toString()
+    assert "Generate" not in plan  # no row a position
+    rows = {r.folded: r.accented for r in book.collect()}
+    assert rows["pho"] == "Phở" and rows["pho bo"] == "Phở bò" and "plain" not in rows and "e" not in rows
+    keyed = accents.dictionary(docs.select(F.struct("doc_id").alias("doc_id"), "text"))
+    assert keyed.count() == len(rows)
