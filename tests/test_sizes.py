@@ -60,3 +60,12 @@ def test_a_phrase_leaves_a_task_once(spark):
     assert rows["pho"] == "Phở" and rows["pho bo"] == "Phở bò" and "plain" not in rows and "e" not in rows
     keyed = accents.dictionary(docs.select(F.struct("doc_id").alias("doc_id"), "text"))
     assert keyed.count() == len(rows)
+
+
+def test_restoring_joins_the_dictionary_once(spark):
+    docs = spark.createDataFrame([(1, "Phở bò ngon"), (2, "bọ ngòn và")], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, "pho bo ngon, VA bo"), (1, "x"), (2, None), (3, "")], "doc_id long, text string")
+    done = accents.restore(texts, accents.dictionary(docs))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # no rounds over rows a position
+    assert sorted(repr(r.restored) for r in done.collect()) == ["''", "'Phở bò ngon, và bò'", "'x'", "None"]
