@@ -1,19 +1,26 @@
 """Texts packed into chunks under a token budget, each distinct word counted once.
 
-The words of all texts go into one table by text and position; its distinct words are counted
-for themselves and the counts are joined back. Packing is a fold over a text's counts: a word that
-would exceed the budget begins the next chunk. Counting words one by one is never less than a
+Texts are dealt into blocks. A block's distinct words meet the distinct words of all texts, which are
+counted for themselves, and the counts go back to the block: a row a block and word, none a position.
+Packing is a fold over a text's counts: a word that would exceed the budget begins the next chunk. Counting words one by one is never less than a
 tokenizer makes of the joined chunk, as far as it keeps word ends.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from frameseek.operators.staging import staged
+WORD = re.compile(r"[^ \t\n\x0B\f\r]+")
+#: Characters in one block of texts.
+BLOCK_CHARS = 4_000_000
 
 
 def by_length(word: Column) -> Column:
@@ -36,15 +43,34 @@ def counted(words: DataFrame, count: Callable[[Column], Column] | Callable[[Data
     return words.join(table, "word")
 
 
-def starts(counts: Column, budget: int) -> Column:
-    """Positions, from 1, of the words that begin a chunk, by a fold over the counts; a word over the budget is a chunk."""
-    begin = F.struct(F.lit(0).alias("i"), F.lit(budget + 1).cast("long").alias("used"), F.array().cast("array<int>").alias("at"))
+def starts(counts: list[int], budget: int) -> list[int]:
+    """Positions of the words that begin a chunk, by a fold over the counts; a word over the budget is a chunk."""
+    at, used = [], budget + 1
+    for i, n in enumerate(counts):
+        used += n
+        if used > budget:
+            at.append(i)
+            used = n
+    return at
 
-    def step(s: Column, n: Column) -> Column:
-        over = s["used"] + n > budget
-        return F.struct((s["i"] + 1).alias("i"), F.when(over, n).otherwise(s["used"] + n).alias("used"), F.when(over, F.concat(s["at"], F.array(s["i"] + 1))).otherwise(s["at"]).alias("at"))
 
-    return F.aggregate(counts, begin, step, lambda s: s["at"])
+def _packed(budget: int, schema: pa.Schema):
+    """A block's texts (id, text, block) and its words' counts (home, word, tokens) to chunks."""
+
+    def block(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        tokens = dict(zip(counts.column("word").to_pylist(), counts.column("tokens").to_pylist()))
+        place, rows = [], []
+        for i, text in enumerate(texts.column("text").to_pylist()):
+            words = WORD.findall(text)
+            own = [tokens[w] for w in words]
+            at = starts(own, budget)
+            for chunk, (a, z) in enumerate(zip(at, [*at[1:], len(words)])):
+                place.append(i)
+                rows.append((chunk, z - a, sum(own[a:z]), " ".join(words[a:z])))
+        columns = zip(*rows) if rows else ([],) * 4
+        return pa.Table.from_arrays([texts.column("id").take(pa.array(place, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:]))], schema=schema)
+
+    return block
 
 
 def pack(texts: DataFrame, budget: int = 64, count=by_length, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,12 +78,13 @@ def pack(texts: DataFrame, budget: int = 64, count=by_length, id_col: str = "doc
 
     Rows of one id are texts each.
     """
-    rows = texts.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("w"))
-    words = staged(rows.select("id", "row", F.posexplode("w").alias("at", "word")))
-    lists = counted(words, count).groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("at", "word", "tokens"))).alias("w"))
-    begun = lists.select("id", "w", starts(F.transform("w", lambda x: x["tokens"]), budget).alias("at"))
-    cuts = begun.select("id", "w", "at", F.posexplode("at").alias("chunk", "a"))
-    part = F.slice("w", F.col("a"), F.coalesce(F.get("at", F.col("chunk") + 1), F.size("w") + 1) - F.col("a"))
-    cuts = cuts.select(F.col("id").alias(id_col), "chunk", part.alias("p"))
-    total = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
-    return cuts.select(id_col, "chunk", F.size("p").alias("words"), total.alias("tokens"), F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("chunk_text"))
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    blocks = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition("block")
+    # Texts lie by blocks already, so a block's distinct words are found where it lies.
+    words = dealt.select("block", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct()
+    counts = counted(words, count).select(F.col("block").alias("home"), "word", "tokens")
+    kind = rows.schema["id"].dataType
+    shape = to_arrow_schema(StructType([StructField("id", kind), StructField("chunk", IntegerType()), StructField("words", IntegerType()), StructField("tokens", LongType()), StructField("chunk_text", StringType())]))
+    done = dealt.groupBy("block").cogroup(counts.groupBy("home")).applyInArrow(_packed(budget, shape), f"id {kind.simpleString()}, chunk int, words int, tokens long, chunk_text string")
+    return done.withColumnRenamed("id", id_col)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameseek.functions.tokens import CHARS, EXACT, FOLDED
-from frameseek.operators import accents, bm25, ranking
+from frameseek.operators import accents, bm25, chunks, ranking
 
 
 def said(rng, n):
@@ -69,3 +69,16 @@ def test_restoring_joins_the_dictionary_once(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan  # no rounds over rows a position
     assert sorted(repr(r.restored) for r in done.collect()) == ["''", "'Phở bò ngon, và bò'", "'x'", "None"]
+
+
+def test_words_meet_their_counts_by_block(spark):
+    """A row a block and word, not a position, and the blocks' size changes no chunk."""
+    docs = spark.createDataFrame([(i % 30, f"a bb ccc {i % 7} dddddddd\x0b " * 20) for i in range(100)] + [(7, None), (8, " ")], "doc_id int, text string").repartition(3)
+    got = []
+    for size in (4_000_000, 500):
+        chunks.BLOCK_CHARS = size
+        done = chunks.pack(docs, 9)
+        assert "posexplode" not in done._jdf.queryExecution().toString()
+        got.append(sorted(map(tuple, done.collect())))
+    chunks.BLOCK_CHARS = 4_000_000
+    assert got[0] == got[1] and sum(len(r[4].split()) for r in got[0]) == 100 * 100
