@@ -1,12 +1,11 @@
 """Labels found in texts by phrases, and what stands above them in a hierarchy.
 
-Phrases are matched along the levels of a trie: a row of the text table meets the trie's first
-level by its token, and only what is the beginning of some phrase goes on to the next token. A
-match strictly inside a longer one goes, which a running maximum of ends decides without pairs;
-partial overlaps stay.
+The runs of up to four words of the texts meet the phrases in one join, so of a large dictionary no
+more than its phrases is shuffled. A match strictly inside a longer one goes, which a running maximum
+of ends decides without pairs; partial overlaps stay.
 
 The closure of a hierarchy is semi-naive: a round joins only the pairs that the last one found,
-and rounds are written to the checkpoint folder, so a cycle ends when nothing new comes.
+and each writes what it finds to the checkpoint folder, so a cycle ends when nothing new comes.
 """
 
 from __future__ import annotations
@@ -15,7 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameseek.functions import text as tx
-from frameseek.operators.staging import staged
+from frameseek.operators.staging import dropped, staged, written
+
+
+#: Rounds of a closure after which their pairs become one table: a plan names no more of them.
+ROUNDS = 16
 
 
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,12 +26,20 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``seeds`` has one column, seed. Null seeds and edges with a null end take no part; repeated rows count once.
     """
-    edges = staged(edges.select(F.col(edges.columns[0]).alias("child"), F.col(edges.columns[1]).alias("parent")).where("child is not null and parent is not null").distinct())
-    fresh = known = staged(seeds.toDF("seed").where("seed is not null").distinct().select("seed", F.col("seed").alias("node")))
+    edges = written(edges.select(F.col(edges.columns[0]).alias("child"), F.col(edges.columns[1]).alias("parent")).where("child is not null and parent is not null").distinct())
+    fresh = known = written(seeds.toDF("seed").where("seed is not null").distinct().select("seed", F.col("seed").alias("node")))
+    parts = [known]
     while not fresh.isEmpty():
         above = fresh.join(edges, F.col("node") == F.col("child")).select("seed", F.col("parent").alias("node")).distinct()
-        fresh = staged(above.join(known, ["seed", "node"], "left_anti"))
-        known = staged(known.union(fresh))
+        fresh = written(above.join(known, ["seed", "node"], "left_anti"))
+        # Pairs are written once, by the round that finds them.
+        known = known.union(fresh)
+        parts.append(fresh)
+        if len(parts) > ROUNDS:
+            known, fresh = written(known), written(fresh)
+            dropped(*parts)
+            parts = [known]
+    dropped(edges)
     return known
 
 
@@ -42,21 +53,12 @@ def matches(texts: DataFrame, phrases: DataFrame, most: int = 4) -> DataFrame:
 
     A phrase's words are joined by one space. A phrase of more words matches nothing.
     """
-    split = phrases.select(F.split("phrase", " ").alias("p")).where("phrase is not null").where(F.size("p").between(1, most)).distinct()
-    beginnings = split.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"))
-    trie = beginnings.groupBy("n", F.array_join(F.slice("p", F.lit(1), F.col("n")), " ").alias("begun")).agg(F.max(F.col("n") == F.size("p")).alias("whole"))
-    trie = staged(trie)
-    words = staged(texts.select("qid", F.posexplode("words").alias("at", "word")))
-    level = words.select("qid", F.col("at").alias("a"), F.col("word").alias("begun"))
-    found = None
-    for n in range(1, most + 1):
-        level = level.join(trie.where(F.col("n") == n).drop("n"), "begun")
-        whole = level.where("whole").select("qid", "a", (F.col("a") + (n - 1)).alias("z"), F.col("begun").alias("phrase"))
-        found = whole if found is None else found.union(whole)
-        if n < most:
-            after = words.select("qid", (F.col("at") - n).alias("a"), "word")
-            level = level.join(after, ["qid", "a"]).select("qid", "a", F.concat_ws(" ", "begun", "word").alias("begun"))
-    return found
+    known = phrases.select("phrase").where("phrase is not null").where(F.size(F.split("phrase", " ")).between(1, most)).distinct()
+    ahead = F.transform("words", lambda x, i: F.slice("words", i + 1, F.least(F.lit(most), F.size("words") - i)))
+    spots = texts.select("qid", F.posexplode(ahead).alias("a", "ahead"))
+    begun = F.transform("ahead", lambda x, i: F.struct(i.alias("i"), F.array_join(F.slice("ahead", F.lit(1), i + 1), " ").alias("phrase")))
+    runs = spots.select("qid", "a", F.explode(begun).alias("x")).select("qid", "a", (F.col("a") + F.col("x.i")).alias("z"), "x.phrase")
+    return runs.join(known, "phrase").select("qid", "a", "z", "phrase")
 
 
 def maximal(found: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def labels_of(texts: DataFrame, dictionary: DataFrame, parents: bool = True, mos
     asked = texts.where("text is not null").select("qid", plain.alias("plain"), F.when(plain, tx.fold_full(F.col("text"))).otherwise(F.lower("text")).alias("t"))
     asked = staged(asked.select("qid", "plain", tokens(F.col("t")).alias("words")))
     phrase = F.array_join(F.filter(F.split(F.lower(F.trim("phrase")), r"\s+"), lambda w: w != ""), " ")
-    named = staged(dictionary.where("phrase is not null and label is not null").select("label", phrase.alias("phrase")).distinct())
+    named = written(dictionary.where("phrase is not null and label is not null").select("label", phrase.alias("phrase")).distinct())
     out = None
     for folded in (False, True):
         d = named.select("label", tx.fold_full(F.col("phrase")).alias("phrase") if folded else F.col("phrase")).distinct()
@@ -86,5 +88,6 @@ def labels_of(texts: DataFrame, dictionary: DataFrame, parents: bool = True, mos
     if not parents:
         return out
     out = staged(out)
+    dropped(named)
     above = closure(out.select("label"), dictionary.select("label", "parent"))
     return out.join(above, F.col("label") == F.col("seed")).select("qid", F.col("node").alias("label")).distinct()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameseek.functions.tokens import CHARS, EXACT, FOLDED
-from frameseek.operators import accents, bm25, chunks, ranking
+from frameseek.operators import accents, bm25, chunks, hierarchy, ranking
 
 
 def said(rng, n):
@@ -82,3 +82,10 @@ def test_words_meet_their_counts_by_block(spark):
         got.append(sorted(map(tuple, done.collect())))
     chunks.BLOCK_CHARS = 4_000_000
     assert got[0] == got[1] and sum(len(r[4].split()) for r in got[0]) == 100 * 100
+
+
+def test_phrases_meet_texts_in_one_join(spark):
+    texts = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, [])], "qid int, words array<string>")
+    found = hierarchy.matches(texts, spark.createDataFrame([("a b",), ("b c a",), ("c",), ("a b c a b",), (None,)], "phrase string"))
+    assert found._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, "a b"), (1, 1, 3, "b c a"), (1, 2, 2, "c"), (1, 3, 4, "a b")]
