@@ -84,6 +84,16 @@ def test_words_meet_their_counts_by_block(spark):
     assert got[0] == got[1] and sum(len(r[4].split()) for r in got[0]) == 100 * 100
 
 
+def test_a_closure_writes_a_pair_once(spark, monkeypatch):
+    rows, write = [], hierarchy.written
+    monkeypatch.setattr(hierarchy, "written", lambda df: rows.append((out := write(df)).count()) or out)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, 0)], "child int, parent int")
+    got = hierarchy.closure(spark.createDataFrame([(0,), (3,)], "seed int"), edges)
+    assert got.count() == 14 and sum(rows) == 7 + 14
+    monkeypatch.setattr(hierarchy, "ROUNDS", 2)
+    assert sorted(hierarchy.closure(spark.createDataFrame([(0,), (3,)], "seed int"), edges).collect()) == sorted(got.collect())
+
+
 def test_phrases_meet_texts_in_one_join(spark):
     texts = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, [])], "qid int, words array<string>")
     found = hierarchy.matches(texts, spark.createDataFrame([("a b",), ("b c a",), ("c",), ("a b c a b",), (None,)], "phrase string"))
