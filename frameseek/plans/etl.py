@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameseek.operators import master
-from frameseek.operators.staging import folder, staged
+from frameseek.operators.staging import dropped, folder, staged
 from frameseek.plans.fusion import LISTS, RRF, fused
 from frameseek.plans.registry import Tables, query
 from frameseek.sources import blobs, files, matrices, storage, submission
@@ -150,7 +150,9 @@ def discovery(t: Tables) -> DataFrame:
 @query("S2_asset_coverage", f"WITH {TREE} SELECT split_part(video_id, '_', 1) AS grp, count(*) AS videos, count(*) FILTER (WHERE clip) AS clip, count(*) FILTER (WHERE csv) AS csv, count(*) FILTER (WHERE keyframe_dir) AS keyframe_dir, count(*) FILTER (WHERE object_dir) AS object_dir, count(*) FILTER (WHERE video) AS video FROM x WHERE csv OR video OR clip OR keyframe_dir OR object_dir GROUP BY grp")
 def asset_coverage(t: Tables) -> DataFrame:
     place = _tree(t)
-    out = staged(files.coverage(files.discover(t.spark, place)))
+    found = files.discover(t.spark, place)
+    out = staged(files.coverage(found))
+    dropped(found)
     storage.remove(place)
     return out
 

@@ -2,20 +2,78 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VIDEO_ID = r"(L\d{2}_V\d{3,4})"
+from frameseek.operators.staging import dropped, written
+from frameseek.sources import storage
+
+VIDEO_ID = r"(L\d{2}_V\d{3,})"
 #: Asset kinds by file extension.
 KINDS = {"mp4": "video", "csv": "csv", "json": "object_dir", "npy": "clip", "jpg": "keyframe_dir"}
 
 
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Path and whether it is a folder, of what a folder holds. A local one is read as it goes, another store's in one list."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as some:
+            yield from ((e.path, e.is_dir()) for e in some if e.name[0] not in "._")
+    else:
+        yield from ((i.path, i.type == fs.FileType.Directory) for i in system.get_file_info(fs.FileSelector(folder)) if i.base_name[0] not in "._")
+
+
+def _listing(uri: str, most: int = 10_000):
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = storage.at(uri)
+        rows = (e for batch in batches for folder in batch.column(0).to_pylist() for e in _entries(system, folder))
+        while some := list(islice(rows, most)):
+            paths, folders = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], names=["path", "folder"])
+
+    return listing
+
+
+def listed(spark: SparkSession, root: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(path) of all files below a folder, and the tables that hold them.
+
+    Tasks list folders, in rounds: each lists what the last one found, so no names are in the driver. Names that begin
+    with . or _ are passed over. A store that only Spark reaches, and a pattern of paths, is listed by Spark's driver.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    try:
+        system, top = storage.at(uri)
+        ours = system.get_file_info(top).type == fs.FileType.Directory
+    except (OSError, ValueError, NotImplementedError):
+        ours = False
+    if not ours:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path"), []
+    tables, level = [], spark.createDataFrame([(top,)], "path string")
+    while not level.isEmpty():
+        tables.append(written(level.mapInArrow(_listing(uri), "path string, folder boolean")))
+        level = tables[-1].where("folder").select("path").repartition(spark.sparkContext.defaultParallelism)
+    files = tables[0]
+    for t in tables[1:]:
+        files = files.union(t)
+    before = "file:" if isinstance(system, fs.LocalFileSystem) else uri.rstrip("/")
+    rest = "path" if isinstance(system, fs.LocalFileSystem) else F.expr(f"substr(path, {len(top.rstrip('/')) + 1})")
+    return files.where("not folder").select(F.concat(F.lit(before), rest).alias("path")), tables
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """One row a video with one path column for each kind of asset; only names are listed, no content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    """One row a video with one path column for each kind of asset; only names are listed, no content. ``dropped`` takes it away."""
+    files, tables = listed(spark, root)
     kind = F.element_at(F.create_map(*[F.lit(x) for p in KINDS.items() for x in p]), F.lower(F.element_at(F.split("path", r"\."), -1)))
     rows = files.select(F.regexp_extract("path", VIDEO_ID, 1).alias("video_id"), kind.alias("kind"), "path").where("video_id <> '' and kind is not null")
-    return rows.groupBy("video_id").pivot("kind", sorted(set(KINDS.values()))).agg(F.min("path"))
+    found = written(rows.groupBy("video_id").pivot("kind", sorted(set(KINDS.values()))).agg(F.min("path")))
+    dropped(*tables)
+    return found
 
 
 def coverage(assets: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Operators that must not make a row a pair, or a row a position, against their plain forms."""
 
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from frameseek.functions.tokens import CHARS, EXACT, FOLDED
 from frameseek.operators import accents, bm25, chunks, hierarchy, ranking
+from frameseek.sources import blobs, files, storage
 
 
 def said(rng, n):
@@ -99,3 +102,32 @@ def test_phrases_meet_texts_in_one_join(spark):
     found = hierarchy.matches(texts, spark.createDataFrame([("a b",), ("b c a",), ("c",), ("a b c a b",), (None,)], "phrase string"))
     assert found._jdf.queryExecution().analyzed().toString().count("Join") == 1
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, "a b"), (1, 1, 3, "b c a"), (1, 2, 2, "c"), (1, 3, 4, "a b")]
+
+
+def test_names_of_files_stay_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver neither lists nor moves the files; numbers of five digits are videos of their own."""
+    root = f"file://{tmp_path}/tree"
+    names = [f"{k}/L01_V{n}{e}" for n in ("001", "9999", "10000", "10001") for k, e in (("csv", ".csv"), ("keyframes", "/001.jpg"), ("keyframes", "/a/_b.jpg"))]
+    rows = spark.createDataFrame([(n.replace("_b", "b"),) for n in names], "path string").selectExpr("path", "'x' as content").repartition(3)
+    monkeypatch.setattr(storage, "settle", lambda *a: 1 / 0)  # the driver's own; tasks have the module's
+    blobs.write(rows, root)
+    monkeypatch.setattr(storage, "files", lambda *a: 1 / 0)
+    (tmp_path / "tree" / "_x").mkdir()
+    (tmp_path / "tree" / "_x" / "L09_V001.csv").write_text("x")
+    (tmp_path / "tree" / ".L08_V001.csv").write_text("x")
+    listed, tables = files.listed(spark, root)
+    assert "binaryFile" not in listed._jdf.queryExecution().toString() and len(tables) == 4
+    assert sorted(r.path for r in listed.collect()) == sorted(f"file:{tmp_path}/tree/{n}".replace("_b", "b") for n in names)
+    got = files._listing(root, 1)(iter([pa.RecordBatch.from_pydict({"path": [f"{tmp_path}/tree/csv", f"{tmp_path}/tree/keyframes"]})]))
+    assert [b.num_rows for b in got] == [1] * 8
+    found = files.discover(spark, root)
+    assert sorted(r.video_id for r in found.collect()) == ["L01_V001", "L01_V10000", "L01_V10001", "L01_V9999"]
+    assert found.where("csv is null or keyframe_dir is null").count() == 0
+
+
+def test_a_failed_move_takes_the_others_back(spark, tmp_path):
+    (tmp_path / "in the way.txt" / "x").mkdir(parents=True)
+    rows = spark.createDataFrame([(f"{i}.txt", "x") for i in range(20)] + [("in the way.txt", "x")], "path string, content string").repartition(4)
+    with pytest.raises(Exception):
+        blobs.write(rows, f"file://{tmp_path}")
+    assert [f for f in os.listdir(tmp_path) if f[0] != "_"] == ["in the way.txt"]
