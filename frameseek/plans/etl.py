@@ -143,6 +143,7 @@ def discovery(t: Tables) -> DataFrame:
     place = _tree(t)
     found = files.discover(t.spark, place)
     out = staged(found.select("video_id", *[F.col(k).isNotNull().alias(k) for k in sorted(set(files.KINDS.values()))]))
+    dropped(found)
     storage.remove(place)
     return out
 
