@@ -11,8 +11,10 @@ units lie in about sqrt(units) clusters, P(unit) = P(cluster) * P(unit in cluste
 step normalised exactly over its members by a batched matrix product, so the probabilities
 of all words, known or not, sum to 1. Both steps are trained in numpy with noise-contrastive
 estimation, the noise being the unigram frequencies of clusters, or of units in the target's
-cluster. Training trigrams are drawn evenly from all training tokens; their number grows
-with the square root of the corpus too, and so does what the driver receives.
+cluster. A start is trained on trigrams drawn evenly from all training tokens; then tasks
+pass once over every trigram of every training document, the noise by its expectation, and
+what they learnt is averaged row by row. A block's equal trigrams are learnt and scored as
+one with their number. What the driver receives grows with the square root of the corpus.
 
 Words of a text are maximal runs without ASCII white space, A-Z lower-cased; one end
 token follows. Defined results: a null text is the empty text (its end token only).
@@ -37,6 +39,10 @@ from frameseek.llm.common import Scratch, parts_for, prepare, total_chars
 OWN_RATE, DRAW_RATE = 2.0, 256.0
 #: Tokens whose scores are computed at once.
 CHUNK = 1 << 16
+#: Distinct trigrams in one step of the pass over all, and rows of the model averaged at once.
+BATCH, ROWS = 1 << 14, 4096
+#: Of the pass: speed, what AdaGrad has seen at first, noise a token; rows whose noise is in memory at once.
+RATE, SEEN, NOISE, STRETCH = 0.1, 1e-7, 8, 1 << 10
 #: Characters in one block of documents.
 BLOCK_CHARS = 16_000_000
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double, flag boolean"
@@ -192,28 +198,57 @@ class Model:
     size: int  # units in a cluster
 
     def log10(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Normalised log10 P(unit | two units before) of many tokens."""
+        """Normalised log10 P(unit | two units before) of many tokens; equal trigrams are scored once."""
+        two, one, unit, which = _distinct(two, one, unit, len(self.one))
         out = np.empty(len(unit))
         for at in range(0, len(unit), CHUNK):
-            u = unit[at : at + CHUNK]
-            p = self.one[one[at : at + CHUNK]] + self.two[two[at : at + CHUNK]]
-            home = u // self.size
-            total = _log_softmax(p @ self.clusters.T + self.cluster_bias, home)
-            order = np.argsort(home, kind="stable")
-            cuts = np.searchsorted(home[order], np.arange(len(self.clusters) + 1))
-            for c in np.flatnonzero(np.diff(cuts)).tolist():
-                rows, lo = order[cuts[c] : cuts[c + 1]], c * self.size
-                some = slice(lo, lo + self.size)
-                total[rows] += _log_softmax(p[rows] @ self.units[some].T + self.unit_bias[some], u[rows] - lo)
-            out[at : at + CHUNK] = total / np.log(10.0)
-        return out
-
-
-def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    s -= s.max(axis=1, keepdims=True)
-    chosen = s[np.arange(len(s)), at].astype(np.float64)
+            out[at : at + CHUNK] = self._logs(two[at : at + CHUNK], one[at : at + CHUNK], unit[at : at + CHUNK])
+        return (out / np.log(10.0))[which]
+
+    def _logs(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Of sorted trigrams: a context's clusters are summed once, and a cluster's units once a context."""
+        home = unit // self.size
+        new = _changes(two) | _changes(one)
+        pair = new | _changes(home)
+        context = np.cumsum(new) - 1
+        p = self.one[one[new]] + self.two[two[new]]
+        total = _log_sum(p @ self.clusters.T + self.cluster_bias)
+        of, at = context[pair], home[pair]
+        inside = np.empty(len(at), dtype=np.float32)
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(len(self.clusters) + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            rows, some = order[cuts[c] : cuts[c + 1]], slice(c * self.size, (c + 1) * self.size)
+            inside[rows] = _log_sum(p[of[rows]] @ self.units[some].T + self.unit_bias[some])
+        chosen = np.einsum("bd,bd->b", p[context], self.clusters[home] + self.units[unit]) + self.cluster_bias[home] + self.unit_bias[unit]
+        return chosen.astype(np.float64) - total[context] - inside[np.cumsum(pair) - 1]
+
+    def tables(self) -> dict[str, np.ndarray]:
+        """The parameters as tables of rows, without copies."""
+        return {"one": self.one, "two": self.two, "clusters": self.clusters, "cluster_bias": self.cluster_bias[:, None], "units": self.units, "unit_bias": self.unit_bias[:, None]}
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.ones(min(len(x), 1), dtype=bool), x[1:] != x[:-1]))
+
+
+def _distinct(two: np.ndarray, one: np.ndarray, unit: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams in order, and which of them each given one is."""
+    key = (two.astype(np.int64) * base + one) * base + unit
+    order = np.argsort(key)
+    key = key[order]
+    new = _changes(key)
+    which = np.empty(len(key), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    context, unit = np.divmod(key[new], base)
+    return *np.divmod(context, base), unit, which
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    most = s.max(axis=1, keepdims=True)
+    s -= most
     np.exp(s, out=s)
-    return chosen - np.log(s.sum(axis=1))
+    return np.log(s.sum(axis=1)) + most[:, 0]
 
 
 def _add(x: np.ndarray, past: np.ndarray, at: np.ndarray, d: np.ndarray, rate: float) -> None:
@@ -278,6 +313,113 @@ def nce(trigrams: np.ndarray, mass: np.ndarray, width: int = 24, noise: int = 8,
     return Model(r @ turn[0], r @ turn[1], qc, bias_c[:, 0], q, bias[:, 0], size)
 
 
+class Pass:
+    """A task's way through all its trigrams, from a model that all tasks share."""
+
+    def __init__(self, start: Model, mass: np.ndarray) -> None:
+        self.start, self.size = start, start.size
+        self.now = {k: x.copy() for k, x in start.tables().items()}
+        self.seen = {k: np.full(x.shape, SEEN, dtype=np.float32) for k, x in self.now.items()}
+        self.weight = {k: np.zeros(len(x)) for k, x in self.now.items()}
+        share = (mass + 0.5) / (mass + 0.5).sum()
+        of = np.arange(len(mass)) // self.size
+        self.p_home = np.bincount(of, weights=share, minlength=len(start.clusters)).astype(np.float32)
+        self.p_unit = (share / self.p_home[of]).astype(np.float32)
+        self.rng = np.random.default_rng(7)
+
+    def _head(self, p, weight, at, noise, names, rows) -> np.ndarray:
+        """Tell the true ones (columns ``at``, sorted) from noise, which all columns are by their share; the contexts' gradient comes back."""
+        x, bias = (self.now[k][rows] for k in names)
+        often = (NOISE * noise)[:, None]
+        base = bias - np.log(often)
+        width = p.shape[1]
+        back, d, both = np.empty_like(p), np.zeros((len(x), width + 1), dtype=np.float32), np.column_stack((p * weight[:, None], weight))
+        for lo in range(0, len(p), STRETCH):
+            some = slice(lo, lo + STRETCH)
+            g = p[some] @ -x.T
+            g -= base.T
+            np.minimum(g, 30, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            back[some] = g @ (x * often)
+            d += g.T @ both[some]
+        d *= often
+        back *= weight[:, None]
+        # The true ones: 1 / (1 + exp(s)) is what is missing.
+        true = -1 / (1 + np.exp(np.clip(np.einsum("bd,bd->b", p, x[at]) + base[at, 0], -30, 30)))
+        back += (true * weight)[:, None] * x[at]
+        first = np.flatnonzero(_changes(at))
+        d[at[first]] += np.add.reduceat(both * true[:, None], first, axis=0)
+        for k, part in zip(names, (d[:, :width], d[:, width:])):
+            self.seen[k][rows] += part * part
+            self.now[k][rows] -= RATE * part / np.sqrt(self.seen[k][rows])
+        return back
+
+    def learn(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray, count: np.ndarray) -> None:
+        """One step of AdaGrad a batch of distinct trigrams, each by its number."""
+        home = unit // self.size
+        for k, at in (("two", two), ("one", one), ("clusters", home), ("units", unit)):
+            self.weight[k] += np.bincount(at, weights=count, minlength=len(self.weight[k]))
+        order = self.rng.permutation(len(unit))
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
+            some = some[np.argsort(unit[some], kind="stable")]
+            t, o, u, h = two[some], one[some], unit[some], home[some]
+            weight = (count[some] / count[some].sum()).astype(np.float32)
+            p = self.now["one"][o] + self.now["two"][t]
+            back = self._head(p, weight, h, self.p_home, ("clusters", "cluster_bias"), slice(None))
+            cuts = np.searchsorted(h, np.arange(len(self.p_home) + 1))
+            for c in np.flatnonzero(np.diff(cuts)).tolist():
+                rows, members = slice(cuts[c], cuts[c + 1]), slice(c * self.size, (c + 1) * self.size)
+                back[rows] += self._head(p[rows], weight[rows], u[rows] - c * self.size, self.p_unit[members], ("units", "unit_bias"), members)
+            _add(self.now["one"], self.seen["one"], o, back, RATE)
+            _add(self.now["two"], self.seen["two"], t, back, RATE)
+
+    def learnt(self) -> Iterator[tuple[str, int, bytes, bytes]]:
+        """Rows' changes by the weight of what they were learnt from, and those weights."""
+        old = self.start.tables()
+        for k, x in self.now.items():
+            w = self.weight[k.replace("_bias", "s")] if k.endswith("_bias") else self.weight[k]
+            for lo in range(0, len(x), ROWS):
+                part = w[lo : lo + ROWS].astype(np.float32)
+                yield k, lo, ((x[lo : lo + ROWS] - old[k][lo : lo + ROWS]) * part[:, None]).astype(np.float32).tobytes(), part.tobytes()
+
+
+def _mean(tbl: pa.Table) -> pa.Table:
+    """The mean change of a stretch of rows, each task's by its weight."""
+    weight = sum(np.frombuffer(w, dtype=np.float32).astype(np.float64) for w in tbl.column("weight").to_pylist())
+    change = sum(np.frombuffer(d, dtype=np.float32).reshape(len(weight), -1).astype(np.float64) for d in tbl.column("data").to_pylist())
+    change /= np.maximum(weight, 1e-9)[:, None]
+    return pa.table({"name": tbl.column("name")[:1], "at": tbl.column("at")[:1], "data": pa.array([change.astype(np.float32).tobytes()], pa.binary())})
+
+
+def learn_all(joined: DataFrame, vocab: Vocabulary, model: Model, tasks: int) -> None:
+    """Passes once over every trigram of the training documents, in ``tasks`` tasks, and brings ``model`` to their mean."""
+    shared = joined.sparkSession.sparkContext.broadcast((vocab, model))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, m = shared.value
+        run = Pass(m, v.mass)
+        for batch in batches:
+            for docs, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block = wt.read_block(docs)
+                units, ends = _sequences(block, _slot_units(v, block, [wt.unpack(a)[0] for a in answers]), v.end, np.int64)
+                one, two = _histories(units, ends, block.lens, v.start)
+                use = np.repeat(block.flags, block.lens + 1)
+                two, one, units, which = _distinct(two[use], one[use], units[use], len(m.one))
+                run.learn(two, one, units, np.bincount(which, minlength=len(units)))
+        for name, at, data, weight in run.learnt():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([data], pa.binary()), pa.array([weight], pa.binary())], names=["name", "at", "data", "weight"])
+
+    rows = joined.select("docs", "answers").coalesce(tasks).mapInArrow(learn, "name string, at long, data binary, weight binary")
+    tables = model.tables()
+    for r in rows.groupBy("name", "at").applyInArrow(_mean, "name string, at long, data binary").collect():
+        x = tables[r["name"]]
+        x[r["at"] : r["at"] + ROWS] += np.frombuffer(r["data"], dtype=np.float32).reshape(-1, x.shape[1])
+    shared.unpersist()
+
+
 def score(docs: DataFrame, flag_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every whole text, learning from the rows where ``flag_col`` is true. Adds train_tokens."""
     spark = prepare(docs.sparkSession)
@@ -294,6 +436,8 @@ def score(docs: DataFrame, flag_col: str, id_col: str = "doc_id", text_col: str
     scratch.drop("blocks", "counts")
     scratch.release()
     model = nce(draws(joined, vocab, int(DRAW_RATE * root)), vocab.mass)
+    if vocab.tokens > int(DRAW_RATE * root):  # else the start was trained on all trigrams
+        learn_all(joined, vocab, model, max(12, int(root / 500)))
     shared = spark.sparkContext.broadcast((vocab, model))  # two vectors a unit
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

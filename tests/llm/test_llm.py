@@ -210,6 +210,26 @@ def test_lm_learns_context():
     assert m.log10(t[25_000:, 0], t[25_000:, 1], t[25_000:, 2]).mean() > -1.0  # log10(1/50) is -1.7
 
 
+def test_lm_learns_from_every_training_token(spark, monkeypatch):
+    """Without any draw the context is learnt all the same, and from the training documents only."""
+    rng, seen, learn = random.Random(5), [], lm.learn_all
+    monkeypatch.setattr(lm, "DRAW_RATE", 0.0)
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 2_000)
+    monkeypatch.setattr(lm, "learn_all", lambda *a: seen.append(a[1].tokens) or learn(*a))
+    rows = []
+    for i in range(400):
+        w = [rng.randrange(30)]
+        while len(w) < 60:
+            w.append((w[-1] * 7 + 3) % 30)
+        rows.append((i, " ".join(f"w{k}" for k in w), i % 4 > 0))
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(30)}" for _ in range(60)), False) for i in range(40)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(2), "train").collect()
+    mean = lambda some, k: sum(r[k] for r in some) / sum(r.n_tokens for r in some)
+    held, noise = [r for r in got if r.doc_id < 1000 and not r.flag], [r for r in got if r.doc_id >= 1000]
+    assert seen == [300 * 61]
+    assert mean(held, "score") > mean(held, "base_score") + 0.4 and mean(noise, "score") < mean(held, "score") - 0.4
+
+
 def test_banded_distance_equals_brute_force():
     def plain(a, b):
         p = list(range(len(b) + 1))
