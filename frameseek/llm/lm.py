@@ -11,10 +11,11 @@ units lie in about sqrt(units) clusters, P(unit) = P(cluster) * P(unit in cluste
 step normalised exactly over its members by a batched matrix product, so the probabilities
 of all words, known or not, sum to 1. Both steps are trained in numpy with noise-contrastive
 estimation, the noise being the unigram frequencies of clusters, or of units in the target's
-cluster. A start is trained on trigrams drawn evenly from all training tokens; then tasks
-pass once over every trigram of every training document, the noise by its expectation, and
-what they learnt is averaged row by row. A block's equal trigrams are learnt and scored as
-one with their number. What the driver receives grows with the square root of the corpus.
+cluster, by its expectation. A start is trained on trigrams drawn evenly from all training
+tokens; then tasks pass once over every trigram of every training document, and what they
+learnt is averaged row by row. A block's equal trigrams are learnt and scored as one with
+their number, and what a context is told of its noise is summed once for all that follow it.
+What the driver receives grows with the square root of the corpus.
 
 Words of a text are maximal runs without ASCII white space, A-Z lower-cased; one end
 token follows. Defined results: a null text is the empty text (its end token only).
@@ -40,11 +41,13 @@ OWN_RATE, DRAW_RATE = 2.0, 256.0
 #: Tokens whose scores are computed at once.
 CHUNK = 1 << 16
 #: Distinct trigrams in one step of the pass over all, and rows of the model averaged at once.
-BATCH, ROWS = 1 << 14, 4096
+BATCH, ROWS = 1 << 15, 4096
 #: Of the pass: speed, what AdaGrad has seen at first, noise a token; rows whose noise is in memory at once.
 RATE, SEEN, NOISE, STRETCH = 0.1, 1e-7, 8, 1 << 10
 #: Characters in one block of documents.
 BLOCK_CHARS = 16_000_000
+#: The bits of 1.0 as a 32-bit float, and half a natural logarithm in the bits of such floats.
+UNIT_BITS, HALF = 127 << 23, 0.5 * (1 << 23) / math.log(2)
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double, flag boolean"
 
 
@@ -205,24 +208,40 @@ class Model:
             out[at : at + CHUNK] = self._logs(two[at : at + CHUNK], one[at : at + CHUNK], unit[at : at + CHUNK])
         return (out / np.log(10.0))[which]
 
+    @np.errstate(over="ignore", invalid="ignore")  # what leaves 32 bits is summed anew
     def _logs(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Of sorted trigrams: a context's clusters are summed once, and a cluster's units once a context."""
         home = unit // self.size
         new = _changes(two) | _changes(one)
         pair = new | _changes(home)
         context = np.cumsum(new) - 1
-        p = self.one[one[new]] + self.two[two[new]]
-        total = _log_sum(p @ self.clusters.T + self.cluster_bias)
+        p = np.ones((np.count_nonzero(new), self.one.shape[1] + 1), dtype=np.float32)
+        p[:, :-1] = self.one[one[new]] + self.two[two[new]]
+        total = self._log_clusters(p, one[new], two[new])
         of, at = context[pair], home[pair]
         inside = np.empty(len(at), dtype=np.float32)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(len(self.clusters) + 1))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             rows, some = order[cuts[c] : cuts[c + 1]], slice(c * self.size, (c + 1) * self.size)
-            inside[rows] = _log_sum(p[of[rows]] @ self.units[some].T + self.unit_bias[some])
-        chosen = np.einsum("bd,bd->b", p[context], self.clusters[home] + self.units[unit]) + self.cluster_bias[home] + self.unit_bias[unit]
+            inside[rows] = _log_sum(p[of[rows]], self.units[some], self.unit_bias[some])
+        chosen = np.einsum("bd,bd->b", p[context, :-1], self.clusters[home] + self.units[unit]) + self.cluster_bias[home] + self.unit_bias[unit]
         return chosen.astype(np.float64) - total[context] - inside[np.cumsum(pair) - 1]
 
+    def _log_clusters(self, p: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Log of the clusters' sum for each context ``p``: the exponentials of its two units' parts, taken once a unit, are multiplied."""
+        (a, of_a), (b, of_b) = (np.unique(x, return_inverse=True) for x in (one, two))
+        left, right = np.exp(self.one[a] @ self.clusters.T + self.cluster_bias), np.exp(self.two[b] @ self.clusters.T)
+        total = np.empty(len(p), dtype=np.float32)
+        for lo in range(0, len(p), STRETCH):
+            some = slice(lo, lo + STRETCH)
+            total[some] = np.einsum("bk,bk->b", left[of_a[some]], right[of_b[some]])
+        odd = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))  # too small or large for 32 bits
+        total[odd] = 1
+        np.log(total, out=total)
+        total[odd] = _log_sum(p[odd], self.clusters, self.cluster_bias)
+        return total
+
     def tables(self) -> dict[str, np.ndarray]:
         """The parameters as tables of rows, without copies."""
         return {"one": self.one, "two": self.two, "clusters": self.clusters, "cluster_bias": self.cluster_bias[:, None], "units": self.units, "unit_bias": self.unit_bias[:, None]}
@@ -244,11 +263,32 @@ def _distinct(two: np.ndarray, one: np.ndarray, unit: np.ndarray, base: int) ->
     return *np.divmod(context, base), unit, which
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    most = s.max(axis=1, keepdims=True)
-    s -= most
+def _log_sum(p: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of ``p @ vectors.T + bias``; ``p`` ends with a column of ones."""
+    against = np.column_stack((vectors, bias)).T
+    s = p @ against
     np.exp(s, out=s)
-    return np.log(s.sum(axis=1)) + most[:, 0]
+    total = s @ np.ones(s.shape[1], dtype=np.float32)
+    odd = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))  # too small or large for 32 bits
+    total[odd] = 1
+    np.log(total, out=total)
+    if len(odd):
+        s = p[odd] @ against
+        most = s.max(axis=1)
+        total[odd] = np.log(np.exp(s - most[:, None]).sum(axis=1)) + most
+    return total
+
+
+def _logistic(s: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(s)) of ``HALF`` times s, its odds within 1 %: exp(s) is e(s / 2) / e(-s / 2), e linear between powers of 2."""
+    np.minimum(s, 126 << 23, out=s)
+    np.maximum(s, -126 << 23, out=s)
+    up = s.astype(np.int32)
+    down = (UNIT_BITS - up).view(np.float32)
+    up += UNIT_BITS
+    up = up.view(np.float32)
+    up += down
+    return np.divide(down, up, out=down)
 
 
 def _add(x: np.ndarray, past: np.ndarray, at: np.ndarray, d: np.ndarray, rate: float) -> None:
@@ -260,61 +300,25 @@ def _add(x: np.ndarray, past: np.ndarray, at: np.ndarray, d: np.ndarray, rate: f
     x[rows] -= rate * g / np.sqrt(past[rows])
 
 
-def nce(trigrams: np.ndarray, mass: np.ndarray, width: int = 24, noise: int = 8, batch: int = 1024, epochs: int = 3, rate: float = 0.5, seed: int = 5) -> Model:
+def nce(trigrams: np.ndarray, mass: np.ndarray, width: int = 24, batch: int = 8192, epochs: int = 5, rate: float = 0.4, seed: int = 5) -> Model:
     """Train on (two back, one back, next) rows; ``mass``: training tokens of each unit."""
     rng, n = np.random.default_rng(seed), len(mass)
     size = max(1, round(n**0.5))
-    count = -(-n // size)
-    home = np.arange(n) // size
-    p_unit = (mass + 0.5) / (mass + 0.5).sum()
-    cdf = np.cumsum(p_unit)
-    low = np.concatenate(([0.0], cdf))[np.arange(count) * size]  # where a cluster's share of the line begins
-    p_home = np.bincount(home, weights=p_unit, minlength=count)
-    inside = p_unit / p_home[home]
-    r, q = (rng.normal(0, 0.1, (k, width)).astype(np.float32) for k in (n + 1, n))
-    qc = rng.normal(0, 0.1, (count, width)).astype(np.float32)
-    turn = [np.eye(width, dtype=np.float32) * s for s in (1.0, 0.5)]
-    bias, bias_c = np.log(inside).astype(np.float32)[:, None], np.log(p_home).astype(np.float32)[:, None]
-    past = {k: np.full(v.shape, 1e-3, dtype=np.float32) for k, v in (("r", r), ("q", q), ("qc", qc), ("b", bias), ("bc", bias_c), ("t0", turn[0]), ("t1", turn[1]))}
-    log_inside, log_home = np.log(noise * inside).astype(np.float32), np.log(noise * p_home).astype(np.float32)
-    steps = epochs * -(-len(trigrams) // batch)
-
-    def head(p, vectors, biases, of, log_noise, names, speed):
-        """Tell the true ones (column 0 of ``of``) from noise; the gradient of the context vectors comes back."""
-        s = np.einsum("bd,bkd->bk", p, vectors[of]) + biases[of][..., 0] - log_noise[of]
-        g = 1.0 / (1.0 + np.exp(-np.clip(s, -30, 30)))
-        g[:, 0] -= 1.0
-        g = (g / len(p)).astype(np.float32)
-        back = np.einsum("bk,bkd->bd", g, vectors[of])
-        flat = of.ravel()
-        _add(vectors, past[names[0]], flat, (g[..., None] * p[:, None, :]).reshape(-1, p.shape[1]), speed)
-        _add(biases, past[names[1]], flat, g.reshape(-1, 1), speed)
-        return back
-
-    step = 0
-    for _ in range(epochs if len(trigrams) else 0):
-        order = rng.permutation(len(trigrams))
-        for lo in range(0, len(order), batch):
-            two, one, w = trigrams[order[lo : lo + batch]].T.astype(np.int64)
-            speed = rate * (1 - 0.9 * step / steps)
-            step += 1
-            fake_home = np.minimum(np.searchsorted(np.cumsum(p_home), rng.random((len(w), noise))), count - 1)
-            c = home[w]
-            spot = low[c][:, None] + rng.random((len(w), noise)) * p_home[c][:, None]
-            fake = np.clip(np.searchsorted(cdf, spot), (c * size)[:, None], np.minimum((c + 1) * size, n)[:, None] - 1)
-            p = r[one] @ turn[0] + r[two] @ turn[1]
-            gp = head(p, qc, bias_c, np.column_stack((c, fake_home)), log_home, ("qc", "bc"), speed)
-            gp += head(p, q, bias, np.column_stack((w, fake)), log_inside, ("q", "b"), speed)
-            _add(r, past["r"], np.concatenate((one, two)), np.concatenate((gp @ turn[0].T, gp @ turn[1].T)), speed)
-            for k, at in enumerate((one, two)):
-                d = r[at].T @ gp
-                past[f"t{k}"] += d * d
-                turn[k] -= speed * d / np.sqrt(past[f"t{k}"])
-    return Model(r @ turn[0], r @ turn[1], qc, bias_c[:, 0], q, bias[:, 0], size)
+    of = np.arange(n) // size
+    share = (mass + 0.5) / (mass + 0.5).sum()
+    p_home = np.bincount(of, weights=share)
+    one, two, clusters, units = (rng.normal(0, s, (k, width)).astype(np.float32) for k, s in ((n + 1, 0.1), (n + 1, 0.05), (len(p_home), 0.1), (n, 0.1)))
+    model = Model(one, two, clusters, np.log(p_home).astype(np.float32), units, np.log(share / p_home[of]).astype(np.float32), size)
+    run = Pass(model, mass)
+    two, one, unit, which = _distinct(*trigrams.T.astype(np.int64), n + 1)
+    count, some = np.bincount(which, minlength=len(unit)), min(batch, max(256, len(unit) // 128))
+    for epoch in range(epochs):
+        run.learn(two, one, unit, count, some, rate * 0.1 ** (epoch / max(1, epochs - 1)))
+    return run.model()
 
 
 class Pass:
-    """A task's way through all its trigrams, from a model that all tasks share."""
+    """A way through trigrams from a given model: the start's, or a task's from the model that all tasks share."""
 
     def __init__(self, start: Model, mass: np.ndarray) -> None:
         self.start, self.size = start, start.size
@@ -327,54 +331,75 @@ class Pass:
         self.p_unit = (share / self.p_home[of]).astype(np.float32)
         self.rng = np.random.default_rng(7)
 
-    def _head(self, p, weight, at, noise, names, rows) -> np.ndarray:
-        """Tell the true ones (columns ``at``, sorted) from noise, which all columns are by their share; the contexts' gradient comes back."""
+    def _head(self, p, weight, noise, names, rows, at, column, share, rate) -> np.ndarray:
+        """Tell the true ones (``column`` of context ``at``, by ``share``) from noise, which all columns are by their share; the contexts' gradient comes back.
+
+        ``p`` ends with a column of ones, for the bias. A true one is (1 - g) less in place of g more, in the same two products.
+        """
         x, bias = (self.now[k][rows] for k in names)
-        often = (NOISE * noise)[:, None]
-        base = bias - np.log(often)
-        width = p.shape[1]
-        back, d, both = np.empty_like(p), np.zeros((len(x), width + 1), dtype=np.float32), np.column_stack((p * weight[:, None], weight))
-        for lo in range(0, len(p), STRETCH):
-            some = slice(lo, lo + STRETCH)
-            g = p[some] @ -x.T
-            g -= base.T
-            np.minimum(g, 30, out=g)
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            back[some] = g @ (x * often)
-            d += g.T @ both[some]
+        often, width = (NOISE * noise)[:, None], x.shape[1]
+        against = np.column_stack((x, bias - np.log(often)))
+        against *= np.float32(-HALF)
+        pulled, told = x * often, p * weight[:, None]
+        back, d = np.empty((len(p), width), dtype=np.float32), np.zeros((len(x), width + 1), dtype=np.float32)
+        true = share / (weight[at] * often[column, 0])
+        cuts = np.searchsorted(at, np.arange(0, len(p) + STRETCH, STRETCH))
+        for k, lo in enumerate(range(0, len(p), STRETCH)):
+            some, here = slice(lo, lo + STRETCH), slice(cuts[k], cuts[k + 1])
+            g = _logistic(p[some] @ against.T)
+            spot = at[here] - lo, column[here]
+            g[spot] -= (1 - g[spot]) * true[here]
+            np.matmul(g, pulled, out=back[some])
+            d += g.T @ told[some]
         d *= often
         back *= weight[:, None]
-        # The true ones: 1 / (1 + exp(s)) is what is missing.
-        true = -1 / (1 + np.exp(np.clip(np.einsum("bd,bd->b", p, x[at]) + base[at, 0], -30, 30)))
-        back += (true * weight)[:, None] * x[at]
-        first = np.flatnonzero(_changes(at))
-        d[at[first]] += np.add.reduceat(both * true[:, None], first, axis=0)
         for k, part in zip(names, (d[:, :width], d[:, width:])):
             self.seen[k][rows] += part * part
-            self.now[k][rows] -= RATE * part / np.sqrt(self.seen[k][rows])
+            self.now[k][rows] -= rate * part / np.sqrt(self.seen[k][rows])
         return back
 
-    def learn(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray, count: np.ndarray) -> None:
-        """One step of AdaGrad a batch of distinct trigrams, each by its number."""
+    def learn(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray, count: np.ndarray, batch: int | None = None, rate: float = RATE) -> None:
+        """Steps of AdaGrad on about ``batch`` of the sorted distinct trigrams, each by its number; a context's are in one step."""
         home = unit // self.size
         for k, at in (("two", two), ("one", one), ("clusters", home), ("units", unit)):
             self.weight[k] += np.bincount(at, weights=count, minlength=len(self.weight[k]))
-        order = self.rng.permutation(len(unit))
-        for lo in range(0, len(order), BATCH):
-            some = order[lo : lo + BATCH]
-            some = some[np.argsort(unit[some], kind="stable")]
-            t, o, u, h = two[some], one[some], unit[some], home[some]
-            weight = (count[some] / count[some].sum()).astype(np.float32)
-            p = self.now["one"][o] + self.now["two"][t]
-            back = self._head(p, weight, h, self.p_home, ("clusters", "cluster_bias"), slice(None))
-            cuts = np.searchsorted(h, np.arange(len(self.p_home) + 1))
-            for c in np.flatnonzero(np.diff(cuts)).tolist():
-                rows, members = slice(cuts[c], cuts[c + 1]), slice(c * self.size, (c + 1) * self.size)
-                back[rows] += self._head(p[rows], weight[rows], u[rows] - c * self.size, self.p_unit[members], ("units", "unit_bias"), members)
-            _add(self.now["one"], self.seen["one"], o, back, RATE)
-            _add(self.now["two"], self.seen["two"], t, back, RATE)
+        first = np.flatnonzero(_changes(two) | _changes(one))
+        follow = np.diff(np.append(first, len(unit)))
+        order = self.rng.permutation(len(first))
+        cuts = np.append(np.flatnonzero(_changes(np.cumsum(follow[order]) // (batch or BATCH))), len(order))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            c = np.sort(order[lo:hi])
+            n = follow[c]
+            context = np.repeat(np.arange(len(c)), n)
+            some = np.arange(len(context)) + np.repeat(first[c] - (np.cumsum(n) - n), n)
+            u, h, w = unit[some], home[some], count[some].astype(np.float32)
+            w /= w.sum()
+            # A context's units in one cluster: they share the noise of that cluster.
+            new = np.flatnonzero(_changes(context) | _changes(h))
+            of, where, share = context[new], h[new], np.add.reduceat(w, new)
+            begin = np.flatnonzero(_changes(of))
+            p = np.ones((len(c), self.now["one"].shape[1] + 1), dtype=np.float32)
+            p[:, :-1] = self.now["one"][one[first[c]]] + self.now["two"][two[first[c]]]
+            back = self._head(p, np.add.reduceat(share, begin), self.p_home, ("clusters", "cluster_bias"), slice(None), of, where, share, rate)
+            by = np.argsort(where, kind="stable")
+            place = np.empty(len(by), dtype=np.int64)
+            place[by] = np.arange(len(by))
+            at = place[np.repeat(np.arange(len(new)), np.diff(np.append(new, len(u))))]
+            by_at = np.argsort(at, kind="stable")
+            at, column, w = at[by_at], (u - h * self.size)[by_at], w[by_at]
+            bounds = np.searchsorted(where[by], np.arange(len(self.p_home) + 1))
+            inner, share, of = np.empty((len(by), back.shape[1]), dtype=np.float32), share[by], of[by]
+            ends = np.searchsorted(at, bounds)
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                rows, here, members = slice(bounds[k], bounds[k + 1]), slice(ends[k], ends[k + 1]), slice(k * self.size, (k + 1) * self.size)
+                inner[rows] = self._head(p[of[rows]], share[rows], self.p_unit[members], ("units", "unit_bias"), members, at[here] - bounds[k], column[here], w[here], rate)
+            back += np.add.reduceat(inner[place], begin, axis=0)
+            _add(self.now["one"], self.seen["one"], one[first[c]], back, rate)
+            _add(self.now["two"], self.seen["two"], two[first[c]], back, rate)
+
+    def model(self) -> Model:
+        now = self.now
+        return Model(now["one"], now["two"], now["clusters"], now["cluster_bias"][:, 0], now["units"], now["unit_bias"][:, 0], self.size)
 
     def learnt(self) -> Iterator[tuple[str, int, bytes, bytes]]:
         """Rows' changes by the weight of what they were learnt from, and those weights."""

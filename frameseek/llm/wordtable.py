@@ -19,8 +19,11 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +109,7 @@ def read_block(data: bytes) -> Block:
 
 
 def _emit(block: int, ids, flags, lens, codes, vocab, parts: int, binary: bool) -> pa.RecordBatch:
-    codes = np.fromiter(codes, dtype=np.int64, count=len(codes))
+    codes = np.frombuffer(codes, dtype=np.int64)
     flags, lens = np.array(flags, dtype=bool), np.array(lens, dtype=np.int32)
     words = list(vocab)
     freq = np.bincount(codes, minlength=len(words))
@@ -119,7 +122,7 @@ def _emit(block: int, ids, flags, lens, codes, vocab, parts: int, binary: bool)
     train = np.bincount(codes[np.repeat(flags, lens)], minlength=len(words)).astype(np.uint32)
     words = [words[i] for i in order]
     raw = words if binary else [w.encode() for w in words]
-    part_of = np.fromiter((zlib.crc32(w) % parts for w in raw), dtype=np.uint32, count=len(raw))
+    part_of = np.fromiter(map(zlib.crc32, raw), dtype=np.uint32, count=len(raw)) % np.uint32(parts)
     rows = [(block, -1, pack((ids, flags, lens, pack_codes(codes), part_of)))]
     by_part = np.argsort(part_of, kind="stable")
     cuts = np.flatnonzero(np.diff(part_of[by_part])) + 1
@@ -135,19 +138,19 @@ def build_blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[str
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, base = 0, TaskContext.get().partitionId() << 32
-        ids, flags, lens, codes, vocab, chars = [], [], [], [], {}, 0
+        ids, flags, lens, codes, vocab, chars = [], [], [], array("q"), defaultdict(count().__next__), 0
         for batch in batches:
             for doc, text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = split(text) if text else []
                 ids.append(doc)
                 flags.append(bool(flag))
                 lens.append(len(words))
-                codes += [vocab.setdefault(w, len(vocab)) for w in words]
+                codes.extend(map(vocab.__getitem__, words))  # a new word gets the next number
                 chars += len(text) if text else 0
                 if chars >= block_chars or len(ids) >= 200_000:
                     yield _emit(base + made, ids, flags, lens, codes, vocab, parts, binary)
                     made += 1
-                    ids, flags, lens, codes, vocab, chars = [], [], [], [], {}, 0
+                    ids, flags, lens, codes, vocab, chars = [], [], [], array("q"), defaultdict(count().__next__), 0
         if ids:
             yield _emit(base + made, ids, flags, lens, codes, vocab, parts, binary)
 

@@ -230,6 +230,50 @@ def test_lm_learns_from_every_training_token(spark, monkeypatch):
     assert mean(held, "score") > mean(held, "base_score") + 0.4 and mean(noise, "score") < mean(held, "score") - 0.4
 
 
+def test_lm_step_sums_a_contexts_noise_once(monkeypatch):
+    """One step equals the plain gradient of every trigram, and each context meets the clusters once."""
+    rng, n, width = np.random.default_rng(8), 30, 4
+    mass = rng.integers(1, 50, n).astype(float)
+    start = lm.nce(np.empty((0, 3), dtype=np.int32), mass, width=width)
+    key = np.unique(np.column_stack((rng.integers(0, 4, 300), rng.integers(0, 3, 300), rng.integers(0, n, 300))), axis=0)
+    count, size = rng.integers(1, 9, len(key)), start.size
+    run, met, head = lm.Pass(start, mass), [], lm.Pass._head
+    monkeypatch.setattr(lm.Pass, "_head", lambda self, p, *a: met.append(len(p)) or head(self, p, *a))
+    run.learn(*key.T, count, rate=0.1)
+    assert met[0] == 12 and sum(met[1:]) == len(np.unique(np.column_stack((key[:, :2], key[:, 2] // size)), axis=0))
+
+    of, share = np.arange(n) // size, (mass + 0.5) / (mass + 0.5).sum()
+    p_home = np.bincount(of, weights=share)
+    want = {k: np.zeros(x.shape) for k, x in start.tables().items()}
+    for (two, one, unit), w in zip(key, count / count.sum()):
+        p, h = start.one[one].astype(float) + start.two[two], unit // size
+        for x, b, true, some, noise in (("clusters", "cluster_bias", h, np.arange(len(p_home)), p_home), ("units", "unit_bias", unit, np.flatnonzero(of == h), share / p_home[of])):
+            vectors, bias = getattr(start, x), getattr(start, b)
+            for k in some:
+                odds = np.exp(p @ vectors[k] + bias[k]) / (lm.NOISE * noise[k])
+                g = w * (lm.NOISE * noise[k] * odds / (1 + odds) - (k == true) / (1 + odds))
+                want[x][k] += g * p
+                want[b][k] += g
+                want["one"][one] += g * vectors[k]
+                want["two"][two] += g * vectors[k]
+    for k, g in want.items():
+        got = (run.seen[k] - np.float32(lm.SEEN)).clip(0) ** 0.5
+        assert np.abs(got - np.abs(g)).max() < 0.02 * np.abs(g).max() + 1e-4, k
+        assert ((run.now[k] - start.tables()[k]) * g <= 1e-6).all(), k
+
+
+def test_lm_sums_beyond_32_bits():
+    """Scores whose exponentials leave 32 bits are summed all the same."""
+    rng = np.random.default_rng(2)
+    m = lm.nce(np.empty((0, 3), dtype=np.int32), np.ones(20))
+    m.cluster_bias[:] = rng.normal(0, 1, len(m.cluster_bias)) - 200
+    m.unit_bias[:] = rng.normal(0, 1, 20) + 200
+    m.one[:3] *= 50
+    m.clusters *= 50
+    for one, two in ((0, 1), (2, 19), (20, 20)):
+        assert abs((10.0 ** m.log10(np.full(20, two), np.full(20, one), np.arange(20))).sum() - 1) < 1e-3
+
+
 def test_banded_distance_equals_brute_force():
     def plain(a, b):
         p = list(range(len(b) + 1))
